@@ -10,6 +10,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import fit, fold, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    fitted = fit(docs.filter(fold() != 0))
+    out = predict(docs, fitted)
+    return out.select(F.col("id").alias("doc_id"), (fold("id") == 0).alias("held_out"), "lang_pred", "score", "n_words", "known_share")
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ngram_join import join
+
+    out = join(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.substrings import remove_repeated
 
@@ -17,6 +33,21 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup,)}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.packing import pack
+
+    out = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.tiff import described_texts
+
+    return described_texts(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_ngram_join, op4_substring_dedup, op5_packing, op7_tiff_media)}
 
 ORACLE_SQL: dict[str, str] = {}
