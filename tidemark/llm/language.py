@@ -19,9 +19,11 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TRAIN_DOCUMENTS = 12_000
 WORDS = 40_000
@@ -109,16 +111,19 @@ def _logs(counts: dict[str, list[float]], totals: list[float]) -> dict[str, tupl
 
 
 class Scorer(dict):
-    """The scores of each word met lately: (log frequency in each language, whether the word is of the model)."""
+    """Numbers of the words met lately; a word's row holds its scores, whether it says anything, and whether the model knows it."""
 
     def __init__(self, fitted: Model):
         self.model = fitted
+        self.rows = np.zeros((1024, len(fitted.languages) + 2))
 
-    def __missing__(self, word: str) -> tuple[tuple[float, ...] | None, bool]:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        out = self[word] = self.score(word)
-        return out
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        scores, known = self.score(word)
+        self.rows[at] = 0.0 if scores is None else (*scores, 1.0, known)
+        return at
 
     def score(self, word: str) -> tuple[tuple[float, ...] | None, bool]:
         if (known := self.model.words.get(word)) is not None:
@@ -131,19 +136,14 @@ class Scorer(dict):
 
     def predict(self, text: str | None) -> tuple[str, float, int, float]:
         """(language, confidence, number of words, share of them that the model knows)."""
-        counts = Counter(words_of(text or ""))
-        n = sum(counts.values())
+        words = words_of(text or "")
+        n = len(words)
         if not n or not self.model.languages:
             return UNKNOWN, 0.0, n, 0.0
-        sums, said, known = [0.0] * len(self.model.languages), 0, 0
-        for word in sorted(counts):
-            scores, is_known = self[word]
-            if scores is not None:
-                k = counts[word]
-                said += k
-                known += k * is_known
-                for i, x in enumerate(scores):
-                    sums[i] += k * x
+        if len(self) + n > CACHED_WORDS:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        *sums, said, known = self.rows[at].sum(axis=0).tolist()
         weight = min(said, EVIDENCE) / said if said else 0.0
         best = max(range(len(sums)), key=lambda i: (sums[i], -i))
         score = 1 / sum(math.exp(max(-700.0, weight * (x - sums[best]))) for x in sums)
@@ -162,20 +162,23 @@ def _predicted(shared, token: str):
         for batch in batches:
             if batch.num_rows:
                 found = [scorer.predict(text.as_py()) for text in batch.column(1)]
-                yield pa.record_batch([batch.column(0), *(pa.array(x, t.type) for x, t in zip(zip(*found, strict=True), list(_SCORED_ARROW)[1:], strict=True))], schema=_SCORED_ARROW)
+                said = [pa.array(x, t.type) for x, t in zip(zip(*found, strict=True), list(_SCORED_ARROW)[1:], strict=True)]
+                yield pa.record_batch([batch.column(0), *said, *batch.columns[2:]], names=[*_SCORED_ARROW.names, *batch.schema.names[2:]])
 
     return run
 
 
-def predict(docs: DataFrame, fitted: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, lang_pred, score, n_words, known_share) of each row, from its whole text alone.
+def predict(docs: DataFrame, fitted: Model, text_col: str = "text", id_col: str = "doc_id", whole_rows: bool = False) -> DataFrame:
+    """(id, lang_pred, score, n_words, known_share) of each row, from its whole text alone; with whole_rows also the struct `row` of all columns.
 
     `und` and a score of 0 if the text is null or has no letter, or the model knows no language.  Languages
     of equal sums: the first by name.  Repeated rows and rows without an id are predicted like any other.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predicted(shared, uuid.uuid4().hex), _SCORED)
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole_rows else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *row)
+    schema = T.StructType([*T._parse_datatype_string(_SCORED).fields, *rows.schema.fields[2:]])
+    return rows.mapInArrow(_predicted(shared, uuid.uuid4().hex), schema)
 
 
 def fold(id_col: str = "doc_id", folds: int = 5) -> Column:
