@@ -100,9 +100,9 @@ ORACLE_SQL: dict[str, str] = {
     c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
     l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-    r AS (SELECT a AS doc_id, a AS at FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.at)
+    r AS (SELECT a AS doc_id, a AS node FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.node)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, w.doc_id) AS component_id
-FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, min(at) AS c FROM r GROUP BY doc_id) m ON m.doc_id = w.doc_id""",
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, min(node) AS c FROM r GROUP BY doc_id) m ON m.doc_id = w.doc_id""",
     "op4_substring_dedup": f"""WITH k AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, {_WORDS % "coalesce(text, '')"} AS ws FROM documents) x),
     v AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, n - 49)) AS i FROM k WHERE n >= 50) x),
     f AS (SELECT h, min(doc_id) AS first FROM v GROUP BY h),
