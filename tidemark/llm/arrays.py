@@ -157,3 +157,14 @@ def pack_positions(x: np.ndarray) -> bytes:
 
 def unpack_positions(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype={2: np.uint16, 4: np.uint32, 8: np.uint64}[raw[0]], offset=1).astype(np.int64)
+
+
+def trim() -> None:
+    """Give memory that is free again back to the system: workers of one machine share little of it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

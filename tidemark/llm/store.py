@@ -6,10 +6,13 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+ROWS_AT_A_TIME = 1000
+
+
 def work_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where none is set (tests in one process), a folder of this machine."""
     context = spark.sparkContext
@@ -38,7 +41,14 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def buckets(df: DataFrame, per_split: int = 2) -> int:
+def small_batches(spark: SparkSession) -> None:
+    """Let at most ROWS_AT_A_TIME rows travel to Python at once: texts may be long, and workers share a machine's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_AT_A_TIME:
+        spark.conf.set(name, ROWS_AT_A_TIME)
+
+
+def buckets(df: DataFrame, per_split: int = 4) -> int:
     """A bucket number in proportion to the input: its scan's splits bound a bucket's bytes."""
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(shuffle, per_split * df.rdd.getNumPartitions())
@@ -53,3 +63,17 @@ def documents_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if rows.select("id").groupBy("id").count().filter("count > 1").isEmpty():
         return rows
     return rows.groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row for each id, that of the least text (null counts as empty); rows without an id all stay.
+
+    Nothing is shuffled but the ids, unless one repeats.
+    """
+    if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
+        return docs
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row).filter(F.col("row").getField(id_col).isNotNull())
+    least = Window.partitionBy(F.col("row").getField(id_col)).orderBy(F.coalesce(F.col("row").getField(text_col), F.lit("")), F.to_json("row"))
+    first = rows.withColumn("_n", F.row_number().over(least)).filter("_n = 1").select("row")
+    return first.unionByName(docs.filter(F.col(id_col).isNull()).select(row)).select("row.*")

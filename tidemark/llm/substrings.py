@@ -27,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays as A
-from tidemark.llm.store import buckets, documents_of, keep
+from tidemark.llm.filters import bits_for, kept_rows, of_ids, rows_by_id, split
+from tidemark.llm.store import buckets, documents_of, keep, small_batches
 
 WINDOW = 50
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 19
 
 _SENT = "bucket int, known boolean, docs binary, counts binary, at binary, edges binary"
 _FOUND = "bucket int, docs binary, counts binary, at binary"
 _PATHS = "id long, paths array<struct<first:long,words:long>>"
+_KEPT = "id long, n_words long, n_removed long, kept string"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("docs", pa.binary()), ("counts", pa.binary()), ("at", pa.binary()), ("edges", pa.binary())])
 _FOUND_ARROW = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("at", pa.binary())])
 _PATH = pa.struct([("first", pa.int64()), ("words", pa.int64())])
@@ -108,6 +110,8 @@ def _edges(window: int, n: int, most: int):
                 i = sent[order[bounds[b] : bounds[b + 1]]]
                 rows.append({"bucket": int(b), "known": False, **_packed(ids, doc[i], at[i]), "edges": edge[i].tobytes()})
             yield from pa.Table.from_pylist(rows, _SENT_ARROW).to_batches(max_chunksize=64)
+            del rows, words, doc, at, where, edge, order, begin, least, later, sent, bounds
+            A.trim()
 
     return run
 
@@ -127,7 +131,10 @@ def _repeated(n: int):
             ids, own = np.unique(doc[later], return_inverse=True)
             by = np.argsort(own, kind="stable")
             rows += _by_document(ids, own[by], at[later][by], n)
-        return pa.Table.from_pylist(rows, _FOUND_ARROW)
+        out = pa.Table.from_pylist(rows, _FOUND_ARROW)
+        del rows
+        A.trim()
+        return out
 
     return run
 
@@ -151,6 +158,7 @@ def _compact(window: int):
 
 def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, paths): the spans of words, from 0, that windows of an earlier document cover; ids without any are left out."""
+    small_batches(docs.sparkSession)
     rows = documents_of(docs, id_col, text_col)
     n = buckets(rows)
     sent = rows.filter("text IS NOT NULL").mapInArrow(_edges(window, n, CHUNK_WORDS), _SENT)
@@ -161,13 +169,29 @@ def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, rows = A.text_bytes(batch.column(1))
+        paths = batch.column(2) if batch.num_columns > 2 else pa.nulls(batch.num_rows, _PATHS_ARROW.field("paths").type)
         lo, n = 0, batch.num_rows
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(rows, rows[lo] + (1 << 22), side="right")) - 1)
-            yield _cleaned(batch.column(0)[lo:hi], data[rows[lo] : rows[hi]], rows[lo : hi + 1] - rows[lo], batch.column(2)[lo:hi])
+            yield _cleaned(batch.column(0)[lo:hi], data[rows[lo] : rows[hi]], rows[lo : hi + 1] - rows[lo], paths[lo:hi])
             lo = hi
 
 
+def _whole(shared, bits: int):
+    passing = kept_rows(shared, bits, inside=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _without(passing(batches))
+
+    return run
+
+
+def _filter_of(paths: DataFrame, rows: DataFrame) -> tuple:
+    """A broadcast filter of the ids that have a path, so that only their texts are shuffled to meet the paths."""
+    bits = bits_for(rows.select("id").count())
+    return rows.sparkSession.sparkContext.broadcast(of_ids(paths.select("id"), bits)), bits
+
+
 def _cleaned(ids: pa.Array, data: np.ndarray, rows: np.ndarray, paths: pa.Array) -> pa.RecordBatch:
     starts, ends, first = A.split_words(data, rows)
     count = np.diff(first)
@@ -212,7 +236,24 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     paths = keep(repeated_paths(docs, id_col, text_col, window))
     rows = documents_of(docs, id_col, text_col)
+    shared, bits = _filter_of(paths, rows)
+    met = rows.mapInArrow(kept_rows(shared, bits, inside=True), rows.schema).join(paths, "id", "left").select("id", "text", "paths")
     own = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"))
-    nothing = F.lit(None).cast("array<struct<first:long,words:long>>").alias("paths")
-    all_rows = rows.join(paths, "id", "left").select("id", "text", "paths").unionByName(own.select("id", "text", nothing))
-    return all_rows.mapInArrow(_without, "id long, n_words long, n_removed long, kept string")
+    return met.mapInArrow(_without, _KEPT).unionByName(rows.mapInArrow(_whole(shared, bits), _KEPT)).unionByName(own.mapInArrow(_without, _KEPT))
+
+
+def clean_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with the kept words for text where any were removed, and as it is elsewhere; rows that lose every word go.
+
+    Columns stay; what counts as removed is as in remove_repeated.  Ids must not repeat.
+    """
+    paths = keep(repeated_paths(docs, id_col, text_col, window))
+    rows = rows_by_id(docs, id_col)
+    shared, bits = _filter_of(paths, rows)
+    doubtful, sure = split(rows, shared, bits)
+    met = doubtful.join(paths, "id", "left")
+    changed = met.filter("paths IS NOT NULL")
+    cut = changed.select("id", F.col(f"row.`{text_col}`").alias("text"), "paths").mapInArrow(_without, _KEPT).filter("n_removed < n_words").select("id", "kept")
+    there = changed.select("id", "row").join(cut, "id")
+    out = there.select(F.col("row").withField(f"`{text_col}`", F.col("kept")).alias("row"))
+    return out.unionByName(met.filter("paths IS NULL").select("row")).unionByName(sure.select("row")).select("row.*")
