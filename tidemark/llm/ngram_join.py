@@ -7,12 +7,12 @@ Documents link if their sets of word n-grams have a Jaccard similarity of THRESH
 2. The sets of the others are put in one global order: very frequent n-grams last, then by hash.  Equal
    sets become one class.  Two sets that link share an n-gram among the first few of each (prefix filter),
    so each class is posted under those.
-3. Each posting list first asks for the links between its centres and the rest.  A pair is verified in a
+3. First, some posting lists ask for the links between their least id and the rest.  A pair is verified in a
    prefix tree: the sets to be compared with one class stand in a tree of the ordered n-grams; one walk
    carries the partial overlap down, shared by all sets below a node, and leaves a subtree as soon as the
    overlap so far and what remains on either side can't reach the threshold.
-4. Classes that are connected by then need no further test.  The lists ask for all pairs that are left,
-   those between different components, and these are verified too.  So a group of thousands of near copies
+4. Classes that are connected by then need no further test.  All lists ask for all pairs that are left, those
+   between different components, and these are verified too.  So a group of thousands of near copies
    costs its size, not the square, and no link that matters for a component is missed.
 """
 
@@ -27,15 +27,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import arrays as A
 from tidemark.llm.components import components
-from tidemark.llm.store import buckets, documents_of, keep
+from tidemark.llm.filters import bitmap, bits_for, holds, of_ids, position
+from tidemark.llm.store import buckets, documents_of, keep, small_batches
 
 N = 5
 THRESHOLD = 75
 CHUNK_WORDS = 1 << 20
 #: An n-gram is very frequent if it is in so many documents, and in so large a share of all.
 FREQUENT, FREQUENT_SHARE = 64, 1e-4
-#: Bits of the filters that are broadcast: of frequent n-grams, and (eight for each document, at most) of documents.
-GRAM_BITS, DOC_BITS = 23, 28
+#: Bits of the filter of frequent n-grams, which is broadcast.
+GRAM_BITS = 23
+#: The first round of pairs goes over one posting list in so many.
+SPARSE = 16
 #: Pairs of a class that are verified in one tree, and pairs in one task's group.
 TREE, GROUP = 256, 512
 
@@ -102,6 +105,8 @@ def _grams(n: int, parts: int, most: int):
                 first = A.runs(row[i])
                 out.append({"bucket": int(b), "chunk": int(ids[0]), "docs": ids[row[i][first]].tobytes(), "counts": A.pack_positions(np.diff(np.append(first, len(i)))), "grams": one[i].tobytes()})
             yield from pa.Table.from_pylist(out, _SENT_ARROW).to_batches(max_chunksize=64)
+            del out, row, one, two, order, bounds
+            A.trim()
 
     return run
 
@@ -122,7 +127,10 @@ def _share(frequent: int):
             at += int(counts.sum())
             out.append({**x, "shared": A.pack_positions(shared), "frequent": often.astype(np.int32).tobytes()})
             often = often[:0]
-        return pa.Table.from_pylist(out, _SHARED_ARROW)
+        made = pa.Table.from_pylist(out, _SHARED_ARROW)
+        del out, grams, order, both, df, begin
+        A.trim()
+        return made
 
     return run
 
@@ -134,34 +142,6 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids), *(pa.array(np.bincount(own, x, len(ids)).astype(np.int64)) for x in (n, shared))], schema=_SIZES_ARROW)
 
 
-def _bitmap(positions: DataFrame, bits: int) -> np.ndarray:
-    """A filter of 2 ** bits bits from a column `at` of positions; what reaches the driver is at most the filter."""
-    words = positions.select(F.shiftright("at", 5).cast("int").alias("w"), F.expr("shiftleft(1L, cast(at % 32 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    found = words.toArrow()
-    out[found["w"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-    return out
-
-
-def _in(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
-
-
-def _doc_at(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (A.mix(ids.astype(np.int64).view(_U)) >> _U(64 - bits)).astype(np.int64)
-
-
-_POSITIONS = "at long"
-
-
-def _doc_positions(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([pa.array(np.unique(_doc_at(batch.column(0).to_numpy(zero_copy_only=False), bits)))], names=["at"])
-
-    return run
-
-
 def _gram_positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(x, np.int32) for x in batch.column(0).to_pylist())])
@@ -179,10 +159,10 @@ def _ordered_sets(n: int, bits: int, docs, grams, most: int):
 
         for batch in batches:
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            wanted = pa.array(_in(docs.value, _doc_at(ids, bits)))
+            wanted = pa.array(holds(docs.value, position(ids, bits)))
             for own, data, rows in _slices(iter([batch.filter(wanted)]), most):
                 row, one, _ = gram_sets(data, rows, n)
-                often = _in(grams.value, (one >> _U(63 - GRAM_BITS)).astype(np.int64))
+                often = holds(grams.value, (one >> _U(63 - GRAM_BITS)).astype(np.int64))
                 ranked = np.where(often, one | _TOP, one)
                 begin = np.searchsorted(row, np.arange(len(own) + 1))
                 out = []
@@ -208,62 +188,69 @@ def prefix(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
-_POSTED = "bucket int, ids binary, sizes binary, labels binary, counts binary, grams binary"
-_POSTED_ARROW = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("labels", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
+_POSTED = "bucket int, ids binary, sizes binary, labels binary, counts binary, places binary, grams binary"
+_POSTED_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "sizes", "labels", "counts", "places", "grams"))])
 _PAIRS = "a long, b long"
 
 
-def _posted(parts: int, threshold: int):
+def _posted(parts: int, threshold: int, every: int):
+    """Each set under the first of its n-grams; of the posting lists only one in `every`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n, label = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False), np.int64) for i in (0, 1, 3))
             take = np.array([prefix(int(x), threshold) for x in n], np.int64)
             grams = np.concatenate([np.empty(0, ">u8"), *(np.frombuffer(x.as_py(), ">u8", count=k) for x, k in zip(batch.column(2), take, strict=True))]).astype(_U)
             row = np.repeat(np.arange(len(ids)), take)
-            order, bounds = A.grouped(A.bucket_of(A.mix(grams), parts), parts)
+            place = np.arange(len(row)) - np.repeat(take.cumsum() - take, take)
+            names = A.mix(grams)
+            if every > 1:
+                some = names % _U(every) == 0
+                row, place, grams, names = row[some], place[some], grams[some], names[some]
+            order, bounds = A.grouped(A.bucket_of(names, parts), parts)
             out = []
             for b in np.flatnonzero(np.diff(bounds)):
                 i = order[bounds[b] : bounds[b + 1]]
                 first = A.runs(row[i])
                 own = row[i][first]
-                out.append({"bucket": int(b), "ids": ids[own].tobytes(), "sizes": A.pack_positions(n[own]), "labels": label[own].tobytes(), "counts": A.pack_positions(np.diff(np.append(first, len(i)))), "grams": grams[i].tobytes()})
+                out.append({"bucket": int(b), "ids": ids[own].tobytes(), "sizes": A.pack_positions(n[own]), "labels": label[own].tobytes(), "counts": A.pack_positions(np.diff(np.append(first, len(i)))), "places": A.pack_positions(place[i]), "grams": grams[i].tobytes()})
             yield from pa.Table.from_pylist(out, _POSTED_ARROW).to_batches(max_chunksize=64)
 
     return run
 
 
 def _asked(threshold: int, centres: bool):
-    """The pairs that the posting lists of a bucket ask for: with a list's centres, or between components."""
+    """The pairs that the posting lists of a bucket ask for: with a list's least id, or between components.
 
-    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        parts = [(np.frombuffer(x["ids"], np.int64), A.unpack_positions(x["sizes"]), np.frombuffer(x["labels"], np.int64), A.unpack_positions(x["counts"])) for x in table.to_pylist()]
+    A pair that links has its first common n-gram in a list where enough n-grams are left on either side.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [(np.frombuffer(x["ids"], np.int64), A.unpack_positions(x["sizes"]), np.frombuffer(x["labels"], np.int64), A.unpack_positions(x["counts"])) for x in table.select(["ids", "sizes", "labels", "counts"]).to_pylist()]
         ids, sizes, labels = (np.concatenate([np.repeat(p[i], p[3]) for p in parts]) for i in range(3))
+        places = np.concatenate([A.unpack_positions(x) for x in table["places"].to_pylist()])
         grams = np.concatenate([np.frombuffer(x, _U) for x in table["grams"].to_pylist()])
-        order = np.lexsort((ids, grams))
-        ids, sizes, labels, grams = ids[order], sizes[order], labels[order], grams[order]
+        order = np.lexsort((ids, sizes, grams)) if not centres else np.lexsort((ids, grams))
+        ids, sizes, labels, grams, left = ids[order], sizes[order], labels[order], grams[order], (sizes - places)[order]
         begin = A.runs(grams)
         end = np.append(begin[1:], len(grams))
         many = (end - begin) > 1
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+        def ask(one: int, rest: np.ndarray) -> None:
+            rest = rest[np.minimum(left[one], left[rest]) >= need(sizes[one], sizes[rest], threshold)]
+            a.append(np.full(len(rest), ids[one]))
+            b.append(ids[rest])
+
         for lo, hi in zip(begin[many], end[many], strict=True):
-            own, n, label = ids[lo:hi], sizes[lo:hi], labels[lo:hi]
             if centres:
-                middle = int(np.argsort(n, kind="stable")[len(n) // 2])
-                for c in {0, middle}:
-                    a.append(np.full(len(own), own[c]))
-                    b.append(own)
-                    near = (threshold * n <= 100 * n[c]) & (threshold * n[c] <= 100 * n) & (own != own[c])
-                    a[-1], b[-1] = a[-1][near], b[-1][near]
-            elif (label != label[0]).any():
-                by = np.argsort(n, kind="stable")
-                own, n, label = own[by], n[by], label[by]
+                ask(lo, np.arange(lo + 1, hi))
+            elif (labels[lo:hi] != labels[lo]).any():
                 # a set links with none that is larger by more than the threshold allows
-                top = np.searchsorted(threshold * n, 100 * n, side="right")
-                for i in range(len(own) - 1):
-                    other = np.arange(i + 1, top[i])
-                    other = other[label[other] != label[i]]
-                    a.append(np.full(len(other), own[i]))
-                    b.append(own[other])
+                top = lo + np.searchsorted(threshold * sizes[lo:hi], 100 * sizes[lo:hi], side="right")
+                for i in range(lo, hi - 1):
+                    rest = np.arange(i + 1, top[i - lo])
+                    ask(i, rest[labels[rest] != labels[i]])
         a, b = np.concatenate(a), np.concatenate(b)
         low, high = np.minimum(a, b), np.maximum(a, b)
         order = np.lexsort((high, low))
@@ -390,6 +377,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     and links with nothing.  One row for each id: of rows that share an id the one with the least text
     counts.  A row without an id is returned with nulls.  Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = documents_of(docs, id_col, text_col)
     ids = rows.select("id")
@@ -400,18 +388,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     shared = keep(sent.groupBy("bucket").applyInArrow(_share(max(FREQUENT, int(FREQUENT_SHARE * total))), _SHARED))
     sizes = keep(shared.groupBy("chunk").applyInArrow(_total, _SIZES))
 
-    bits = min(DOC_BITS, max(16, (8 * total).bit_length()))
+    bits = bits_for(total)
     wanted = sizes.filter(100 * F.col("shared") >= threshold * F.col("n"))
-    doc_filter = spark.sparkContext.broadcast(_bitmap(wanted.select("id").mapInArrow(_doc_positions(bits), _POSITIONS), bits))
-    gram_filter = spark.sparkContext.broadcast(_bitmap(shared.select("frequent").mapInArrow(_gram_positions, _POSITIONS), GRAM_BITS))
+    doc_filter = spark.sparkContext.broadcast(of_ids(wanted.select("id"), bits))
+    gram_filter = spark.sparkContext.broadcast(bitmap(shared.select("frequent").mapInArrow(_gram_positions, "at long"), GRAM_BITS))
     sets = keep(texts.mapInArrow(_ordered_sets(n, bits, doc_filter, gram_filter, CHUNK_WORDS), _SETS))
     classes = sets.groupBy("key").agg(F.min("id").alias("class"))
     members = sets.select("id", "key").join(classes, "key").select("id", "class")
     kept = keep(sets.join(classes.select(F.col("class").alias("id")), "id", "left_semi").select("id", "n", "grams"))
 
     def asked(labelled: DataFrame, centres: bool) -> DataFrame:
-        posted = labelled.select("id", "n", "grams", "label").mapInArrow(_posted(parts, threshold), _POSTED)
-        return keep(posted.groupBy("bucket").applyInArrow(_asked(threshold, centres), _PAIRS).distinct())
+        posted = labelled.select("id", "n", "grams", "label").mapInArrow(_posted(parts, threshold, SPARSE if centres else 1), _POSTED)
+        pairs = posted.groupBy("bucket").applyInArrow(_asked(threshold, centres), _PAIRS)
+        if not centres:
+            return keep(pairs.distinct())
+        # a few centres for each class will do: what they leave apart is asked again
+        some = [F.min("a"), F.max("a"), *(F.min_by("a", F.xxhash64("a", "b", F.lit(i))) for i in range(2))]
+        few = pairs.groupBy("b").agg(*(c.alias(f"c{i}") for i, c in enumerate(some)))
+        return keep(few.select(F.explode(F.array_distinct(F.array(*(f"c{i}" for i in range(len(some)))))).alias("a"), "b"))
 
     links = keep(_verify(asked(kept.withColumn("label", F.col("id")), centres=True), kept, threshold))
     found = components(links).withColumnRenamed("component", "label")
