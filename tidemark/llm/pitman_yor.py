@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays as A
-from tidemark.llm.store import buckets, keep
+from tidemark.llm.store import buckets, keep, small_batches
 
 CONTEXT_BITS = 10
 CONTEXTS = 1 << CONTEXT_BITS
@@ -37,7 +37,7 @@ STRENGTH = 10.0
 BURN_IN, SAMPLES = 1, 3
 #: Customers of one dish and restaurant that stand up at a time are every STEPS-th one.
 STEPS = 64
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 BASE_ADD = 0.1
 
 _U = np.uint64
@@ -82,6 +82,8 @@ def _sent(parts: int):
                 out.append({"bucket": chunk % parts, "chunk": chunk, "train": flags, "ids": _ids(batch.column(0)[lo:hi])})
                 yield from pa.Table.from_pylist(out, _SENT_ARROW).to_batches(max_chunksize=64)
                 lo, chunk = hi, chunk + 1
+                del out
+                A.trim()
 
     return run
 
@@ -126,8 +128,8 @@ class Seating:
         self.size = np.zeros(int(self.places.sum()), np.int32)
         self.size[self.place_of] = many
         self.table = self.place_of[self.dish]
-        turn = (np.arange(len(self.dish)) - self.first[self.dish]) % STEPS
-        self.order, self.bounds = A.grouped(turn, STEPS)
+        self.order, self.bounds = A.grouped((np.arange(len(self.dish)) - self.first[self.dish]) % STEPS, STEPS)
+        self.order = self.order.astype(np.int32)
 
     def sweep(self, new: np.ndarray, discount: float) -> None:
         """Every customer of a dish with several stands up and sits down again; new: a dish's weight of a new table."""
@@ -238,35 +240,48 @@ def _seated(parts: int):
             # repeated attempts see the messages in another order
             parts_of.sort(key=lambda x: x["chunk"])
             out.append({"bucket": bucket, **_grouped(parts_of, parts, bucket)})
-        return pa.Table.from_pylist(out, _SEATED_ARROW)
+        made = pa.Table.from_pylist(out, _SEATED_ARROW)
+        del out, parts_of, table
+        A.trim()
+        return made
 
     return run
 
 
+def _column(messages: list[dict], name: str) -> np.ndarray:
+    """One packed column of all messages, which are emptied of it."""
+    return np.concatenate([A.unpack_positions(x.pop(name)).astype(np.int32) for x in messages])
+
+
 def _grouped(messages: list[dict], parts: int, seed: int) -> dict:
     chunks = np.array([x["chunk"] for x in messages], np.int64)
-    _, own = np.unique(np.concatenate([np.frombuffer(x["words"], _U) for x in messages]), return_inverse=True)
-    word = np.repeat(own, np.concatenate([A.unpack_positions(x["counts"]) for x in messages]))
-    doc, n = (np.concatenate([A.unpack_positions(x[k]) for x in messages]) for k in ("doc", "n"))
-    chunk = np.repeat(np.arange(len(messages)), [len(x["context"]) // 2 for x in messages])
-    train = np.concatenate([np.unpackbits(np.frombuffer(x["train"], np.uint8))[A.unpack_positions(x["doc"])] for x in messages]).astype(np.int64)
-    kind = word << CONTEXT_BITS | np.concatenate([np.frombuffer(x["context"], np.uint16) for x in messages]).astype(np.int64)
-    order = np.argsort(kind, kind="stable")
+    chunk = np.repeat(np.arange(len(messages), dtype=np.int32), [len(x["context"]) // 2 for x in messages])
+    _, own = np.unique(np.concatenate([np.frombuffer(x.pop("words"), _U) for x in messages]), return_inverse=True)
+    kind = np.repeat(own, _column(messages, "counts")) << CONTEXT_BITS
+    kind |= np.concatenate([np.frombuffer(x.pop("context"), np.uint16) for x in messages])
+    del own
+    order = np.argsort(kind, kind="stable").astype(np.int32)
     kind = kind[order]
     begin = A.runs(kind)
-    c = np.add.reduceat((n * train)[order], begin)
     word, context = kind[begin] >> CONTEXT_BITS, kind[begin] & CONTEXTS - 1
+    del kind
+    counts = np.diff(np.append(begin, len(order)))
+    flags = [np.unpackbits(np.frombuffer(x["train"], np.uint8)) for x in messages]
+    doc, n = _column(messages, "doc"), _column(messages, "n")
+    ends = np.concatenate([[0], np.bincount(chunk, minlength=len(messages)).cumsum()])
+    learnt = np.concatenate([n[lo:hi] * f[doc[lo:hi]] for f, lo, hi in zip(flags, ends, ends[1:], strict=False)])
+    c = np.add.reduceat(learnt[order].astype(np.int64), begin)
+    pack = A.pack_positions
+    items = {"counts": pack(counts), "chunks": chunks.tobytes(), "chunk": pack(chunk[order]), "doc": pack(doc[order]), "n": pack(n[order])}
+    del doc, n, learnt, chunk, order
     n_words = int(word[-1]) + 1
     total = np.bincount(word, c, n_words)
     kinds = np.bincount(word, c > 0, n_words)
     d = discount((c == 1).sum(), (c == 2).sum()), discount((kinds == 1).sum(), (kinds == 2).sum())
     drawn = Samples(word, context, c, n_words, parts, d, seed)
-    pack = A.pack_positions
     return {
-        "types": pack(np.bincount(word, minlength=n_words)), "context": context.astype(np.uint16).tobytes(), "c": pack(c),
-        "tables": pack(np.concatenate(drawn.t)), "parents": pack(np.concatenate(drawn.parents)), "root": pack(np.concatenate(drawn.t0)),
-        "counts": pack(np.diff(np.append(begin, len(order)))), "chunks": chunks.tobytes(), "chunk": pack(chunk[order]), "doc": pack(doc[order]), "n": pack(n[order]),
-        "once": int((total > 0).sum()), "twice": int(total.sum()),
+        "types": pack(np.bincount(word, minlength=n_words)), "context": context.astype(np.uint16).tobytes(), "c": pack(c), "tables": pack(np.concatenate(drawn.t)), "parents": pack(np.concatenate(drawn.parents)),
+        "root": pack(np.concatenate(drawn.t0)), "once": int((total > 0).sum()), "twice": int(total.sum()), **items,
     }
 
 
@@ -278,10 +293,17 @@ _WORDS, _TOKENS, _ONE1, _TWO1, _ONE0, _TWO0 = range(6)
 _HEAD = 6 + SAMPLES
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of megabytes each: one at a time is unpacked, and memory is given back after it."""
+    for i in range(batch.num_rows):
+        yield from batch.slice(i, 1).to_pylist()
+        A.trim()
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = np.zeros(_HEAD + (1 + SAMPLES) * CONTEXTS)
     for batch in batches:
-        for x in batch.to_pylist():
+        for x in _one_by_one(batch):
             if x["ids"] is not None:
                 continue
             context, c = np.frombuffer(x["context"], np.uint16), A.unpack_positions(x["c"])
@@ -315,7 +337,7 @@ def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = shared.value
         for batch in batches:
-            for x in batch.to_pylist():
+            for x in _one_by_one(batch):
                 if x["ids"] is not None:
                     yield pa.RecordBatch.from_pylist([{"chunk": x["own"], "ids": x["ids"], "train": x["train"]}], _PARTS_ARROW)
                     continue
@@ -369,9 +391,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     Every row is a document of its own, repeats too; a null id stays null, and a null in train is false.
     Without training rows every token is unknown, and has probability 1.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-    parts = buckets(rows, 2)
+    parts = buckets(rows, 3)
     seated = keep(rows.mapInArrow(_sent(parts), _SENT).groupBy("bucket").applyInArrow(_seated(parts), _SEATED))
     found = seated.mapInArrow(_totals, _TOTALS).groupBy("at").agg(F.sum("v").alias("v")).toArrow()
     totals = np.zeros(_HEAD + (1 + SAMPLES) * CONTEXTS)
