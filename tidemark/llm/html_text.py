@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import small_batches
+
 # The elements of HTML.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main "
@@ -367,6 +369,7 @@ def extract(pages: DataFrame, chain: Chain | None = None, html_col: str = "html"
     Character references are decoded, white space in a block is one space, blocks are joined by a line end.
     Repeated rows, and rows with nulls in other columns, come out like any other; extra columns don't.
     """
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(chain or fitted())
     rows = pages.select(*keep, F.col(html_col).alias("_html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

@@ -25,15 +25,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.arrays import trim
+from tidemark.llm.store import small_batches
+
 TRAIN_DOCUMENTS = 12_000
-WORDS = 40_000
-GRAMS = 40_000
+WORDS = 20_000
+GRAMS = 20_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 #: The confidence counts at most so many words' evidence, at the mean of all.
 EVIDENCE = 12
 UNKNOWN = "und"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SCORED = "id long, lang_pred string, score double, n_words long, known_share double"
@@ -78,6 +81,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     The languages are the labels met; of a table without labelled rows, the model knows none.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    small_batches(rows.sparkSession)
     n = rows.select("lang").count()
     share = min(1.0, most / max(1, n))
     sample = rows if share == 1 else rows.filter(F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(20)), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -164,6 +168,7 @@ def _predicted(shared, token: str):
                 found = [scorer.predict(text.as_py()) for text in batch.column(1)]
                 said = [pa.array(x, t.type) for x, t in zip(zip(*found, strict=True), list(_SCORED_ARROW)[1:], strict=True)]
                 yield pa.record_batch([batch.column(0), *said, *batch.columns[2:]], names=[*_SCORED_ARROW.names, *batch.schema.names[2:]])
+        trim()
 
     return run
 
@@ -174,6 +179,7 @@ def predict(docs: DataFrame, fitted: Model, text_col: str = "text", id_col: str
     `und` and a score of 0 if the text is null or has no letter, or the model knows no language.  Languages
     of equal sums: the first by name.  Repeated rows and rows without an id are predicted like any other.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole_rows else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *row)

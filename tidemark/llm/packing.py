@@ -19,10 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.arrays import trim
+from tidemark.llm.store import small_batches
+
 CAPACITY = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 21
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
 
 _PIECES = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _PIECES_ARROW = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -135,6 +138,7 @@ def _pack(path: str, ranks: str, capacity: int, block: int):
                     keys, ids, have = [], [], 0
         if keys:
             yield from flush()
+        trim()
 
     return run
 
@@ -147,5 +151,6 @@ def pack(docs: DataFrame, path: str, ranks: str, id_col: str = "doc_id", text_co
     the end token alone.  Every row is a document, repeats and rows without an id too; extra columns are
     ignored; an empty table gives no pieces.  The pieces of a sequence follow each other from offset 0.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_pack(path, ranks, capacity, block_tokens), _PIECES)

@@ -19,9 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import small_batches
+
 MARK = "▁"
 RATE = 0.1
-CACHED_SEGMENTS = 250_000
+CACHED_SEGMENTS = 150_000
 
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 _ENCODED = "id long, ids array<int>"
@@ -164,6 +166,7 @@ def _check(path: str, rate: float, seed: int):
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 

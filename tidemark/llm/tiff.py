@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import small_batches
+
 # Fixed values of the TIFF 6.0 format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -311,4 +313,5 @@ def described_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     One row for each row of docs, in one pass and without a shuffle; equal texts give equal values; a null
     text is empty, a null id stays null, extra columns are ignored, an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_described, _STORED)

@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import small_batches
+
 MARK = "▁"
-STORED = 300_000
+STORED = 200_000
 DOCUMENTS_AT_A_TIME = 500
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -110,4 +112,5 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     A null or empty text, or one without words, has 0 of both.  Repeated rows and rows without an id are
     counted like any other; extra columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_counted(path), _COUNTS)
