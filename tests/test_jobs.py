@@ -18,7 +18,7 @@ from tidemark.streaming import monthly
 @pytest.fixture(scope="module")
 def ds(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("jobs")
-    synth.write_sample(spark, f"{folder}/raw", 700, 5)
+    synth.write_sample(spark, f"{folder}/raw", 400, 5)
     raw.prepare(spark, f"{folder}/raw", f"{folder}/prepared")
     return raw.load(spark, f"{folder}/prepared")
 

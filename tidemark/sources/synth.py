@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.functions import calendar as cal
 
 FIRST, LAST, PROMO_FROM = date(2015, 1, 1), date(2017, 3, 31), date(2016, 9, 1)
-#: Days of each plan, its price and how common it is.
-PLANS = {30: (149, 0.85), 7: (0, 0.03), 90: (447, 0.05), 180: (894, 0.03), 410: (1788, 0.04)}
-PROMO_METHOD = 34
+#: Price and share of customers of each plan, by its days; payment methods by how a customer renews.
+PLANS = {30: (150, 0.80), 90: (420, 0.08), 180: (800, 0.05), 365: (1500, 0.04), 14: (0, 0.03)}
+METHODS = {"automatic": (41, 40, 39), "manual": (38, 32, 30), "promo": (34,)}
+#: Chance to leave at the end of a period; a free promo's first paid period comes third.
+LEAVES = {"automatic": 0.05, "manual": 0.22, "promo": 0.06}
+PROMO_PAYS = 0.75
 
 _ROWS = "kind string, msno string, a string, b string, c string, d string, e string, f string, g string, h string"
 _TX = ["msno", "payment_method_id", "payment_plan_days", "plan_list_price", "actual_amount_paid", "is_auto_renew", "transaction_date", "membership_expire_date", "is_cancel"]
@@ -27,101 +30,82 @@ _MEMBERS = ["msno", "city", "bd", "gender", "registered_via", "registration_init
 _LOGS = ["msno", "date", "num_25", "num_50", "num_75", "num_985", "num_100", "num_unq", "total_secs"]
 
 
-def _chance(z: float) -> float:
-    return float(1 / (1 + np.exp(-z)))
-
-
 class Customer:
     """One customer's life, drawn from a generator seeded by their number."""
 
     def __init__(self, number: int, seed: int):
-        self.rng = np.random.default_rng([seed, number])
+        self.rng = rng = np.random.default_rng([seed, number])
         self.msno = f"u{number:09d}"
-        self.tx: list[tuple] = []
         self.months = cal.ends_between(FIRST, LAST)
-        self.quiet: set[int] = set()
-        self.member: set[int] = set()
+        self.kind = str(rng.choice(["automatic", "manual", "promo"], p=[0.62, 0.20, 0.18]))
+        self.plan = 30 if self.kind == "promo" else int(rng.choice(list(PLANS), p=[share for _, share in PLANS.values()]))
+        # keenness wanders around a level of the customer's own
+        steps = rng.normal(0, 0.3, len(self.months))
+        self.keen = rng.normal() + np.convolve(steps, 0.7 ** np.arange(6))[: len(steps)]
+        self.tx: list[tuple] = []
+        self.heard: dict[int, float] = {}
+        self._live()
 
-    def _days(self, low: int, high: int) -> timedelta:
-        return timedelta(days=int(self.rng.integers(low, high)))
+    def _later(self, day: date, low: int, high: int) -> date:
+        return day + timedelta(days=int(self.rng.integers(low, high)))
 
-    def _month(self, d: date) -> int:
-        return min(len(self.months) - 1, (d.year - FIRST.year) * 12 + d.month - 1)
+    def _month(self, day: date) -> int:
+        return min(len(self.months) - 1, max(0, (day.year - FIRST.year) * 12 + day.month - 1))
 
-    def _pay(self, day: date, ends: date, paid: int, auto: bool, cancel: bool = False) -> None:
+    def _book(self, day: date, ends: date, paid: int, cancel: bool = False) -> None:
         if day <= LAST:
-            self.tx.append((self.method, self.plan, self.price, paid, int(auto), f"{day:%Y%m%d}", f"{ends:%Y%m%d}", int(cancel)))
-
-    def live(self) -> Customer:
-        rng, kind = self.rng, self.rng.random()
-        self.promo = kind >= 0.82
-        if kind < 0.35:
-            start = FIRST + self._days(0, 31)
-            self.registered = start - self._days(0, 1500)
-        elif not self.promo:
-            start = FIRST + self._days(31, (LAST - FIRST).days - 31)
-            self.registered = start - self._days(0, 30)
-        else:
-            start = PROMO_FROM + self._days(0, 150)
-            self.registered = start - self._days(0, 10)
-        days = list(PLANS)
-        self.plan = 30 if self.promo else int(rng.choice(days, p=[PLANS[d][1] for d in days]))
-        self.price = PLANS[self.plan][0]
-        auto = self.promo or rng.random() < (0.78 if self.plan == 30 else 0.35)
-        self.method = PROMO_METHOD if self.promo else int(rng.choice([41, 40, 36, 39], p=[0.6, 0.2, 0.1, 0.1]) if auto else rng.choice([38, 37, 32, 30], p=[0.4, 0.3, 0.2, 0.1]))
-        level, mood = rng.normal(), []
-        now = level
-        for _ in self.months:
-            now = 0.8 * now + 0.2 * level + rng.normal(0, 0.45)
-            mood.append(now)
-        self.mood, paid, period, trouble = mood, 0 if self.promo else self.price if rng.random() > 0.1 else int(self.price * 0.8), 0, 0.0
-        day, ends = start, start + timedelta(days=self.plan)
-        self._pay(day, ends, paid, auto)
-        while True:
-            self.member |= set(range(max(0, self._month(day)), self._month(ends) + 1))
+            method = METHODS[self.kind][int(self.rng.integers(len(METHODS[self.kind])))]
+            self.tx.append((method, self.plan, PLANS[self.plan][0], paid, int(self.kind != "manual" and not cancel), f"{day:%Y%m%d}", f"{ends:%Y%m%d}", int(cancel)))
+
+    def _start(self) -> date:
+        if self.kind == "promo":
+            return self._later(PROMO_FROM, 0, 150)
+        early = self.rng.random() < 0.45
+        return self._later(FIRST, 0, 30) if early else self._later(FIRST, 30, (LAST - FIRST).days - 30)
+
+    def _live(self) -> None:
+        rng, price = self.rng, PLANS[self.plan][0]
+        day = self._start()
+        self.registered = self._later(day, -900, 1)
+        periods = strikes = 0
+        while day <= LAST:
+            free = self.kind == "promo" and periods < 2
+            ends = day + timedelta(days=self.plan)
+            self._book(day, ends, 0 if free else price)
+            periods += 1
+            for m in range(self._month(day), self._month(ends) + 1):
+                self.heard[m] = 1.0
             if ends > LAST:
-                break
-            at = self._month(ends)
-            z = -2.9 + 2.3 * (not auto) - 0.85 * mood[at] + 0.9 * (self.plan == 7) - 0.4 * (self.plan >= 90) + trouble
-            z += {0: -0.5, 1: 0.0, 2: 3.4}.get(period, 0.9) if self.promo else 0
-            period += 1
-            if rng.random() >= _chance(z):
-                day = ends - self._days(0, 2) if auto else ends + self._days(-10, 21)
-                ends = max(ends, day) + timedelta(days=self.plan)
-                paid = self.price if self.promo and period >= 3 else paid
-                trouble = max(0.0, trouble - 0.1)
-            else:
-                if not self.promo:
-                    self.quiet.add(at)
-                    if auto and rng.random() < 0.85:
-                        self._pay(ends - self._days(1, 21), ends, 0, False, cancel=True)
-                if rng.random() >= 0.3:
-                    break
-                day = ends + self._days(45, 300)
-                ends, trouble, auto, paid = day + timedelta(days=self.plan), trouble + 0.6, rng.random() < 0.5, self.price
-                self.method = int(rng.choice([41, 38, 40, 37]))
-            if day > LAST:
-                break
-            self._pay(day, ends, paid, auto)
-        return self
+                return
+            due = self._month(ends)
+            risk = PROMO_PAYS if self.kind == "promo" and periods == 3 else LEAVES[self.kind] * 1.5**strikes * np.exp(-0.6 * self.keen[due])
+            if rng.random() >= min(0.95, risk):
+                day = self._later(ends, -1, 1) if self.kind != "manual" else self._later(ends, -8, 18)
+                continue
+            if self.kind != "promo":
+                self.heard[due] = 0.3
+            if self.kind == "automatic" and rng.random() < 0.8:
+                self._book(self._later(ends, -18, 0), ends, 0, cancel=True)
+            if rng.random() >= 0.25:
+                return
+            strikes += 1
+            day = self._later(ends, 50, 280)
 
     def profile(self) -> tuple:
         rng = self.rng
-        city = int(rng.choice([1, 4, 5, 13, 22, 15, 6], p=[0.45, 0.1, 0.1, 0.12, 0.08, 0.08, 0.07]))
-        age = 0 if rng.random() < 0.55 else int(rng.integers(15, 60))
-        return city, age, str(rng.choice(["", "male", "female"], p=[0.55, 0.23, 0.22])), int(rng.choice([7, 9, 3, 4, 13], p=[0.45, 0.25, 0.15, 0.1, 0.05])), f"{self.registered:%Y%m%d}"
+        city = int(rng.choice([1, 4, 5, 13, 22, 8], p=[0.4, 0.15, 0.15, 0.1, 0.1, 0.1]))
+        age = int(rng.integers(14, 65)) if rng.random() < 0.5 else 0
+        return city, age, ("", "male", "female")[int(rng.integers(3))], (3, 4, 7, 9)[int(rng.integers(4))], f"{self.registered:%Y%m%d}"
 
     def listening(self) -> Iterator[tuple]:
         rng = self.rng
-        for at in sorted(self.member):
-            end, mood = self.months[at], self.mood[at]
-            n = int(rng.binomial(end.day, 0.6 * _chance(-0.3 + 1.1 * mood) * (0.35 if at in self.quiet else 1.0)))
-            for d in sorted(rng.choice(end.day, size=n, replace=False) + 1):
-                songs = int(rng.poisson(np.exp(3.0 + 0.3 * mood))) + 1
-                whole = int(rng.binomial(songs, np.clip(0.55 + 0.1 * mood + rng.normal(0, 0.05), 0.05, 0.95)))
-                short = int(rng.binomial(songs - whole, 0.5))
-                half = int(rng.binomial(songs - whole - short, 0.4))
-                yield f"{end:%Y%m}{int(d):02d}", short, half, songs - whole - short - half, 0, whole, int(songs * 0.9) + 1, round(songs * float(rng.uniform(180, 240)), 3)
+        for m, share in sorted(self.heard.items()):
+            end = self.months[m]
+            days = np.flatnonzero(rng.random(end.day) < share * 0.55 / (1 + np.exp(-self.keen[m]))) + 1
+            for d in days.tolist():
+                songs = 1 + int(rng.poisson(18 * np.exp(0.3 * self.keen[m])))
+                whole, *parts = rng.multinomial(songs, [0.6, 0.2, 0.1, 0.1]).tolist()
+                yield f"{end:%Y%m}{d:02d}", *parts, 0, whole, max(1, songs * 9 // 10), round(songs * float(rng.uniform(170, 250)), 3)
 
 
 def _lives(seed: int):
@@ -130,7 +114,7 @@ def _lives(seed: int):
             for lo in range(0, len(batch), 200):
                 rows = []
                 for number in batch["id"].iloc[lo : lo + 200]:
-                    c = Customer(int(number), seed).live()
+                    c = Customer(int(number), seed)
                     rows += [("tx", c.msno, *x) for x in c.tx]
                     rows.append(("member", c.msno, *c.profile(), None, None, None))
                     rows += [("log", c.msno, *x) for x in c.listening()]
