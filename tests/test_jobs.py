@@ -1,4 +1,4 @@
-"""The audit, the replay and the streams, end to end on made-up customers."""
+"""A recipe's audit, the replay, reports and streams on made-up customers."""
 
 from __future__ import annotations
 
@@ -58,15 +58,23 @@ def test_learned_replay(ds, tmp_path):
     assert replay.Replay(ds, str(tmp_path), job.config).step()["today"] == "2016-11-30"
 
 
-def test_audit_document_and_report(ds, tmp_path):
-    result = audit.run(ds, money.Assumptions(), trees=5)
-    assert [r["key"] for r in result["recipes"]] == ["A", "B", "C"]
-    published = [r["results"]["as_published"]["auc"] for r in result["recipes"]]
-    honest = [r["results"]["honest_time_split"]["auc"] for r in result["recipes"]]
-    assert sum(published) > sum(honest)
+def test_recipe_audit_finds_the_leak(ds):
+    cut = audit.pick_cutoffs(ds.data_end, 2)
+    result = audit.audit_recipe(audit.recipes.RECIPES["B"], ds, cut, trees=3)
+    assert set(result["results"]) == {"as_published", "clean_features_random_split", "honest_time_split"}
+    assert any(x["leaked"] and x["feature"] == "membership_expire_date" for x in result["leaks"])
+
+
+def test_report(tmp_path):
+    score = {"auc": 0.9, "accuracy": 0.9, "f1": 0.5, "precision": 0.5, "recall": 0.5}
+    leak = {"feature": "is_cancel", "changed_share": 0.1, "changed_strict": 0.1, "signal_published": 0.9, "signal_honest": 0.6, "leaked": True}
+    recipe = {"key": "B", "results": {k: score for k in ("as_published", "clean_features_random_split", "honest_time_split")}, "leaks": [leak], "auc_drop": 0.1}
+    table = {"boosted": {"auc": 0.8, "ap": 0.4, "log_loss": 0.2, "saved_money_threshold": 1000.0}}
+    policy = {"policy": "money_threshold", "offers": 100, "leavers_reached": 30, "saved": 1300.0}
+    result = {"cutoffs": {"test": date(2017, 1, 31), "valid": date(2016, 11, 30)}, "recipes": [recipe], "models": {"table": table, "money": {"comparison": [policy]}, "top_features": {"auto_renew": 0.4}}}
     audit.save(result, tmp_path / "audit.json")
     report.write_all(json.loads((tmp_path / "audit.json").read_text()), tmp_path)
-    assert "# Results" in (tmp_path / "results.md").read_text() and "€" in (tmp_path / "summary.md").read_text()
+    assert "is_cancel" in (tmp_path / "results.md").read_text() and "300 leavers" in (tmp_path / "summary.md").read_text()
     (tmp_path / "x.md").write_text("a <!-- t -->old<!-- /t --> b")
     report.replace_block(tmp_path / "x.md", "t", "new")
     assert (tmp_path / "x.md").read_text() == "a <!-- t -->\nnew\n<!-- /t --> b"
