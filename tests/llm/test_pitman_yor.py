@@ -152,3 +152,13 @@ def test_hashes_of_ends_and_words_differ():
     data, rows = A.text_bytes(pa.array(["A b", None]))
     row, token, before = Y.tokens(data, rows)
     assert row.tolist() == [0, 0, 0, 1] and token[2] == token[3] == Y._END and before[0] == before[3] == Y._START and before[1] == token[0]
+
+
+def test_each_word_before_has_its_restaurant(spark):
+    """What follows a rare word is learnt from that word alone, however many other words there are."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"a{i} b{i}" for i in rng.permutation(6000)[:600]) for _ in range(50)]
+    got = scored(spark, [(i, i % 4 != 0, t) for i, t in enumerate(texts)], parts=4)
+    held = [r for r in got.values() if not r.train]
+    # of each two words the second follows from the first, so the score is near half of the base
+    assert sum(r.score for r in held) > 0.63 * sum(r.base for r in held)

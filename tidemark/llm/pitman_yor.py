@@ -1,18 +1,20 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
 Tokens are words (lower-cased in A-Z) and an end for each document.  The token before (a start mark before
-the first) chooses a context restaurant; contexts are hashed into CONTEXTS restaurants, so that their
-totals are a small table however many words there are.  All contexts share one parent, the unigram
-restaurant: who sits down at a new table in a context is a customer of the parent, and a new table there
-draws from the uniform base over the training vocabulary and one unknown token.
+the first) chooses a context restaurant, and each such word has its own, known by its 64-bit hash.  All
+contexts share one parent, the unigram restaurant: who sits down at a new table in a context is a customer
+of the parent, and a new table there draws from the uniform base over the training vocabulary and one
+unknown token.
 
 1. Each task counts a chunk of documents and sends (word, context, document) counts, packed, to the word's
    bucket.  All customers who eat a word are then in one bucket, those of its parent too.
-2. A bucket seats them by Gibbs sampling: a customer stands up and sits down again, at a table in
+2. Contexts span buckets: each bucket sends what it has of its contexts to shards of the contexts' hashes,
+   which add up and send back the totals.
+3. A bucket seats them by Gibbs sampling: a customer stands up and sits down again, at a table in
    proportion to its size less the discount, or at a new one in proportion to the parent's probability.
-   Restaurant totals, which span buckets, enter as estimates here (hashing deals words evenly).  Seatings
-   of the last sweeps are kept as samples.
-3. With the exact totals of each sample, which are summed over all buckets, a token's probability is the
+   Restaurant totals are here those of the start, one table for each word met.  Seatings of the last
+   sweeps are kept as samples.
+4. With the exact totals of each sample, which are summed over all buckets as in 2, a token's probability is the
    mean of the samples' predictive probabilities.  Sums of logarithms go back to the documents.
 
 Training counts are of all training documents; nothing is capped or sampled but the seating.
@@ -21,18 +23,21 @@ Training counts are of all training documents; nothing is capped or sampled but
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays as A
 from tidemark.llm.store import buckets, keep, small_batches
 
-CONTEXT_BITS = 10
-CONTEXTS = 1 << CONTEXT_BITS
+#: Contexts that the totals of one bucket taken alone have room for; totals of all buckets have as many as there are.
+CONTEXTS = 1 << 10
+#: Buckets of words for each shard of the contexts.
+BUCKETS_A_SHARD = 4
 STRENGTH = 10.0
 BURN_IN, SAMPLES = 1, 3
 #: Customers of one dish and restaurant that stand up at a time are every STEPS-th one.
@@ -46,8 +51,19 @@ _START, _END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 
 # --- 1. counts ---------------------------------------------------------------------------------------------------
 
-_SENT = "bucket int, chunk long, train binary, words binary, counts binary, context binary, doc binary, n binary, ids binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("train", "words", "counts", "context", "doc", "n", "ids"))])
+def _pack(x: np.ndarray) -> bytes:
+    """Positions, compressed: they fill most of the tables and messages here."""
+    raw = A.pack_positions(x)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    return A.unpack_positions(pa.decompress(memoryview(raw)[8:], size, codec="zstd", asbytes=True))
+
+
+_SENT = "bucket int, chunk long, train binary, words binary, counts binary, contexts binary, context binary, doc binary, n binary, ids binary"
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("train", "words", "counts", "contexts", "context", "doc", "n", "ids"))])
 
 
 def tokens(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,22 +111,24 @@ def _ids(ids: pa.Array) -> bytes:
 
 def _packed(data: np.ndarray, rows: np.ndarray, parts: int) -> list[dict]:
     row, token, before = tokens(data, rows)
-    context = A.bucket_of(A.mix(before ^ _U(0x2545F4914F6CDD1D)), CONTEXTS)
     words, own = np.unique(token, return_inverse=True)
-    bits = (len(rows) - 1).bit_length()
-    key, n = np.unique(((own << CONTEXT_BITS | context) << bits | row).astype(_U), return_counts=True)
+    contexts, context = np.unique(before, return_inverse=True)
+    bits, wide = (len(rows) - 1).bit_length(), len(contexts).bit_length()
+    key, n = np.unique(((own << wide | context) << bits | row).astype(_U), return_counts=True)
+    del row, token, before, context
     key = key.astype(np.int64)
-    doc, context, own = key & (1 << bits) - 1, key >> bits & CONTEXTS - 1, key >> bits + CONTEXT_BITS
+    doc, context, own = key & (1 << bits) - 1, key >> bits & (1 << wide) - 1, key >> bits + wide
     order, bounds = A.grouped(A.bucket_of(A.mix(words ^ _U(0x9FB21C651E98DF25)), parts)[own], parts)
     out = []
     for b in np.flatnonzero(np.diff(bounds)):
         i = order[bounds[b] : bounds[b + 1]]
         first = A.runs(own[i])
-        out.append({"bucket": int(b), "words": words[own[i][first]].tobytes(), "counts": A.pack_positions(np.diff(np.append(first, len(i)))), "context": context[i].astype(np.uint16).tobytes(), "doc": A.pack_positions(doc[i]), "n": A.pack_positions(n[i])})
+        met, at = np.unique(context[i], return_inverse=True)
+        out.append({"bucket": int(b), "words": words[own[i][first]].tobytes(), "counts": _pack(np.diff(np.append(first, len(i)))), "contexts": contexts[met].tobytes(), "context": _pack(at), "doc": _pack(doc[i]), "n": _pack(n[i])})
     return out
 
 
-# --- 2. seating --------------------------------------------------------------------------------------------------
+# --- 3. seating --------------------------------------------------------------------------------------------------
 
 
 class Seating:
@@ -194,20 +212,23 @@ def discount(once: float, twice: float) -> float:
 class Samples:
     """Of a bucket: tables of each (word, context) and of each word in the parent, in each sample."""
 
-    def __init__(self, word: np.ndarray, context: np.ndarray, c: np.ndarray, n_words: int, parts: int, d: tuple[float, float], seed: int):
+    def __init__(self, word: np.ndarray, context: np.ndarray, c: np.ndarray, n_words: int, parts: int, d: tuple[float, float], seed: int, totals: tuple[np.ndarray, int, int] | None = None):
+        """totals: tables of each context at the start, of all contexts, and words met; without them, parts times the bucket's."""
         rng = np.random.default_rng(seed)
         some = np.flatnonzero(c > 0)
         word, context = word[some], context[some]
         child = Seating(c[some], rng)
-        tables = np.maximum(1, parts * np.bincount(context, minlength=CONTEXTS))  # at the start, one for each word met
-        words = max(1, parts * len(np.unique(word)))
+        if totals is None:
+            tables = np.maximum(1, parts * np.bincount(context, minlength=CONTEXTS))  # at the start, one for each word met
+            totals = tables, tables.sum(), max(1, parts * len(np.unique(word)))
+        tables, every, words = totals
         base = 1 / (words + 1)
         self.t, self.parents, self.t0 = [], [], []
         t0 = np.zeros(n_words, np.int64)
         customers = np.bincount(word, child.t, n_words).astype(np.int64)
         t0[customers > 0] = 1
         for turn in range(BURN_IN + SAMPLES):
-            parent = (np.maximum(customers - d[1] * t0, 0) + (STRENGTH + d[1] * words) * base) / (STRENGTH + tables.sum())
+            parent = (np.maximum(customers - d[1] * t0, 0) + (STRENGTH + d[1] * words) * base) / (STRENGTH + every)
             child.sweep((STRENGTH + d[0] * tables[context]) * parent[word], d[0])
             customers = np.bincount(word, child.t, n_words).astype(np.int64)
             at = np.flatnonzero(customers)
@@ -223,47 +244,52 @@ class Samples:
                 self.t0.append(t0)
 
 
-_SEATED = "bucket int, types binary, context binary, c binary, tables binary, parents binary, root binary, counts binary, chunks binary, chunk binary, doc binary, n binary, once long, twice long, ids binary, own long, train binary"
-_SEATED_ARROW = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("types", "context", "c", "tables", "parents", "root", "counts", "chunks", "chunk", "doc", "n")), ("once", pa.int64()), ("twice", pa.int64()), ("ids", pa.binary()), ("own", pa.int64()), ("train", pa.binary())])
+_GROUPED = "bucket int, types binary, contexts binary, context binary, c binary, counts binary, chunks binary, chunk binary, doc binary, n binary, words long, tokens long, one1 long, two1 long, one0 long, two0 long, kinds long, ids binary, own long, train binary"
+_HEADS = ("words", "tokens", "one1", "two1", "one0", "two0", "kinds")
+_GROUPED_ARROW = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("types", "contexts", "context", "c", "counts", "chunks", "chunk", "doc", "n")), *((x, pa.int64()) for x in _HEADS), ("ids", pa.binary()), ("own", pa.int64()), ("train", pa.binary())])
 
 
-def _seated(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        out, parts_of = [], []
-        for x in table.to_pylist():
-            if x["ids"] is not None:
-                out.append({"bucket": bucket, "ids": x["ids"], "own": x["chunk"], "train": x["train"]})
-            else:
-                parts_of.append(x)
-        if parts_of:
-            # repeated attempts see the messages in another order
-            parts_of.sort(key=lambda x: x["chunk"])
-            out.append({"bucket": bucket, **_grouped(parts_of, parts, bucket)})
-        made = pa.Table.from_pylist(out, _SEATED_ARROW)
-        del out, parts_of, table
-        A.trim()
-        return made
-
-    return run
+def _by_bucket(table: pa.Table) -> pa.Table:
+    bucket = table["bucket"][0].as_py()
+    out, parts_of = [], []
+    for x in table.to_pylist():
+        if x["ids"] is not None:
+            out.append({"bucket": bucket, "ids": x["ids"], "own": x["chunk"], "train": x["train"]})
+        else:
+            parts_of.append(x)
+    if parts_of:
+        # repeated attempts see the messages in another order
+        parts_of.sort(key=lambda x: x["chunk"])
+        out.append({"bucket": bucket, **_grouped(parts_of)})
+    made = pa.Table.from_pylist(out, _GROUPED_ARROW)
+    del out, parts_of, table
+    A.trim()
+    return made
 
 
 def _column(messages: list[dict], name: str) -> np.ndarray:
     """One packed column of all messages, which are emptied of it."""
-    return np.concatenate([A.unpack_positions(x.pop(name)).astype(np.int32) for x in messages])
+    return np.concatenate([_unpack(x.pop(name)).astype(np.int32) for x in messages])
 
 
-def _grouped(messages: list[dict], parts: int, seed: int) -> dict:
+def _grouped(messages: list[dict]) -> dict:
     chunks = np.array([x["chunk"] for x in messages], np.int64)
-    chunk = np.repeat(np.arange(len(messages), dtype=np.int32), [len(x["context"]) // 2 for x in messages])
     _, own = np.unique(np.concatenate([np.frombuffer(x.pop("words"), _U) for x in messages]), return_inverse=True)
-    kind = np.repeat(own, _column(messages, "counts")) << CONTEXT_BITS
-    kind |= np.concatenate([np.frombuffer(x.pop("context"), np.uint16) for x in messages])
-    del own
+    kind = np.repeat(own, _column(messages, "counts"))
+    met = [np.frombuffer(x.pop("contexts"), _U) for x in messages]
+    before = np.concatenate([[0], np.cumsum([len(x) for x in met])])
+    contexts, own = np.unique(np.concatenate(met), return_inverse=True)
+    del met
+    at = [_unpack(x.pop("context")) for x in messages]
+    chunk = np.repeat(np.arange(len(messages), dtype=np.int32), [len(x) for x in at])
+    wide = len(contexts).bit_length()
+    kind <<= wide
+    kind |= np.concatenate([own[x + lo] for x, lo in zip(at, before, strict=False)])
+    del own, at
     order = np.argsort(kind, kind="stable").astype(np.int32)
     kind = kind[order]
     begin = A.runs(kind)
-    word, context = kind[begin] >> CONTEXT_BITS, kind[begin] & CONTEXTS - 1
+    word, context = kind[begin] >> wide, kind[begin] & (1 << wide) - 1
     del kind
     counts = np.diff(np.append(begin, len(order)))
     flags = [np.unpackbits(np.frombuffer(x["train"], np.uint8)) for x in messages]
@@ -271,23 +297,106 @@ def _grouped(messages: list[dict], parts: int, seed: int) -> dict:
     ends = np.concatenate([[0], np.bincount(chunk, minlength=len(messages)).cumsum()])
     learnt = np.concatenate([n[lo:hi] * f[doc[lo:hi]] for f, lo, hi in zip(flags, ends, ends[1:], strict=False)])
     c = np.add.reduceat(learnt[order].astype(np.int64), begin)
-    pack = A.pack_positions
+    pack = _pack
     items = {"counts": pack(counts), "chunks": chunks.tobytes(), "chunk": pack(chunk[order]), "doc": pack(doc[order]), "n": pack(n[order])}
     del doc, n, learnt, chunk, order
     n_words = int(word[-1]) + 1
     total = np.bincount(word, c, n_words)
     kinds = np.bincount(word, c > 0, n_words)
-    d = discount((c == 1).sum(), (c == 2).sum()), discount((kinds == 1).sum(), (kinds == 2).sum())
-    drawn = Samples(word, context, c, n_words, parts, d, seed)
     return {
-        "types": pack(np.bincount(word, minlength=n_words)), "context": context.astype(np.uint16).tobytes(), "c": pack(c), "tables": pack(np.concatenate(drawn.t)), "parents": pack(np.concatenate(drawn.parents)),
-        "root": pack(np.concatenate(drawn.t0)), "once": int((total > 0).sum()), "twice": int(total.sum()), **items,
+        "types": pack(np.bincount(word, minlength=n_words)), "contexts": contexts.tobytes(), "context": pack(context), "c": pack(c), "words": int((total > 0).sum()), "tokens": int(total.sum()), "one1": int((c == 1).sum()),
+        "two1": int((c == 2).sum()), "one0": int((kinds == 1).sum()), "two0": int((kinds == 2).sum()), "kinds": int(kinds.sum()), **items,
     }
 
 
-# --- 3. totals and scores ----------------------------------------------------------------------------------------
+_SEATED = "bucket int, contexts binary, tables binary, parents binary, root binary, customers binary, sums binary, every array<long>, roots array<long>"
+_SEATED_ARROW = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("contexts", "tables", "parents", "root", "customers", "sums")), ("every", pa.list_(pa.int64())), ("roots", pa.list_(pa.int64()))])
+
+
+def _seated(head: dict):
+    d = discount(head["one1"], head["two1"]), discount(head["one0"], head["two0"])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x = left.to_pylist()[0]
+        customers, kinds = _joined(right, 2)
+        types, context, c = (_unpack(x[k]) for k in ("types", "context", "c"))
+        word = np.repeat(np.arange(len(types)), types)
+        drawn = Samples(word, context, c, len(types), 1, d, x["bucket"], (np.maximum(kinds, 1), head["kinds"], max(1, head["words"])))
+        pack = _pack
+        sums = [np.bincount(context, t, len(customers)) for t in drawn.t]
+        out = {
+            "bucket": x["bucket"], "contexts": x["contexts"], "tables": pack(np.concatenate(drawn.t)), "parents": pack(np.concatenate(drawn.parents)), "root": pack(np.concatenate(drawn.t0)),
+            "customers": pack(customers), "sums": pack(np.concatenate(sums)), "every": [int(v.sum()) for v in drawn.parents], "roots": [int(v.sum()) for v in drawn.t0],
+        }
+        made = pa.Table.from_pylist([out], _SEATED_ARROW)
+        del x, out, drawn, left, right
+        A.trim()
+        return made
+
+    return run
+
+
+# --- totals of contexts over all buckets -------------------------------------------------------------------------
+
+_SHARE = "shard int, bucket int, contexts binary, v binary"
+_SHARE_ARROW = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("contexts", pa.binary()), ("v", pa.binary())])
+_SUM_ARROW = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("v", pa.binary())])
+
+
+def _shares(shards: int, values):
+    """What each bucket has of its contexts, by shard.  Contexts are in order of their hashes, and so are shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in _one_by_one(batch):
+                contexts = np.frombuffer(x["contexts"], _U)
+                v = values(x, len(contexts))
+                bounds = np.searchsorted(A.bucket_of(contexts, shards), np.arange(shards + 1))
+                rows = [{"shard": k, "bucket": x["bucket"], "contexts": contexts[lo:hi].tobytes(), "v": _pack(v[:, lo:hi].ravel())} for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if lo < hi]
+                yield from pa.Table.from_pylist(rows, _SHARE_ARROW).to_batches(max_chunksize=64)
+
+    return run
+
+
+def _learnt(x: dict, n: int) -> np.ndarray:
+    """Customers, and words met, of each context."""
+    context, c = _unpack(x["context"]), _unpack(x["c"])
+    return np.stack([np.bincount(context, c, n), np.bincount(context, c > 0, n)]).astype(np.int64)
+
+
+def _tables(x: dict, n: int) -> np.ndarray:
+    return _unpack(x["sums"]).reshape(SAMPLES, n)
+
+
+def _added(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        found = [np.frombuffer(x["contexts"], _U) for x in rows]
+        ends = np.cumsum([len(x) for x in found])
+        _, own = np.unique(np.concatenate(found), return_inverse=True)
+        v = np.concatenate([_unpack(x["v"]).reshape(width, -1) for x in rows], axis=1)
+        sums = np.stack([np.bincount(own, x).astype(np.int64) for x in v])
+        out = [{"shard": x["shard"], "bucket": x["bucket"], "v": _pack(sums[:, own[hi - len(at) : hi]].ravel())} for x, at, hi in zip(rows, found, ends, strict=True)]
+        made = pa.Table.from_pylist(out, _SUM_ARROW)
+        del rows, found, own, v, sums, out, table
+        A.trim()
+        return made
+
+    return run
+
+
+def _totals(rows: DataFrame, shards: int, values, width: int) -> DataFrame:
+    """(shard, bucket, v): for the contexts of each bucket, the sums over all buckets."""
+    return rows.mapInArrow(_shares(shards, values), _SHARE).groupBy("shard").applyInArrow(_added(width), "shard int, bucket int, v binary")
+
+
+def _joined(table: pa.Table, width: int) -> np.ndarray:
+    rows = sorted(table.to_pylist(), key=lambda x: x["shard"])
+    return np.concatenate([_unpack(x["v"]).reshape(width, -1) for x in rows], axis=1)
+
+
+# --- 4. scores ----------------------------------------------------------------------------------------
 
-_TOTALS = "at int, v double"
 #: Where the totals stand: customers of each context, then for each sample tables of each context.
 _WORDS, _TOKENS, _ONE1, _TWO1, _ONE0, _TWO0 = range(6)
 _HEAD = 6 + SAMPLES
@@ -300,65 +409,51 @@ def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
         A.trim()
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = np.zeros(_HEAD + (1 + SAMPLES) * CONTEXTS)
-    for batch in batches:
-        for x in _one_by_one(batch):
-            if x["ids"] is not None:
-                continue
-            context, c = np.frombuffer(x["context"], np.uint16), A.unpack_positions(x["c"])
-            word = np.repeat(np.arange(len(A.unpack_positions(x["types"]))), A.unpack_positions(x["types"]))
-            kinds = np.bincount(word, c > 0)
-            sums[:6] += [x["once"], x["twice"], (c == 1).sum(), (c == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()]
-            sums[6:_HEAD] += A.unpack_positions(x["root"]).reshape(SAMPLES, -1).sum(axis=1)
-            for i, v in enumerate([c, *A.unpack_positions(x["tables"]).reshape(SAMPLES, -1)]):
-                sums[_HEAD + i * CONTEXTS : _HEAD + (i + 1) * CONTEXTS] += np.bincount(context, v, CONTEXTS)
-    yield pa.record_batch([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], names=["at", "v"])
-
-
 _PARTS = "chunk long, doc binary, n binary, known binary, base binary, score binary, ids binary, train binary"
 _PARTS_ARROW = pa.schema([("chunk", pa.int64()), *((x, pa.binary()) for x in ("doc", "n", "known", "base", "score", "ids", "train"))])
 
 
-def probabilities(word: np.ndarray, context: np.ndarray, c: np.ndarray, t: np.ndarray, parents: np.ndarray, t0: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """The mean over samples of each (word, context)'s predictive probability."""
+def probabilities(word: np.ndarray, context: np.ndarray, c: np.ndarray, t: np.ndarray, parents: np.ndarray, t0: np.ndarray, totals: np.ndarray, every: np.ndarray | None = None) -> np.ndarray:
+    """The mean over samples of each (word, context)'s predictive probability.
+
+    every: tables of all contexts in each sample, where totals have only some of the contexts.
+    """
     vocabulary = totals[_WORDS]
     d1, d0 = discount(totals[_ONE1], totals[_TWO1]), discount(totals[_ONE0], totals[_TWO0])
-    customers = totals[_HEAD : _HEAD + CONTEXTS]
+    customers, *all_tables = totals[_HEAD:].reshape(1 + SAMPLES, -1)
     p = np.zeros(len(c))
     for s in range(SAMPLES):
-        tables = totals[_HEAD + (s + 1) * CONTEXTS : _HEAD + (s + 2) * CONTEXTS]
-        parent = (parents[s] - d0 * t0[s] + (STRENGTH + d0 * totals[6 + s]) / (vocabulary + 1)) / (STRENGTH + tables.sum())
+        tables = all_tables[s]
+        parent = (parents[s] - d0 * t0[s] + (STRENGTH + d0 * totals[6 + s]) / (vocabulary + 1)) / (STRENGTH + (tables.sum() if every is None else every[s]))
         p += (c - d1 * t[s] + (STRENGTH + d1 * tables[context]) * parent[word]) / (STRENGTH + customers[context])
     return p / SAMPLES
 
 
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = shared.value
-        for batch in batches:
-            for x in _one_by_one(batch):
-                if x["ids"] is not None:
-                    yield pa.RecordBatch.from_pylist([{"chunk": x["own"], "ids": x["ids"], "train": x["train"]}], _PARTS_ARROW)
-                    continue
-                types, c = A.unpack_positions(x["types"]), A.unpack_positions(x["c"])
-                word = np.repeat(np.arange(len(types)), types)
-                t, parents, t0 = (A.unpack_positions(x[k]).reshape(SAMPLES, -1) for k in ("tables", "parents", "root"))
-                score = np.log10(probabilities(word, np.frombuffer(x["context"], np.uint16), c, t, parents, t0, totals))
-                total = np.bincount(word, c)
-                counts = A.unpack_positions(x["counts"])
-                item = np.repeat(np.arange(len(c)), counts)
-                n, doc, chunk = (A.unpack_positions(x[k]) for k in ("n", "doc", "chunk"))
-                base, known = np.log10(total + BASE_ADD)[word], (total > 0)[word]
-                bits = int(doc.max()).bit_length()
-                keys, own = np.unique(chunk << bits | doc, return_inverse=True)
-                sums = [np.bincount(own, n * v[item], len(keys)) for v in (np.ones(len(c)), known, base, score)]
-                owner = keys >> bits
-                first = A.runs(owner)
-                rows = []
-                for lo, hi in zip(first, np.append(first[1:], len(keys)), strict=True):
-                    rows.append({"chunk": int(np.frombuffer(x["chunks"], np.int64)[owner[lo]]), "doc": A.pack_positions(keys[lo:hi] & (1 << bits) - 1), "n": A.pack_positions(sums[0][lo:hi]), "known": A.pack_positions(sums[1][lo:hi]), "base": sums[2][lo:hi].tobytes(), "score": sums[3][lo:hi].tobytes()})
-                yield from pa.Table.from_pylist(rows, _PARTS_ARROW).to_batches(max_chunksize=64)
+def _scored(head: np.ndarray, every: list[int]):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, seats = sorted(left.to_pylist(), key=lambda x: x["types"] is None)
+        types, context, c = (_unpack(x[k]) for k in ("types", "context", "c"))
+        word = np.repeat(np.arange(len(types)), types)
+        t, parents, t0 = (_unpack(seats[k]).reshape(SAMPLES, -1) for k in ("tables", "parents", "root"))
+        totals = np.concatenate([head, _unpack(seats["customers"]), _joined(right, SAMPLES).ravel()])
+        score = np.log10(probabilities(word, context, c, t, parents, t0, totals, every))
+        total = np.bincount(word, c)
+        counts = _unpack(x["counts"])
+        item = np.repeat(np.arange(len(c)), counts)
+        n, doc, chunk = (_unpack(x[k]) for k in ("n", "doc", "chunk"))
+        base, known = np.log10(total + BASE_ADD)[word], (total > 0)[word]
+        bits = int(doc.max()).bit_length()
+        keys, own = np.unique(chunk << bits | doc, return_inverse=True)
+        sums = [np.bincount(own, n * v[item], len(keys)) for v in (np.ones(len(c)), known, base, score)]
+        owner = keys >> bits
+        first = A.runs(owner)
+        rows = []
+        for lo, hi in zip(first, np.append(first[1:], len(keys)), strict=True):
+            rows.append({"chunk": int(np.frombuffer(x["chunks"], np.int64)[owner[lo]]), "doc": _pack(keys[lo:hi] & (1 << bits) - 1), "n": _pack(sums[0][lo:hi]), "known": _pack(sums[1][lo:hi]), "base": sums[2][lo:hi].tobytes(), "score": sums[3][lo:hi].tobytes()})
+        made = pa.Table.from_pylist(rows, _PARTS_ARROW)
+        del x, seats, rows, left, right
+        A.trim()
+        return made
 
     return run
 
@@ -376,13 +471,25 @@ def _summed(table: pa.Table) -> pa.Table:
     ids, null = np.frombuffer(head["ids"], np.int64, size), np.frombuffer(head["ids"], bool, size, 8 * size)
     sums = [np.zeros(size) for _ in range(4)]
     for x in rows:
-        doc = A.unpack_positions(x["doc"])
-        for out, v in zip(sums, (A.unpack_positions(x["n"]), A.unpack_positions(x["known"]), np.frombuffer(x["base"]), np.frombuffer(x["score"])), strict=True):
+        doc = _unpack(x["doc"])
+        for out, v in zip(sums, (_unpack(x["n"]), _unpack(x["known"]), np.frombuffer(x["base"]), np.frombuffer(x["score"])), strict=True):
             out[doc] += v
     train = np.unpackbits(np.frombuffer(head["train"], np.uint8), count=size).astype(bool)
     return pa.table([pa.array(ids, mask=null), pa.array(train), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])], schema=_SCORES_ARROW)
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of each job once it ends: what it made is kept, so nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base, score) of each row, learning from the rows where train holds.
 
@@ -395,11 +502,21 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     parts = buckets(rows, 3)
-    seated = keep(rows.mapInArrow(_sent(parts), _SENT).groupBy("bucket").applyInArrow(_seated(parts), _SEATED))
-    found = seated.mapInArrow(_totals, _TOTALS).groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-    totals = np.zeros(_HEAD + (1 + SAMPLES) * CONTEXTS)
-    totals[found["at"].to_numpy()] = found["v"].to_numpy()
-    out = seated.mapInArrow(_scored(spark.sparkContext.broadcast(totals)), _PARTS).groupBy("chunk").applyInArrow(_summed, _SCORES)
-    n, v = totals[_TOKENS], totals[_WORDS]
+    shards = -(-parts // BUCKETS_A_SHARD)
+    with _shuffles_removed(spark):
+        grouped = keep(rows.mapInArrow(_sent(parts), _SENT).groupBy("bucket").applyInArrow(_by_bucket, _GROUPED))
+        head = {k: v or 0 for k, v in grouped.agg(*(F.sum(k).alias(k) for k in _HEADS)).first().asDict().items()}
+        words = grouped.filter("ids IS NULL")
+        learnt = words.select("bucket", "types", "contexts", "context", "c")
+        met = _totals(words.select("bucket", "contexts", "context", "c"), shards, _learnt, 2)
+        seated = keep(learnt.groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(_seated(head), _SEATED))
+        every, roots = ([int(v or 0) for v in seated.agg(*(F.sum(F.col(k)[i]) for i in range(SAMPLES))).first()] for k in ("every", "roots"))
+        tables = keep(_totals(seated.select("bucket", "contexts", "sums"), shards, _tables, SAMPLES))
+    both = words.select("bucket", "types", "context", "c", "counts", "chunks", "chunk", "doc", "n").unionByName(seated.select("bucket", "tables", "parents", "root", "customers"), allowMissingColumns=True)
+    first = np.array([*(head[k] for k in _HEADS[:6]), *roots], float)
+    found = both.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_scored(first, every), _PARTS)
+    ids = grouped.filter("ids IS NOT NULL").select(F.col("own").alias("chunk"), "ids", "train")
+    out = found.unionByName(ids, allowMissingColumns=True).groupBy("chunk").applyInArrow(_summed, _SCORES)
+    n, v = head["tokens"], head["words"]
     less = F.col("n_tokens") * F.lit(float(np.log10(n + BASE_ADD * (v + 1))))
     return out.select("id", "train", "n_tokens", "n_known", F.lit(int(n)).alias("train_tokens"), (F.col("base") - less).alias("base"), "score")
