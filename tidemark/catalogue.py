@@ -307,7 +307,7 @@ def q_logistic(spark, sf_dir):
 @query()
 def q_boosted(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return models.boosted(20).fit(train.cache()).predict(test).select("msno", "cutoff", "p")
+    return models.boosted().fit(train.cache()).predict(test).select("msno", "cutoff", "p")
 
 
 @query()
@@ -316,7 +316,7 @@ def q_forest(spark, sf_dir):
     scored = labels.churn_labels(ds, labels.population(ds, CUTOFFS))
     b = recipes.RECIPES["B"].honest(ds, scored, CUTOFFS).join(scored, leakage.KEYS).cache()
     columns = tuple(c for c, kind in b.dtypes if kind == "double")
-    return models.forest(columns, trees=50).fit(b).predict(b).select("msno", "cutoff", "p")
+    return models.forest(columns).fit(b).predict(b).select("msno", "cutoff", "p")
 
 
 @query(sql.KNN)

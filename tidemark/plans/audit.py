@@ -62,7 +62,7 @@ def _binary(scored: DataFrame) -> dict:
     return {k: None if row is None or row[k] is None else round(row[k], 4) for k in ("auc", "accuracy", "f1", "precision", "recall")}
 
 
-def audit_recipe(recipe: recipes.Recipe, ds: Dataset, cut: dict, trees: int = 200) -> dict:
+def audit_recipe(recipe: recipes.Recipe, ds: Dataset, cut: dict, trees: int = models.FOREST_TREES) -> dict:
     """Scores of a recipe as published, on clean features with the same random split, and honestly in time; and its leaks."""
     test, months = cut["test"], [*cut["train"], cut["valid"]]
     scored = sampling.sample(churn_labels(ds, population(ds, [test])).withColumn("_id", F.xxhash64("msno")), "_id", MOST_ROWS).cache()
@@ -83,7 +83,7 @@ def audit_recipe(recipe: recipes.Recipe, ds: Dataset, cut: dict, trees: int = 20
     return {"key": recipe.key, "results": results, "leaks": [r.asDict() for r in leaks.collect()], "auc_drop": None if None in aucs else round(aucs[0] - aucs[1], 4)}
 
 
-def audit_models(ds: Dataset, cut: dict, a: money.Assumptions, trees: int = 60) -> dict:
+def audit_models(ds: Dataset, cut: dict, a: money.Assumptions, trees: int = models.TREES) -> dict:
     train, valid, test = (training_table(ds, months).cache() for months in (cut["train"], [cut["valid"]], [cut["test"]]))
     on_valid, on_test = (models.fit_predict_all(train, rows, trees=trees) for rows in (valid, test))
     table, best = {}, "boosted"
@@ -104,10 +104,10 @@ def audit_models(ds: Dataset, cut: dict, a: money.Assumptions, trees: int = 60)
     }
 
 
-def run(ds: Dataset, a: money.Assumptions, n_train: int = 4, trees: int = 60) -> dict:
+def run(ds: Dataset, a: money.Assumptions, n_train: int = 4, trees: int = models.TREES, forest_trees: int = models.FOREST_TREES) -> dict:
     cut = pick_cutoffs(ds.data_end, n_train)
     return {
-        "data": profile(ds).first().asDict(), "cutoffs": cut, "assumptions": vars(a), "recipes": [audit_recipe(r, ds, cut, trees) for r in recipes.RECIPES.values()], "models": audit_models(ds, cut, a, trees),
+        "data": profile(ds).first().asDict(), "cutoffs": cut, "assumptions": vars(a), "recipes": [audit_recipe(r, ds, cut, forest_trees) for r in recipes.RECIPES.values()], "models": audit_models(ds, cut, a, trees),
     }
 
 
