@@ -55,6 +55,7 @@ def test_agrees_with_brute_force(spark, monkeypatch):
 def test_a_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(J, "TREE", 8)
     monkeypatch.setattr(J, "GROUP", 32)
+    monkeypatch.setattr(J, "PIVOTS", 2)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -122,3 +123,53 @@ def test_query(spark):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op3_ngram_join(spark, SMALL).collect()} == brute(rows)
+
+
+def near_copies(size, seed=5, length=60):
+    """Copies of one text, each with a few words changed: many link only through the text itself."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(length)]
+    out = [" ".join(base)]
+    for _ in range(size - 1):
+        w = list(base)
+        w[rng.randrange(length)] = f"z{rng.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+def unlinked(size, seed=6):
+    """Texts of which half is one passage: they share n-grams, and none links."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(30)]
+    return [" ".join(passage + [f"q{rng.randrange(10**9)}" for _ in range(40)]) for _ in range(size)]
+
+
+def made(spark, texts, lead):
+    """Rows that meet in groups, and links that groups give."""
+    sets = J._classes(frame(spark, texts), "doc_id", "text", 5, 75)[3].withColumn("label", J.F.col("id")).cache()
+    met = sets.select("id", "n", "grams", "label").mapInArrow(J._posted(4, 75, lead), J._POSTED).groupBy("bucket").applyInArrow(J._lists, J._MET).distinct().count()
+    return met, J._round(sets, 75, 4, lead).count()
+
+
+def test_rows_follow_the_size_of_a_group(spark, monkeypatch):
+    for texts in (near_copies, unlinked):
+        for lead in (4, None):
+            small, large = made(spark, texts(150), lead), made(spark, texts(300), lead)
+            assert all(y <= 2.6 * x + 20 for x, y in zip(small, large, strict=True)), (texts.__name__, lead, small, large)
+    assert got(frame(spark, near_copies(300) + unlinked(100))) == brute(list(enumerate(near_copies(300) + unlinked(100))))
+
+
+def test_all_links_between_classes(spark, monkeypatch):
+    texts = corpus(7, 100) + near_copies(40)
+    own = sets(list(enumerate(texts)))
+    least = {}
+    for i in sorted(own):
+        least.setdefault(own[i], i)
+    classes = sorted({least[s] for s in own.values() if s})
+    want = {(a, b) for a in classes for b in classes if a < b and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b])}
+    for tree in (2048, 8):
+        monkeypatch.setattr(J, "TREE", tree)
+        members, found = J.links(frame(spark, texts))
+        rows = [(r.a, r.b) for r in found.collect()]
+        assert set(rows) == want and len(rows) == len(want)
+        assert all(least[own[r.id]] == r["class"] for r in members.collect())
