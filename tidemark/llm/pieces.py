@@ -1,10 +1,16 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
-A text is cut where no piece can cross, and the characters of each segment are merged by an agenda: the
-candidate of the highest piece score goes first, the leftmost of equal ones.  A candidate that comes up is
-skipped if a hash of seed, segment, place and piece falls below the rate.  So a seed always gives the same
-segmentation, seeds differ, and at rate 0 it is the model's own.  What is no piece goes into byte pieces,
-and so decoding gives the text back, however it was segmented.
+A text is cut into segments where no piece can cross.  A segment begins as single characters; its agenda holds
+the spans of characters that are pieces, the highest piece score first, the leftmost of equal ones.  A span
+whose two halves stand beside each other comes up and is merged, unless a hash of seed, document, place of
+the segment in the text and span falls below the rate: then it is skipped, there and for good.  So one word is
+segmented in several ways in one run, a seed always gives the same result, and at rate 0 it is the
+model's own.  What is no piece goes into byte pieces, and so decoding gives the text back, however it was cut.
+
+The agendas of new segments are worked out together, by hashes of all short spans.  Draws are made for all
+occurrences of a batch at once; those that skip nothing their agenda would take share the model's own result,
+and for the others the agenda runs over arrays: a set of boundaries is a bit mask, and each step merges the
+first span of each that can be.
 """
 
 from __future__ import annotations
@@ -15,19 +21,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import arrays as A
 from tidemark.llm.store import small_batches
 
 MARK = "▁"
 RATE = 0.1
-CACHED_SEGMENTS = 150_000
+#: Segments that a worker keeps; beyond, it begins anew.
+CACHED_SEGMENTS = 200_000
+#: Characters and spans of a segment that the arrays take; others run their agenda one at a time.
+MOST_CHARACTERS, MOST_SPANS = 40, 96
+#: Occurrences that are drawn for together.
+TOGETHER = 1 << 15
+#: Stands for a mark that a text itself holds: a lone surrogate, which no text has.
+_MARK_ITSELF = "\ud800"
+#: Stands before the code point of a character that is no piece.
+_NONE = 1 << 30
+#: Bits of the table that tells which spans may be pieces.
+_SIEVE = 20
 
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 _ENCODED = "id long, ids array<int>"
 _CHECKED = "id long, n_tokens long, ids_crc32 long, lossless boolean"
+_U = np.uint64
+_ONE = _U(1)
+_SEED, _PLACE, _SPAN = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03), _U(0x8CB92BA72F3D8DD7)
+REPLACEMENT = "�"
 
 
 class Pieces:
@@ -39,80 +60,319 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
         names = [model.id_to_piece(i) for i in ids]
-        self.special = {i for i in ids if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
-        self.byte = {i: int(names[i][1:-1], 16) for i in ids if model.is_byte(i)}
-        self.byte_ids = [i for _, i in sorted((b, i) for i, b in self.byte.items())]
-        self.merged = {names[i]: (-model.get_score(i), i) for i in ids if i not in self.special and i not in self.byte}
-        self.text = {i: name.replace(MARK, " ") for name, (_, i) in self.merged.items()}
-        #: Raw bytes of each id; of others none.
-        self.raw = {i: text.encode() for i, text in self.text.items()} | {i: bytes([b]) for i, b in self.byte.items()}
+        control = {i for i in ids if model.is_control(i)}
+        special = control | {i for i in ids if model.is_unknown(i) or model.is_unused(i)}
+        byte = {i: int(names[i][1:-1], 16) for i in ids if model.is_byte(i)}
+        self.byte_ids = [i for _, i in sorted((b, i) for i, b in byte.items())]
+        self.merged = {names[i]: (-model.get_score(i), i) for i in ids if i not in special and i not in byte}
+        self.longest = max(map(len, self.merged))
         # a cut before a space that follows another character, or around a line end, must cross no piece
         if any("\n" in name or re.search(f"[^{MARK}]{MARK}", name) for name in self.merged):
             raise ValueError("pieces of this vocabulary cross the cuts between segments")
-
-
-def segment_ids(segment: str, pieces: Pieces, rate: float, seed: int) -> list[int]:
-    """Ids of one segment."""
-    # a mark that the text itself holds is no space: it must stay out of every piece
-    parts = [MARK if c == " " else "\0" + c if c == MARK else c for c in segment]
-    n = len(parts)
-    before, after, length = list(range(-1, n - 1)), [*range(1, n), -1], [1] * n
-    merged, agenda = pieces.merged, []
-    limit = int(rate * (1 << 64))
-    key = xxhash.xxh3_64_intdigest(segment.encode("utf-8", "surrogatepass"), seed) if limit else 0
-
-    def propose(left: int, right: int) -> None:
-        found = merged.get(parts[left] + parts[right])
+        self._index_spans()
+        # bytes of each id; the last stands for ids that are none
+        raw = [bytes([byte[i]]) if i in byte else b"" if i in control else REPLACEMENT.encode() if i in special else names[i].replace(MARK, " ").encode() for i in ids]
+        raw.append(REPLACEMENT.encode())
+        self.lengths = np.array([len(x) for x in raw], np.int64)
+        self.starts = self.lengths.cumsum() - self.lengths
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+
+    def _index_spans(self) -> None:
+        """Hashes of the pieces of two or more characters, in order, with their ids and places in the order of scores."""
+        long = sorted((x, name) for name, x in self.merged.items() if len(name) > 1)
+        points = np.frombuffer("".join(name for _, name in long).encode("utf-32-le", "surrogatepass"), "<u4")
+        size = np.array([len(name) for _, name in long], np.int64)
+        ends = size.cumsum()
+        hashes = span_hashes(prefix_sums(points), ends - size, ends)
+        scores = np.array([x[0] for x, _ in long])
+        rank = np.searchsorted(np.unique(scores), scores)
+        order = np.argsort(hashes)
+        self.hashes, self.ranks, self.ids = hashes[order], rank[order], np.array([x[1] for x, _ in long], np.int64)[order]
+        self.sieve = np.zeros(1 << _SIEVE, bool)
+        self.sieve[(hashes >> _U(64 - _SIEVE)).astype(np.int64)] = True
+        self.single = {ord(name): x[1] for name, x in self.merged.items() if len(name) == 1}
+
+
+def prefix_sums(points: np.ndarray) -> np.ndarray:
+    """Running sums of code points times powers, by which any span has a hash."""
+    power, _ = A._power_tables(len(points) + 1)
+    return np.concatenate([np.zeros(1, _U), np.cumsum(A.mix(points.astype(_U) + _PLACE) * power[: len(points)])])
+
+
+def span_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    _, inverse = A._power_tables(len(sums))
+    return A.mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(_U) * _SPAN)
+
+
+def characters(segment: str) -> str:
+    """A segment as pieces write it; a mark that the text itself holds is no space, and stays out of every piece."""
+    return segment.replace(MARK, _MARK_ITSELF).replace(" ", MARK)
+
+
+def spans_of(segment: str, pieces: Pieces) -> list[tuple[float, int, int, int]]:
+    """(-score, begin, end, piece) of the spans of two or more characters that are pieces: the agenda's order."""
+    text, n, merged = characters(segment), len(segment), pieces.merged
+    found = []
+    for a in range(n - 1):
+        for b in range(a + 2, min(n, a + pieces.longest) + 1):
+            x = merged.get(text[a:b])
+            if x is not None:
+                found.append((x[0], a, b, x[1]))
+    found.sort()
+    return found
+
+
+def occurrence_keys(seed: int, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A key of each occurrence of a segment, from document id and the segment's place in its text."""
+    return A.mix(A.mix(doc.astype(np.int64).view(_U) + _U(seed * int(_SEED) % (1 << 64))) + place.astype(_U) * _PLACE)
+
+
+def skipped(keys: np.ndarray, begin: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
+    """Whether each span of each occurrence is skipped."""
+    if rate >= 1:
+        return np.ones(len(keys), bool)
+    return A.mix(keys + (begin.astype(_U) << _U(32) | end.astype(_U)) * _SPAN) < _U(int(rate * (1 << 64)))
+
+
+def boundaries(spans: list[tuple[int, int]], n: int) -> list[int]:
+    """Where the symbols of n characters begin and end, once an agenda of (begin, end) is through; spans that may not merge are left out."""
+    after, before = {a: a + 1 for a in range(n)}, {a + 1: a for a in range(n)}
+    place = {span: i for i, span in enumerate(spans)}
+    agenda: list[int] = []
+
+    def propose(a: int, b: int) -> None:
+        found = place.get((a, b))
         if found is not None:
-            heapq.heappush(agenda, (found[0], left, right, length[left] + length[right], found[1]))
+            heapq.heappush(agenda, found)
 
-    for i in range(n - 1):
-        propose(i, i + 1)
+    for a in range(n - 1):
+        propose(a, a + 2)
     while agenda:
-        _, left, right, size, piece = heapq.heappop(agenda)
-        if not length[left] or not length[right] or after[left] != right or length[left] + length[right] != size:
-            continue
-        if limit and xxhash.xxh3_64_intdigest(left.to_bytes(8, "little") + piece.to_bytes(8, "little"), key) < limit:
+        a, b = spans[heapq.heappop(agenda)]
+        middle = after.get(a)
+        if middle is None or middle == b or after.get(middle) != b:
             continue
-        parts[left] += parts[right]
-        length[left], length[right] = size, 0
-        after[left] = after[right]
-        if after[right] >= 0:
-            before[after[right]] = left
-            propose(left, after[left])
-        if before[left] >= 0:
-            propose(before[left], left)
-    out, at = [], 0
-    while at >= 0 and n:
-        found = merged.get(parts[at])
-        if found is not None:
-            out.append(found[1])
-        else:
-            out += [pieces.byte_ids[b] for b in parts[at].removeprefix("\0").encode("utf-8", "surrogatepass")] if parts[at] != "\0" else [pieces.byte_ids[0]]
-        at = after[at]
+        after[a], before[b] = b, a
+        del after[middle], before[middle]
+        if a:
+            propose(before[a], b)
+        if b < n:
+            propose(a, after[b])
+    out = [0]
+    while out[-1] < n:
+        out.append(after[out[-1]])
     return out
 
 
-class Encoder(dict):
-    """Little-endian 32-bit ids of the segments met lately."""
+def symbol_ids(segment: str, cuts: list[int], pieces: Pieces) -> bytes:
+    """Little-endian 32-bit ids of a segment cut at `cuts`."""
+    text, out = characters(segment), []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        found = pieces.merged.get(text[a:b])
+        out += [found[1]] if found is not None else [pieces.byte_ids[x] for x in segment[a:b].encode()]
+    return np.array(out, "<u4").tobytes()
 
-    def __init__(self, path: str, rate: float, seed: int):
-        self.pieces, self.rate, self.seed = Pieces(path), rate, seed
 
-    def __missing__(self, segment: str) -> bytes:
-        if len(self) >= CACHED_SEGMENTS:
-            self.clear()
-        out = self[segment] = np.array(segment_ids(segment, self.pieces, self.rate, self.seed), dtype="<u4").tobytes()
-        return out
+class Encoder:
+    """Encodes batches of texts, and keeps the agendas of segments met lately."""
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text; a space is put before it, as the model has it.  An empty text has none."""
-        return b"".join(map(self.__getitem__, _SEGMENT.findall(" " + text))) if text else b""
+    def __init__(self, path: str, rate: float, seed: int):
+        self.pieces, self.rate, self.seed = Pieces(path), rate, seed
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.own: list[bytes | None] = []  # at rate 0; none of a segment that arrays don't take
+        zero = lambda kind: np.zeros(0, kind)
+        # of each segment: its first span and how many, its first character and how many
+        self.first, self.count, self.head, self.size = (zero(np.int64) for _ in range(4))
+        # of each span: begin, end, piece, and whether a run without skips merges it; of each character: its piece
+        self.begin, self.end, self.piece, self.taken = zero(np.uint8), zero(np.uint8), zero(np.int32), zero(bool)
+        self.characters = zero(np.int32)
+
+    def _learn(self, new: list[str]) -> None:
+        """Work out the agendas of new segments, which have numbers already."""
+        p = self.pieces
+        texts = [characters(s) for s in new]
+        size = np.array([len(t) for t in texts], np.int64)
+        short = size <= MOST_CHARACTERS
+        texts = "".join(t for t, fits in zip(texts, short.tolist(), strict=True) if fits)
+        n = np.where(short, size, 0)
+        points = np.frombuffer(texts.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        sums = prefix_sums(points)
+        head = n.cumsum() - n
+        owner = np.repeat(np.arange(len(new)), n)
+        left = (head + n)[owner] - np.arange(len(points))
+        found = []
+        for k in range(2, min(p.longest, MOST_CHARACTERS) + 1):
+            at = np.flatnonzero(left >= k)
+            if not len(at):
+                break
+            h = span_hashes(sums, at, at + k)
+            some = p.sieve[(h >> _U(64 - _SIEVE)).astype(np.int64)]
+            at, h = at[some], h[some]
+            place = np.minimum(np.searchsorted(p.hashes, h), len(p.hashes) - 1)
+            hit = p.hashes[place] == h
+            found.append((at[hit], np.full(int(hit.sum()), k), place[hit]))
+        at, k, place = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
+        of = owner[at]
+        order = np.lexsort((at, p.ranks[place], of))
+        at, k, place, of = at[order], k[order], place[order], of[order]
+        count = np.bincount(of, minlength=len(new))
+        fits = short & (count <= MOST_SPANS)
+        base, first = len(self.first), len(self.begin) + count.cumsum() - count
+        join = np.concatenate
+        self.first, self.count = join([self.first, first]), join([self.count, np.where(fits, count, 0)])
+        self.head, self.size = join([self.head, len(self.characters) + head]), join([self.size, n])
+        begin = at - head[of]
+        self.begin, self.end = join([self.begin, begin.astype(np.uint8)]), join([self.end, (begin + k).astype(np.uint8)])
+        self.piece = join([self.piece, p.ids[place].astype(np.int32)])
+        kinds, own = np.unique(points, return_inverse=True)
+        known = np.array([p.single.get(c, _NONE + c) for c in kinds.tolist()], np.int32) if len(kinds) else np.empty(0, np.int32)
+        self.characters = join([self.characters, known[own]])
+        numbers = base + np.flatnonzero(fits)
+        made, masks = self._run(numbers)
+        self.own += [None] * len(new)
+        mask = np.zeros(len(new), _U)
+        mask[fits] = masks
+        for i, x in zip(numbers.tolist(), made, strict=True):
+            self.own[i] = x
+        inside = (_ONE << (begin + k).astype(_U)) - (_ONE << (begin + 1).astype(_U))
+        self.taken = join([self.taken, mask[of] & inside == 0])
+
+    def _run(self, numbers: np.ndarray, skip: np.ndarray | None = None, at_skip: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray]:
+        """Ids of segments, and the boundaries; skip: of each span, from at_skip of its segment on, whether it may not be merged."""
+        out: list[bytes] = [b""] * len(numbers)
+        masks = np.zeros(len(numbers), _U)
+        count = self.count[numbers]
+        rows = np.argsort(count, kind="stable")
+        count, lo = count[rows], 0
+        while lo < len(rows):
+            # rows of about as many spans, padded to the largest of them
+            hi = min(int(np.searchsorted(count, count[lo] * 5 // 4 + 1, side="right")), lo + TOGETHER // 2)
+            some, k = rows[lo:hi], count[lo:hi]
+            number, wide = numbers[some], int(count[hi - 1])
+            n = self.size[number]
+            place = np.arange(int(n.max()))
+            symbols = self.characters[self.head[number][:, None] + np.minimum(place, n[:, None] - 1)]
+            mask = (_ONE << (n + 1).astype(_U)) - _ONE
+            done, live = mask.copy(), np.arange(len(some))
+            if wide:
+                at = np.minimum(np.arange(wide), k[:, None] - 1)
+                span = self.first[number][:, None] + at
+                begin, end, piece = self.begin[span].astype(_U), self.end[span].astype(_U), self.piece[span]
+                outer, inner = _ONE << begin | _ONE << end, (_ONE << end) - (_ONE << begin + _ONE)
+                begin = begin.astype(np.int64)
+                outer[k == 0] = _U(1 << 63)  # never a boundary
+                if skip is not None:
+                    outer[skip[at_skip[some][:, None] + at]] = _U(1 << 63)
+                while len(live):
+                    x = mask[:, None] & inner
+                    fits = (x != 0) & (x & x - _ONE == 0) & (mask[:, None] & outer == outer)
+                    first = fits.argmax(axis=1)
+                    each = np.arange(len(live))
+                    goes = fits[each, first]
+                    done[live[~goes]] = mask[~goes]
+                    symbols[live[goes], begin[each, first][goes]] = piece[each, first][goes]
+                    mask = (mask ^ x[each, first])[goes]
+                    begin, inner, outer, piece, live = (y[goes] for y in (begin, inner, outer, piece, live))
+            cut = (done[:, None] >> place.astype(_U) & _ONE).astype(bool) & (place < n[:, None])
+            ids, ends = symbols[cut], 4 * cut.sum(axis=1).cumsum()
+            raw, start = ids.astype("<u4").tobytes(), 0
+            odd = np.flatnonzero((cut & (symbols >= _NONE)).any(axis=1)).tolist() if len(ids) and ids.max() >= _NONE else []
+            for row, end in zip(some.tolist(), ends.tolist(), strict=True):
+                out[row] = raw[start:end]
+                start = end
+            for i in odd:
+                out[some[i]] = self._with_bytes(symbols[i][cut[i]].tolist())
+            masks[some] = done
+            lo = hi
+        return out, masks
+
+    def _with_bytes(self, ids: list[int]) -> bytes:
+        """Ids with the byte pieces of characters that are none."""
+        spelled = [[i] if i < _NONE else [self.pieces.byte_ids[b] for b in chr(i - _NONE).replace(_MARK_ITSELF, MARK).encode()] for i in ids]
+        return np.array([i for x in spelled for i in x], "<u4").tobytes()
+
+    def _one(self, number: int, key: int) -> bytes:
+        """A segment by itself."""
+        segment = self.names[number]
+        spans = spans_of(segment, self.pieces)
+        begin, end = (np.array([s[i] for s in spans], np.int64) for i in (1, 2))
+        stay = ~skipped(np.full(len(spans), key, _U), begin, end, self.rate) if self.rate else np.ones(len(spans), bool)
+        return symbol_ids(segment, boundaries([(s[1], s[2]) for s, k in zip(spans, stay.tolist(), strict=True) if k], len(segment)), self.pieces)
+
+    def _drawn(self, numbers: np.ndarray, keys: np.ndarray, out: list[bytes]) -> None:
+        """Put the results of occurrences that skip something into `out`, which has the model's own."""
+        count = self.count[numbers]
+        ends = count.cumsum()
+        if not len(ends) or not ends[-1]:
+            return
+        owner = np.repeat(np.arange(len(numbers)), count)
+        where = np.repeat(self.first[numbers] - ends + count, count) + np.arange(ends[-1])
+        skip = skipped(keys[owner], self.begin[where], self.end[where], self.rate)
+        rows = A.runs(owner[skip & self.taken[where]])
+        rows = owner[skip & self.taken[where]][rows]
+        for row, x in zip(rows.tolist(), self._run(numbers[rows], skip, (ends - count)[rows])[0], strict=True):
+            out[row] = x
+
+    def encode(self, ids: np.ndarray, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, little-endian 32 bits each; a space is put before a text, as the model has it.  An empty text has none."""
+        out, group, size = [], [], 0
+        for i, text in enumerate(texts):
+            found = _SEGMENT.findall(" " + text) if text else []
+            group.append((i, found))
+            size += len(found)
+            if size >= TOGETHER:
+                out += self._group(ids, group)
+                group, size = [], 0
+        return out + self._group(ids, group)
+
+    def _group(self, ids: np.ndarray, group: list[tuple[int, list[str]]]) -> list[bytes]:
+        out = []
+        for i, found in group:
+            if len(found) > 4 * TOGETHER:  # a very long text by itself
+                out.append(b"".join(b"".join(self._slab(ids[i : i + 1], [(0, found[lo : lo + TOGETHER])], lo)) for lo in range(0, len(found), TOGETHER)))
+        short = [(i, found) for i, found in group if len(found) <= 4 * TOGETHER]
+        made = iter(self._slab(ids, short, 0))
+        long = iter(out)
+        return [next(long) if len(found) > 4 * TOGETHER else next(made) for _, found in group]
+
+    def _slab(self, ids: np.ndarray, group: list[tuple[int, list[str]]], place: int) -> list[bytes]:
+        if len(self.names) >= CACHED_SEGMENTS:
+            self._forget()
+        number, counts = self.number, np.array([len(found) for _, found in group], np.int64)
+        new = [s for s in dict.fromkeys(s for _, found in group for s in found) if s not in number]
+        number.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
+        self.names += new
+        if new:
+            self._learn(new)
+        numbers = [number[s] for _, found in group for s in found]
+        pieces = list(map(self.own.__getitem__, numbers))
+        numbers = np.array(numbers, np.int64)
+        ends = counts.cumsum()
+        at = np.arange(len(numbers)) - np.repeat(ends - counts, counts) + place
+        keys = occurrence_keys(self.seed, np.repeat(ids[[i for i, _ in group]] if group else ids[:0], counts), at)
+        if self.rate > 0:
+            self._drawn(numbers, keys, pieces)
+        for row in [i for i, x in enumerate(pieces) if x is None]:
+            pieces[row] = self._one(int(numbers[row]), int(keys[row]))
+        return [b"".join(pieces[hi - n : hi]) for hi, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids; control pieces are left out, and so is the space that encoding put before it."""
-        raw = self.pieces.raw
-        return b"".join([raw.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "surrogatepass")[1:]
+        """The text of ids, without the space that encoding put before it.
+
+        Control pieces say nothing; an id that the vocabulary lacks, its unknown piece, and bytes that are no
+        UTF-8 become U+FFFD.
+        """
+        p = self.pieces
+        own = np.frombuffer(ids, "<u4").astype(np.int64)
+        own = np.where(own < len(p.lengths) - 1, own, len(p.lengths) - 1)
+        size = p.lengths[own]
+        ends = size.cumsum()
+        raw = p.bytes[np.repeat(p.starts[own] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
 _encoders: dict[tuple[str, float, int], Encoder] = {}
@@ -126,14 +386,19 @@ def encoder(path: str, rate: float, seed: int) -> Encoder:
     return _encoders[path, rate, seed]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Array, np.ndarray, list[str | None]]]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            part = batch.slice(lo, rows)
+            yield part.column(0), np.asarray(part.column(0).fill_null(0)).astype(np.int64), part.column(1).to_pylist()
+
+
 def _encode(path: str, rate: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, rate, seed)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                ids = [np.frombuffer(own.encode(text or ""), "<i4") for text in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+        for keys, ids, texts in _slices(batches, 250):
+            found = [np.frombuffer(x, "<i4") for x in own.encode(ids, texts)]
+            yield pa.record_batch([keys, pa.array(found, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return run
 
@@ -142,7 +407,8 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, 0.0, 0)
         for batch in batches:
-            texts = [None if ids is None else own.decode(np.array(ids, "<u4").tobytes()) for ids in batch.column(1).to_pylist()]
+            # a null among ids is no id of the vocabulary
+            texts = [None if ids is None else own.decode(np.array([-1 if i is None else i for i in ids], np.int32).tobytes()) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     return run
@@ -153,14 +419,10 @@ def _check(path: str, rate: float, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, rate, seed)
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                ids = own.encode(text)
-                rows.append((key.as_py(), len(ids) // 4, zlib.crc32(ids), own.decode(ids) == text))
-            if rows:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["id", "n_tokens", "ids_crc32", "lossless"])
+        for keys, ids, texts in _slices(batches, 250):
+            found = own.encode(ids, texts)
+            n, crc, same = [len(x) // 4 for x in found], [zlib.crc32(x) for x in found], [own.decode(x) == (t or "") for x, t in zip(found, texts, strict=True)]
+            yield pa.record_batch([keys, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["id", "n_tokens", "ids_crc32", "lossless"])
 
     return run
 
@@ -171,19 +433,23 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) of each row's whole text.  A null text is empty and has no ids; repeats and null ids are kept."""
+    """(id, ids) of each row's whole text.
+
+    A null text is empty and has no ids.  Repeated rows are kept and get the same ids; a null id is kept and
+    draws as id 0.  Extra columns are ignored; an empty table gives no rows.
+    """
     return _texts(docs, id_col, text_col).mapInArrow(_encode(path, rate, seed), _ENCODED)
 
 
 def decode(ids: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) of each row of ids; null for null."""
+    """(id, text) of each row of ids, as Encoder.decode has it; null for null."""
     return ids.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(_decode(path), "id long, text string")
 
 
 def checked(docs: DataFrame, path: str, rate: float = RATE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_crc32, lossless): each row encoded and decoded again, in one pass without a shuffle.
 
-    ids_crc32 is of the ids as little-endian 32-bit numbers; lossless: decoding gave the text back.  A null
-    text is empty.  Extra columns are ignored; an empty table gives no rows.
+    ids_crc32 is of the ids as little-endian 32-bit numbers; lossless: decoding gave the text back.  All else is
+    as in encode.
     """
     return _texts(docs, id_col, text_col).mapInArrow(_check(path, rate, seed), _CHECKED)
