@@ -1,11 +1,11 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, SMALL, corpus, words
@@ -31,9 +31,9 @@ def rows_of(seed, n=40):
     return [(i, i % 4 != 0, t) for i, t in enumerate(corpus(seed, n))]
 
 
-def scored(spark, rows, parts=3):
+def scored(spark, rows, parts=3, **sweeps):
     df = spark.createDataFrame([(i, t, "en" if train else "de", "s", 0) for i, train, t in rows], DOCS).repartition(parts)
-    return {r.id: r for r in Y.score(df, F.col("lang") == "en").collect()}
+    return {r.id: r for r in Y.score(df, F.col("lang") == "en", **sweeps).collect()}
 
 
 def test_base_scores_are_exact(spark, monkeypatch):
@@ -51,16 +51,32 @@ def test_base_scores_are_exact(spark, monkeypatch):
 def test_seating_is_consistent():
     rng = np.random.default_rng(0)
     c = np.concatenate([rng.integers(1, 6, 300), [500, 90, 65, 64]])
-    s = Y.Seating(c, rng)
-    for new in (0.01, 3.0, 500.0):
+    keys = A.mix(np.arange(len(c), dtype=np.uint64))
+    s = Y.Seating(c, keys)
+    for number, new in enumerate((0.01, 3.0, 500.0)):
+        s = Y.Seating(c, keys, s.t, s.sizes(), number)
         s.sweep(np.full(len(c), new), 0.6)
         assert (s.t >= 1).all() and (s.t <= c).all() and (s.t[c == 1] == 1).all()
         owner = np.searchsorted(s.place_of, np.flatnonzero(s.size), side="right") - 1
         assert (np.bincount(owner, minlength=len(s.many)) == s.t[s.many]).all()
         assert (np.bincount(s.table, minlength=len(s.size)) == s.size).all()
+        assert np.add.reduceat(s.sizes(), s.t.cumsum() - s.t).tolist() == c.tolist()
     assert s.t[300] > 100
 
 
+def test_customers_come_and_go():
+    rng = np.random.default_rng(1)
+    c = rng.integers(1, 30, 400)
+    keys = A.mix(np.arange(len(c), dtype=np.uint64))
+    s = Y.Seating(c, keys)
+    s.sweep(np.full(len(c), 2.0), 0.5)
+    for number in range(1, 6):
+        c = np.maximum(1, c + rng.integers(-9, 10, 400))
+        s = Y.Seating(c, keys, s.t, s.sizes(), number)
+        assert np.add.reduceat(s.sizes(), s.t.cumsum() - s.t).tolist() == c.tolist()
+        s.sweep(np.full(len(c), 2.0), 0.5)
+
+
 def test_seating_follows_the_restaurant():
     """Many copies of one dish: the tables' number follows the exact distribution of its partitions."""
     c, discount, new = 4, 0.5, 2.0
@@ -71,8 +87,10 @@ def test_seating_follows_the_restaurant():
     exact, ways = np.zeros(c + 1), {(4,): 1, (3, 1): 4, (2, 2): 3, (2, 1, 1): 6, (1, 1, 1, 1): 1}
     for sizes, n in ways.items():
         exact[len(sizes)] += n * weight(sizes)
-    s = Y.Seating(np.full(20_000, c), np.random.default_rng(1))
-    for _ in range(12):
+    every, keys = np.full(20_000, c), A.mix(np.arange(20_000, dtype=np.uint64))
+    s = Y.Seating(every, keys)
+    for number in range(12):
+        s = Y.Seating(every, keys, s.t, s.sizes(), number)
         s.sweep(np.full(20_000, new), discount)
     assert np.allclose(np.bincount(s.t, minlength=c + 1) / 20_000, exact / exact.sum(), atol=0.02)
 
@@ -82,15 +100,20 @@ def test_probabilities_sum_to_one():
     word, context = np.repeat(np.arange(30), 5), np.tile(np.arange(5), 30)
     c = rng.integers(0, 4, 150)
     c[word == 29] = 0
-    drawn = Y.Samples(word, context, c, 30, 1, (0.5, 0.5), 0)
-    total = np.bincount(word, c, 30)
-    kinds = np.bincount(word, c > 0, 30)
-    totals = np.zeros(Y._HEAD + (1 + Y.SAMPLES) * Y.CONTEXTS)
-    totals[:6] = [(total > 0).sum(), total.sum(), (c == 1).sum(), (c == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()]
-    totals[6 : Y._HEAD] = [t.sum() for t in drawn.t0]
-    for i, v in enumerate([c, *drawn.t]):
-        totals[Y._HEAD + i * Y.CONTEXTS : Y._HEAD + (i + 1) * Y.CONTEXTS] = np.bincount(context, v, Y.CONTEXTS)
-    p = Y.probabilities(word, context, c, np.array(drawn.t), np.array(drawn.parents), np.array(drawn.t0), totals)
+    total, kinds = np.bincount(word, c, 30).astype(int), np.bincount(word, c > 0, 30)
+    customers, tables = kinds, (kinds > 0).astype(int)
+    head = Y.Head(int((total > 0).sum()), int(total.sum()), (3, 2), (4, 1), int(kinds.sum()), int(tables.sum()))
+    some, of = np.flatnonzero(c), np.bincount(context, c > 0, 5)
+    keys = A.mix(np.arange(150, dtype=np.uint64))
+    s = head.seated(c[some], keys[some], head.parent(customers, tables)[word[some]], of[context[some]], None, 1)
+    t = np.zeros(150, np.int64)
+    t[some] = s.t
+    customers = np.bincount(word, t, 30).astype(int)
+    met = np.flatnonzero(customers)
+    tables = np.zeros(30, np.int64)
+    tables[met] = head.seated_parent(customers[met], keys[:30][met], None, 1).t
+    head = head.then(int(customers.sum()), int(tables.sum()))
+    p = head.probability(c, t, np.bincount(context, c, 5)[context], np.bincount(context, t, 5)[context], head.parent(customers, tables)[word])
     # all words of training, and the unknown one: word 29 stands for it
     known = total > 0
     assert known[29] == False  # noqa: E712
@@ -113,10 +136,73 @@ def test_contexts_help(spark):
     assert sum(r.score for r in held) > 0.7 * sum(r.base for r in held)
 
 
-def test_the_same_on_every_run(spark):
+def test_the_same_in_every_layout(spark, monkeypatch):
     rows = rows_of(4)
-    one, two = scored(spark, rows), scored(spark, rows)
-    assert {i: r.score for i, r in one.items()} == pytest.approx({i: r.score for i, r in two.items()}, rel=1e-9)
+    first = scored(spark, rows, 1)
+    for parts, size in ((1, 4 << 20), (3, 4 << 20), (6, 500)):
+        monkeypatch.setattr(Y, "CHUNK_BYTES", size)
+        assert scored(spark, rows, parts) == first
+
+
+def plainly_seated(rows, sweeps, burn_in, seed):
+    """Mean log10 probabilities of the texts by a sampler that moves one customer at a time, through both levels."""
+    rng = random.Random(seed)
+    pairs = Counter((u, w) for _, train, text in rows if train for u, w in zip(["<s>", *tokens(text)], tokens(text)))
+    kinds, v, n = Counter(w for _, w in pairs), len({w for _, w in pairs}), Counter()
+    for (u, _), k in pairs.items():
+        n[u] += k
+    once = lambda xs: Y.discount(sum(x == 1 for x in xs), sum(x == 2 for x in xs))
+    d1, d0, s0 = once(pairs.values()), once(kinds.values()), Y.STRENGTH
+    at = {p: [k] for p, k in pairs.items()}  # sizes of tables
+    root = {w: [k] for w, k in kinds.items()}
+    in_context, m, r = Counter(u for u, _ in pairs), len(pairs), len(root)
+
+    def parent(w):
+        return (sum(root.get(w, [])) - d0 * len(root.get(w, [])) + (s0 + d0 * r) / (v + 1)) / (s0 + m)
+
+    def leave(sizes):
+        i = rng.choices(range(len(sizes)), sizes)[0]
+        sizes[i] -= 1
+        if not sizes[i]:
+            del sizes[i]
+            return True
+        return False
+
+    def sit(sizes, d, new):
+        i = rng.choices(range(len(sizes) + 1), [*(x - d for x in sizes), new])[0]
+        if i == len(sizes):
+            sizes.append(1)
+            return True
+        sizes[i] += 1
+        return False
+
+    total = defaultdict(float)
+    texts = [(i, list(zip(["<s>", *tokens(x)], tokens(x)))) for i, _, x in rows]
+    for sweep in range(sweeps):
+        for (u, w), k in pairs.items():
+            for _ in range(k):
+                if leave(at[u, w]):
+                    in_context[u] -= 1
+                    m -= 1
+                    r -= leave(root[w])
+                if sit(at[u, w], d1, (s0 + d1 * in_context[u]) * parent(w)):
+                    in_context[u] += 1
+                    r += sit(root[w], d0, (s0 + d0 * r) / (v + 1))
+                    m += 1
+        if sweep >= burn_in:
+            for i, x in texts:
+                total[i] += sum(math.log10((pairs.get(p, 0) - d1 * len(at.get(p, [])) + (s0 + d1 * in_context[p[0]]) * parent(p[1])) / (s0 + n[p[0]])) for p in x)
+    return {i: x / (sweeps - burn_in) for i, x in total.items()}
+
+
+def test_scores_are_near_those_of_a_plain_sampler(spark):
+    rng = random.Random(3)
+    draw = lambda: " ".join(f"w{min(int(rng.expovariate(0.15)), 40)}" for _ in range(rng.randint(5, 60)))
+    rows = [(i, i % 5 != 0, draw()) for i in range(50)]
+    got, want = scored(spark, rows, burn_in=4, samples=8), plainly_seated(rows, 60, 15, 1)
+    for i, _, text in rows:
+        assert abs(got[i].score - want[i]) < 0.02 * len(tokens(text)), (i, got[i].score, want[i])
+    assert abs(sum(r.score for r in got.values()) / sum(want.values()) - 1) < 0.01
 
 
 def test_odd_tables(spark):

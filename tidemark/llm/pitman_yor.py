@@ -6,37 +6,35 @@ contexts share one parent, the unigram restaurant: who sits down at a new table
 of the parent, and a new table there draws from the uniform base over the training vocabulary and one
 unknown token.
 
-1. Each task counts a chunk of documents and sends (word, context, document) counts, packed, to the word's
-   bucket.  All customers who eat a word are then in one bucket, those of its parent too.
-2. Contexts span buckets: each bucket sends what it has of its contexts to shards of the contexts' hashes,
-   which add up and send back the totals.
-3. A bucket seats them by Gibbs sampling: a customer stands up and sits down again, at a table in
-   proportion to its size less the discount, or at a new one in proportion to the parent's probability.
-   Restaurant totals are here those of the start, one table for each word met.  Seatings of the last
-   sweeps are kept as samples.
-4. With the exact totals of each sample, which are summed over all buckets as in 2, a token's probability is the
-   mean of the samples' predictive probabilities.  Sums of logarithms go back to the documents.
-
-Training counts are of all training documents; nothing is capped or sampled but the seating.
+1. Each task counts a chunk of documents and sends (word, context, document) counts, packed, to a bucket of
+   a grid: words choose its row, contexts its column.  So the customers of one pair are in one bucket, while a
+   very common word or context is spread over a whole row or column.
+2. Words and contexts span buckets: each bucket sends its sums to shards of the words' and contexts' hashes, which
+   add up and send back the totals.  A shard of words also seats the parent's customers.
+3. A sweep of Gibbs sampling: in its bucket, each customer of a pair stands up and sits down again, at a table in
+   proportion to its size less the discount, or at a new one in proportion to the parent's probability.  Then all
+   totals are summed anew and the parent's customers are seated again, from where they sat.  Draws are hashes of
+   word, context, customer and sweep, so the seating doesn't depend on how rows are laid out.
+4. A token's probability is the mean over the last sweeps of their predictive probabilities.  Sums of logarithms, as
+   whole numbers, go back to the documents.
+
+Counts are of all training documents, and all customers are seated; nothing is capped or sampled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays as A
-from tidemark.llm.store import buckets, keep, small_batches
+from tidemark.llm.store import buckets, drop, keep, shuffles_removed, small_batches
 
-#: Contexts that the totals of one bucket taken alone have room for; totals of all buckets have as many as there are.
-CONTEXTS = 1 << 10
-#: Buckets of words for each shard of the contexts.
+#: Buckets for each shard of the words, and of the contexts.
 BUCKETS_A_SHARD = 4
 STRENGTH = 10.0
 BURN_IN, SAMPLES = 1, 3
@@ -44,9 +42,13 @@ BURN_IN, SAMPLES = 1, 3
 STEPS = 64
 CHUNK_BYTES = 4 << 20
 BASE_ADD = 0.1
+#: Logarithms are summed in units of 2 ** -UNIT.
+UNIT = 30
 
 _U = np.uint64
 _START, _END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
+_ROW, _COLUMN, _PARENT = _U(0x9FB21C651E98DF25), _U(0x2545F4914F6CDD1D), _U(0x632BE59BD9B4E019)
+_CUSTOMER, _DRAW = _U(0xD1342543DE82EF95), _U(0xAEF17502108EF2D9)
 
 
 # --- 1. counts ---------------------------------------------------------------------------------------------------
@@ -83,7 +85,12 @@ def tokens(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row, token, before
 
 
-def _sent(parts: int):
+def _grid(parts: int) -> int:
+    """Rows of a grid of about so many buckets, and its columns."""
+    return max(1, int(np.ceil(np.sqrt(parts))))
+
+
+def _sent(side: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -91,11 +98,11 @@ def _sent(parts: int):
             train = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
             lo = 0
             while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(rows, rows[lo] + CHUNK_BYTES, side="right")) - 1)
-                out = _packed(data[rows[lo] : rows[hi]], rows[lo : hi + 1] - rows[lo], parts)
+                hi = max(lo + 1, int(np.searchsorted(rows, rows[lo] + most, side="right")) - 1)
+                out, n = _packed(data[rows[lo] : rows[hi]], rows[lo : hi + 1] - rows[lo], side)
                 flags = np.packbits(train[lo:hi]).tobytes()
                 out = [{**x, "chunk": chunk, "train": flags} for x in out]
-                out.append({"bucket": chunk % parts, "chunk": chunk, "train": flags, "ids": _ids(batch.column(0)[lo:hi])})
+                out.append({"bucket": chunk % side**2, "chunk": chunk, "train": flags, "ids": _ids(batch.column(0)[lo:hi]), "n": _pack(n)})
                 yield from pa.Table.from_pylist(out, _SENT_ARROW).to_batches(max_chunksize=64)
                 lo, chunk = hi, chunk + 1
                 del out
@@ -109,8 +116,10 @@ def _ids(ids: pa.Array) -> bytes:
     return np.asarray(ids.fill_null(0)).astype(np.int64).tobytes() + np.asarray(ids.is_null()).tobytes()
 
 
-def _packed(data: np.ndarray, rows: np.ndarray, parts: int) -> list[dict]:
+def _packed(data: np.ndarray, rows: np.ndarray, side: int) -> tuple[list[dict], np.ndarray]:
+    """A message to each bucket, and the number of tokens of each row."""
     row, token, before = tokens(data, rows)
+    size = np.bincount(row, minlength=len(rows) - 1)
     words, own = np.unique(token, return_inverse=True)
     contexts, context = np.unique(before, return_inverse=True)
     bits, wide = (len(rows) - 1).bit_length(), len(contexts).bit_length()
@@ -118,47 +127,145 @@ def _packed(data: np.ndarray, rows: np.ndarray, parts: int) -> list[dict]:
     del row, token, before, context
     key = key.astype(np.int64)
     doc, context, own = key & (1 << bits) - 1, key >> bits & (1 << wide) - 1, key >> bits + wide
-    order, bounds = A.grouped(A.bucket_of(A.mix(words ^ _U(0x9FB21C651E98DF25)), parts)[own], parts)
+    at = A.bucket_of(A.mix(words ^ _ROW), side)[own] * side + A.bucket_of(A.mix(contexts ^ _COLUMN), side)[context]
+    order, bounds = A.grouped(at, side**2)
     out = []
     for b in np.flatnonzero(np.diff(bounds)):
         i = order[bounds[b] : bounds[b + 1]]
         first = A.runs(own[i])
         met, at = np.unique(context[i], return_inverse=True)
         out.append({"bucket": int(b), "words": words[own[i][first]].tobytes(), "counts": _pack(np.diff(np.append(first, len(i)))), "contexts": contexts[met].tobytes(), "context": _pack(at), "doc": _pack(doc[i]), "n": _pack(n[i])})
-    return out
+    return out, size
+
+
+_GROUPED = "bucket int, words binary, types binary, contexts binary, context binary, c binary, counts binary, chunks binary, chunk binary, doc binary, n binary, one long, two long, ids binary, own long, train binary"
+_GROUPED_ARROW = pa.schema([
+    ("bucket", pa.int32()), *((x, pa.binary()) for x in ("words", "types", "contexts", "context", "c", "counts", "chunks", "chunk", "doc", "n")),
+    ("one", pa.int64()), ("two", pa.int64()), ("ids", pa.binary()), ("own", pa.int64()), ("train", pa.binary()),
+])
+
+
+def _by_bucket(table: pa.Table) -> pa.Table:
+    bucket = table["bucket"][0].as_py()
+    out, parts_of = [], []
+    for x in table.to_pylist():
+        if x["ids"] is not None:
+            out.append({"bucket": bucket, "ids": x["ids"], "own": x["chunk"], "train": x["train"], "n": x["n"]})
+        else:
+            parts_of.append(x)
+    if parts_of:
+        # repeated attempts see the messages in another order
+        parts_of.sort(key=lambda x: x["chunk"])
+        out.append({"bucket": bucket, **_grouped(parts_of)})
+    made = pa.Table.from_pylist(out, _GROUPED_ARROW)
+    del out, parts_of, table
+    A.trim()
+    return made
+
+
+def _column(messages: list[dict], name: str) -> np.ndarray:
+    """One packed column of all messages, which are emptied of it."""
+    return np.concatenate([_unpack(x.pop(name)).astype(np.int32) for x in messages])
+
+
+def _grouped(messages: list[dict]) -> dict:
+    chunks = np.array([x["chunk"] for x in messages], np.int64)
+    words, own = np.unique(np.concatenate([np.frombuffer(x.pop("words"), _U) for x in messages]), return_inverse=True)
+    kind = np.repeat(own, _column(messages, "counts"))
+    met = [np.frombuffer(x.pop("contexts"), _U) for x in messages]
+    before = np.concatenate([[0], np.cumsum([len(x) for x in met])])
+    contexts, own = np.unique(np.concatenate(met), return_inverse=True)
+    del met
+    at = [_unpack(x.pop("context")) for x in messages]
+    chunk = np.repeat(np.arange(len(messages), dtype=np.int32), [len(x) for x in at])
+    wide = len(contexts).bit_length()
+    kind <<= wide
+    kind |= np.concatenate([own[x + lo] for x, lo in zip(at, before, strict=False)])
+    del own, at
+    order = np.argsort(kind, kind="stable").astype(np.int32)
+    kind = kind[order]
+    begin = A.runs(kind)
+    word, context = kind[begin] >> wide, kind[begin] & (1 << wide) - 1
+    del kind
+    counts = np.diff(np.append(begin, len(order)))
+    flags = [np.unpackbits(np.frombuffer(x["train"], np.uint8)) for x in messages]
+    doc, n = _column(messages, "doc"), _column(messages, "n")
+    ends = np.concatenate([[0], np.bincount(chunk, minlength=len(messages)).cumsum()])
+    learnt = np.concatenate([n[lo:hi] * f[doc[lo:hi]] for f, lo, hi in zip(flags, ends, ends[1:], strict=False)])
+    c = np.add.reduceat(learnt[order].astype(np.int64), begin)
+    items = {"counts": _pack(counts), "chunks": chunks.tobytes(), "chunk": _pack(chunk[order]), "doc": _pack(doc[order]), "n": _pack(n[order])}
+    del doc, n, learnt, chunk, order
+    return {
+        "words": words.tobytes(), "types": _pack(np.bincount(word, minlength=len(words))), "contexts": contexts.tobytes(), "context": _pack(context), "c": _pack(c),
+        "one": int((c == 1).sum()), "two": int((c == 2).sum()), **items,
+    }
 
 
-# --- 3. seating --------------------------------------------------------------------------------------------------
+# --- seating -----------------------------------------------------------------------------------------------------
 
 
 class Seating:
-    """Tables of dishes: dish i has c[i] >= 1 customers; at the start, each dish is served at one table."""
+    """Tables of dishes: dish i has c[i] >= 1 customers, of which each draws by its own key.
+
+    tables and sizes: how many tables each dish had before, and their sizes, all dishes' one after another; without
+    them each dish is served at one table.  Customers that left since are those of the least draws; who came since sits
+    down beside a customer drawn by chance, until a sweep.
+    """
 
-    def __init__(self, c: np.ndarray, rng: np.random.Generator):
-        self.rng, self.c, self.t = rng, c, np.ones(len(c), np.int64)
+    def __init__(self, c: np.ndarray, keys: np.ndarray, tables: np.ndarray | None = None, sizes: np.ndarray | None = None, number: int = 0):
+        self.c, self.t, self.number, self.salt = c, np.ones(len(c), np.int64), number, 0
         self.many = np.flatnonzero(c > 1)
         many = c[self.many]
         self.dish = np.repeat(np.arange(len(many), dtype=np.int32), many)
         self.first = many.cumsum() - many
+        own = np.arange(len(self.dish)) - self.first[self.dish]
+        self.key = A.mix(keys[self.many][self.dish] + own.astype(_U) * _CUSTOMER)
         # twice the places that tables can need, so a free one is soon found
         self.places = 2 * many + 2
         self.place_of = self.places.cumsum() - self.places
-        self.size = np.zeros(int(self.places.sum()), np.int32)
-        self.size[self.place_of] = many
-        self.table = self.place_of[self.dish]
-        self.order, self.bounds = A.grouped((np.arange(len(self.dish)) - self.first[self.dish]) % STEPS, STEPS)
+        place = np.zeros(len(self.dish), np.int64) if tables is None else self._places(keys, tables, sizes)
+        self.table = self.place_of[self.dish] + place
+        self.size = np.bincount(self.table, minlength=int(self.places.sum())).astype(np.int32)
+        self.t[self.many] = np.add.reduceat(self.size > 0, self.place_of) if len(many) else 0
+        self.order, self.bounds = A.grouped(own % STEPS, STEPS)
         self.order = self.order.astype(np.int32)
 
+    def _draw(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers from 0 to 1, others on each call."""
+        self.salt += 1
+        return (A.mix(keys + _U((self.number << 32 | self.salt) * int(_DRAW) % (1 << 64))) >> _U(11)) * 2.0**-53
+
+    def _places(self, keys: np.ndarray, tables: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The table of each customer, from the tables of before."""
+        before = np.add.reduceat(sizes, tables.cumsum() - tables)
+        owner = np.repeat(np.arange(len(before)), before)
+        first = before.cumsum() - before
+        table = np.repeat(np.arange(len(sizes)) - np.repeat(tables.cumsum() - tables, tables), sizes)
+        if (before != self.c).any():
+            draws = self._draw(A.mix(keys[owner] + (np.arange(len(owner)) - first[owner]).astype(_U) * _CUSTOMER))
+            rank = np.empty(len(owner), np.int64)
+            rank[np.lexsort((draws, owner))] = np.arange(len(owner)) - first[owner]
+            stay = (before <= self.c)[owner] | (rank >= (before - self.c)[owner])
+            more = np.repeat(np.arange(len(before)), np.maximum(self.c - before, 0))
+            nth = A.runs(more)
+            nth = np.arange(len(more)) - np.repeat(nth, np.diff(np.append(nth, len(more))))
+            beside = first[more] + (self._draw(A.mix(keys[more] + (before[more] + nth).astype(_U) * _CUSTOMER)) * before[more]).astype(np.int64)
+            owner, table = np.concatenate([owner[stay], more]), np.concatenate([table[stay], table[beside]])
+            order = np.argsort(owner, kind="stable")
+            owner, table = owner[order], table[order]
+        return table[self.c[owner] > 1]
+
     def sweep(self, new: np.ndarray, discount: float) -> None:
         """Every customer of a dish with several stands up and sits down again; new: a dish's weight of a new table."""
-        rng, t, c = self.rng, self.t[self.many], self.c[self.many]
+        t, c = self.t[self.many], self.c[self.many]
         new = new[self.many]
         standing = np.zeros(len(self.dish), bool)
         for step in range(STEPS):
             who = self.order[self.bounds[step] : self.bounds[step + 1]]
             if not len(who):
                 break
-            dish = self.dish[who]
+            self.salt = step << 20
+            dish, key = self.dish[who], self.key[who]
             left = self.table[who]
             np.subtract.at(self.size, left, 1)
             empty = np.unique(left[self.size[left] == 0])
@@ -167,13 +274,13 @@ class Seating:
             begin = A.runs(dish)
             gone = np.diff(np.append(begin, len(dish)))
             seated = np.maximum(c[dish] - np.repeat(gone, gone) - discount * t[dish], 0)
-            opens = rng.random(len(who)) * (new[dish] + seated) < new[dish]
+            opens = self._draw(key) * (new[dish] + seated) < new[dish]
             opens |= t[dish] == 0
             # an open place for a new table
             rest = np.flatnonzero(opens)
             while len(rest):
                 d = dish[rest]
-                place = self.place_of[d] + (rng.random(len(rest)) * self.places[d]).astype(np.int64)
+                place = self.place_of[d] + (self._draw(key[rest]) * self.places[d]).astype(np.int64)
                 # of several that choose one place, one takes it
                 free = self.size[place] == 0
                 _, one = np.unique(place, return_index=True)
@@ -186,15 +293,16 @@ class Seating:
                 np.add.at(t, dish[got], 1)
                 rest = rest[~takes]
             # a table in proportion to its size less the discount: that of any customer, taken by chance
+            self.salt = step << 20 | 1 << 19
             rest = np.flatnonzero(~opens)
             joined = np.empty(len(who), np.int64)
             standing[who] = True
             while len(rest):
                 d = dish[rest]
-                other = self.first[d] + (rng.random(len(rest)) * c[d]).astype(np.int64)
+                other = self.first[d] + (self._draw(key[rest]) * c[d]).astype(np.int64)
                 place = self.table[other]
                 size = self.size[place]
-                takes = ~standing[other] & (rng.random(len(rest)) * size < size - discount)
+                takes = ~standing[other] & (self._draw(key[rest]) * size < size - discount)
                 joined[rest[takes]] = place[takes]
                 rest = rest[~takes]
             stay = np.flatnonzero(~opens)
@@ -203,255 +311,238 @@ class Seating:
             standing[who] = False
         self.t[self.many] = t
 
+    def sizes(self) -> np.ndarray:
+        """Sizes of the tables, all dishes' one after another."""
+        at = np.flatnonzero(self.size)
+        owner = np.concatenate([np.flatnonzero(self.c == 1), self.many[np.searchsorted(self.place_of, at, side="right") - 1]])
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate([np.ones(int((self.c == 1).sum()), np.int64), self.size[at].astype(np.int64)])[order]
+
 
 def discount(once: float, twice: float) -> float:
     """From how many dishes have one and two customers."""
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-class Samples:
-    """Of a bucket: tables of each (word, context) and of each word in the parent, in each sample."""
-
-    def __init__(self, word: np.ndarray, context: np.ndarray, c: np.ndarray, n_words: int, parts: int, d: tuple[float, float], seed: int, totals: tuple[np.ndarray, int, int] | None = None):
-        """totals: tables of each context at the start, of all contexts, and words met; without them, parts times the bucket's."""
-        rng = np.random.default_rng(seed)
-        some = np.flatnonzero(c > 0)
-        word, context = word[some], context[some]
-        child = Seating(c[some], rng)
-        if totals is None:
-            tables = np.maximum(1, parts * np.bincount(context, minlength=CONTEXTS))  # at the start, one for each word met
-            totals = tables, tables.sum(), max(1, parts * len(np.unique(word)))
-        tables, every, words = totals
-        base = 1 / (words + 1)
-        self.t, self.parents, self.t0 = [], [], []
-        t0 = np.zeros(n_words, np.int64)
-        customers = np.bincount(word, child.t, n_words).astype(np.int64)
-        t0[customers > 0] = 1
-        for turn in range(BURN_IN + SAMPLES):
-            parent = (np.maximum(customers - d[1] * t0, 0) + (STRENGTH + d[1] * words) * base) / (STRENGTH + every)
-            child.sweep((STRENGTH + d[0] * tables[context]) * parent[word], d[0])
-            customers = np.bincount(word, child.t, n_words).astype(np.int64)
-            at = np.flatnonzero(customers)
-            root = Seating(customers[at], rng)
-            root.sweep(np.full(len(at), (STRENGTH + d[1] * words) * base), d[1])
-            t0 = np.zeros(n_words, np.int64)
-            t0[at] = root.t
-            if turn >= BURN_IN:
-                full = np.zeros(len(c), np.int64)
-                full[some] = child.t
-                self.t.append(full)
-                self.parents.append(customers)
-                self.t0.append(t0)
-
-
-_GROUPED = "bucket int, types binary, contexts binary, context binary, c binary, counts binary, chunks binary, chunk binary, doc binary, n binary, words long, tokens long, one1 long, two1 long, one0 long, two0 long, kinds long, ids binary, own long, train binary"
-_HEADS = ("words", "tokens", "one1", "two1", "one0", "two0", "kinds")
-_GROUPED_ARROW = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("types", "contexts", "context", "c", "counts", "chunks", "chunk", "doc", "n")), *((x, pa.int64()) for x in _HEADS), ("ids", pa.binary()), ("own", pa.int64()), ("train", pa.binary())])
+class Head:
+    """What all buckets need: training words and tokens, discounts, and the parent's customers and tables."""
 
+    def __init__(self, words: int, tokens: int, pairs: tuple[int, int], kinds: tuple[int, int], customers: int, tables: int):
+        self.words, self.tokens = words, tokens
+        self.d1, self.d0 = discount(*pairs), discount(*kinds)
+        self.pairs, self.kinds = pairs, kinds
+        self.customers, self.tables = customers, tables
 
-def _by_bucket(table: pa.Table) -> pa.Table:
-    bucket = table["bucket"][0].as_py()
-    out, parts_of = [], []
-    for x in table.to_pylist():
-        if x["ids"] is not None:
-            out.append({"bucket": bucket, "ids": x["ids"], "own": x["chunk"], "train": x["train"]})
-        else:
-            parts_of.append(x)
-    if parts_of:
-        # repeated attempts see the messages in another order
-        parts_of.sort(key=lambda x: x["chunk"])
-        out.append({"bucket": bucket, **_grouped(parts_of)})
-    made = pa.Table.from_pylist(out, _GROUPED_ARROW)
-    del out, parts_of, table
-    A.trim()
-    return made
+    def then(self, customers: int, tables: int) -> Head:
+        return Head(self.words, self.tokens, self.pairs, self.kinds, customers, tables)
 
+    @property
+    def uniform(self) -> float:
+        return 1 / (self.words + 1)
 
-def _column(messages: list[dict], name: str) -> np.ndarray:
-    """One packed column of all messages, which are emptied of it."""
-    return np.concatenate([_unpack(x.pop(name)).astype(np.int32) for x in messages])
+    def parent(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The parent's probability of words with so many customers and tables there."""
+        return (customers - self.d0 * tables + (STRENGTH + self.d0 * self.tables) * self.uniform) / (STRENGTH + self.customers)
 
+    def seated(self, c: np.ndarray, keys: np.ndarray, parent: np.ndarray, tables_of: np.ndarray, before: tuple | None, number: int) -> Seating:
+        """The customers of pairs after a sweep; tables_of: those of each pair's context."""
+        out = Seating(c, keys, *(before or (None, None)), number)
+        out.sweep((STRENGTH + self.d1 * tables_of) * parent, self.d1)
+        return out
 
-def _grouped(messages: list[dict]) -> dict:
-    chunks = np.array([x["chunk"] for x in messages], np.int64)
-    _, own = np.unique(np.concatenate([np.frombuffer(x.pop("words"), _U) for x in messages]), return_inverse=True)
-    kind = np.repeat(own, _column(messages, "counts"))
-    met = [np.frombuffer(x.pop("contexts"), _U) for x in messages]
-    before = np.concatenate([[0], np.cumsum([len(x) for x in met])])
-    contexts, own = np.unique(np.concatenate(met), return_inverse=True)
-    del met
-    at = [_unpack(x.pop("context")) for x in messages]
-    chunk = np.repeat(np.arange(len(messages), dtype=np.int32), [len(x) for x in at])
-    wide = len(contexts).bit_length()
-    kind <<= wide
-    kind |= np.concatenate([own[x + lo] for x, lo in zip(at, before, strict=False)])
-    del own, at
-    order = np.argsort(kind, kind="stable").astype(np.int32)
-    kind = kind[order]
-    begin = A.runs(kind)
-    word, context = kind[begin] >> wide, kind[begin] & (1 << wide) - 1
-    del kind
-    counts = np.diff(np.append(begin, len(order)))
-    flags = [np.unpackbits(np.frombuffer(x["train"], np.uint8)) for x in messages]
-    doc, n = _column(messages, "doc"), _column(messages, "n")
-    ends = np.concatenate([[0], np.bincount(chunk, minlength=len(messages)).cumsum()])
-    learnt = np.concatenate([n[lo:hi] * f[doc[lo:hi]] for f, lo, hi in zip(flags, ends, ends[1:], strict=False)])
-    c = np.add.reduceat(learnt[order].astype(np.int64), begin)
-    pack = _pack
-    items = {"counts": pack(counts), "chunks": chunks.tobytes(), "chunk": pack(chunk[order]), "doc": pack(doc[order]), "n": pack(n[order])}
-    del doc, n, learnt, chunk, order
-    n_words = int(word[-1]) + 1
-    total = np.bincount(word, c, n_words)
-    kinds = np.bincount(word, c > 0, n_words)
-    return {
-        "types": pack(np.bincount(word, minlength=n_words)), "contexts": contexts.tobytes(), "context": pack(context), "c": pack(c), "words": int((total > 0).sum()), "tokens": int(total.sum()), "one1": int((c == 1).sum()),
-        "two1": int((c == 2).sum()), "one0": int((kinds == 1).sum()), "two0": int((kinds == 2).sum()), "kinds": int(kinds.sum()), **items,
-    }
+    def seated_parent(self, customers: np.ndarray, keys: np.ndarray, before: tuple | None, number: int) -> Seating:
+        out = Seating(customers, keys, *(before or (None, None)), number)
+        out.sweep(np.full(len(customers), (STRENGTH + self.d0 * self.tables) * self.uniform), self.d0)
+        return out
 
+    def probability(self, c: np.ndarray, t: np.ndarray, customers_of: np.ndarray, tables_of: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """The predictive probability of pairs: their customers and tables, those of their contexts, and the parent's."""
+        return (c - self.d1 * t + (STRENGTH + self.d1 * tables_of) * parent) / (STRENGTH + customers_of)
 
-_SEATED = "bucket int, contexts binary, tables binary, parents binary, root binary, customers binary, sums binary, every array<long>, roots array<long>"
-_SEATED_ARROW = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("contexts", "tables", "parents", "root", "customers", "sums")), ("every", pa.list_(pa.int64())), ("roots", pa.list_(pa.int64()))])
 
+def pair_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    return A.mix(words + A.mix(contexts ^ _CUSTOMER))
 
-def _seated(head: dict):
-    d = discount(head["one1"], head["two1"]), discount(head["one0"], head["two0"])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = left.to_pylist()[0]
-        customers, kinds = _joined(right, 2)
-        types, context, c = (_unpack(x[k]) for k in ("types", "context", "c"))
-        word = np.repeat(np.arange(len(types)), types)
-        drawn = Samples(word, context, c, len(types), 1, d, x["bucket"], (np.maximum(kinds, 1), head["kinds"], max(1, head["words"])))
-        pack = _pack
-        sums = [np.bincount(context, t, len(customers)) for t in drawn.t]
-        out = {
-            "bucket": x["bucket"], "contexts": x["contexts"], "tables": pack(np.concatenate(drawn.t)), "parents": pack(np.concatenate(drawn.parents)), "root": pack(np.concatenate(drawn.t0)),
-            "customers": pack(customers), "sums": pack(np.concatenate(sums)), "every": [int(v.sum()) for v in drawn.parents], "roots": [int(v.sum()) for v in drawn.t0],
-        }
-        made = pa.Table.from_pylist([out], _SEATED_ARROW)
-        del x, out, drawn, left, right
+# --- totals over buckets -----------------------------------------------------------------------------------------
+
+CONTEXT, WORD = 0, 1
+#: Messages to shards (with names and sums), and beside them the state of a bucket.
+_SHARE = "bucket int, tables binary, sizes binary, samples array<binary>, shard int, names binary, v binary"
+_SHARE_ARROW = pa.schema([("bucket", pa.int32()), ("tables", pa.binary()), ("sizes", pa.binary()), ("samples", pa.list_(pa.binary())), ("shard", pa.int32()), ("names", pa.binary()), ("v", pa.binary())])
+#: Replies to buckets, and beside them the state of a shard and what it adds to the sums over all.
+_TOTAL = "shard int, bucket int, v binary, tables binary, sizes binary, sums array<long>"
+_TOTAL_ARROW = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("v", pa.binary()), ("tables", pa.binary()), ("sizes", pa.binary()), ("sums", pa.list_(pa.int64()))])
+
+
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of megabytes each: one at a time is unpacked, and memory is given back after it."""
+    for i in range(batch.num_rows):
+        yield from batch.slice(i, 1).to_pylist()
         A.trim()
-        return made
 
-    return run
 
+def _shares(kind: int, shards: int, bucket: int, names: np.ndarray, v: np.ndarray) -> list[dict]:
+    """What a bucket has of its words or contexts, by shard.  They are in order of their hashes, and so are shards."""
+    bounds = np.searchsorted(A.bucket_of(names, shards), np.arange(shards + 1))
+    return [{"shard": kind * shards + k, "bucket": bucket, "names": names[lo:hi].tobytes(), "v": _pack(v[:, lo:hi].ravel())} for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if lo < hi]
 
-# --- totals of contexts over all buckets -------------------------------------------------------------------------
 
-_SHARE = "shard int, bucket int, contexts binary, v binary"
-_SHARE_ARROW = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("contexts", pa.binary()), ("v", pa.binary())])
-_SUM_ARROW = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("v", pa.binary())])
+def _read(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, contexts, and of each pair its word, context and count."""
+    types, context, c = (_unpack(x[k]) for k in ("types", "context", "c"))
+    return np.frombuffer(x["words"], _U), np.frombuffer(x["contexts"], _U), np.repeat(np.arange(len(types)), types), context, c
 
 
-def _shares(shards: int, values):
-    """What each bucket has of its contexts, by shard.  Contexts are in order of their hashes, and so are shards."""
+def _counted(shards: int):
+    """Training tokens of each context and word, and in how many pairs they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in _one_by_one(batch):
-                contexts = np.frombuffer(x["contexts"], _U)
-                v = values(x, len(contexts))
-                bounds = np.searchsorted(A.bucket_of(contexts, shards), np.arange(shards + 1))
-                rows = [{"shard": k, "bucket": x["bucket"], "contexts": contexts[lo:hi].tobytes(), "v": _pack(v[:, lo:hi].ravel())} for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if lo < hi]
+                words, contexts, word, context, c = _read(x)
+                sums = lambda of, n: np.stack([np.bincount(of, c, n), np.bincount(of, c > 0, n)]).astype(np.int64)  # noqa: B023, E731
+                rows = _shares(CONTEXT, shards, x["bucket"], contexts, sums(context, len(contexts))) + _shares(WORD, shards, x["bucket"], words, sums(word, len(words)))
                 yield from pa.Table.from_pylist(rows, _SHARE_ARROW).to_batches(max_chunksize=64)
 
     return run
 
 
-def _learnt(x: dict, n: int) -> np.ndarray:
-    """Customers, and words met, of each context."""
-    context, c = _unpack(x["context"]), _unpack(x["c"])
-    return np.stack([np.bincount(context, c, n), np.bincount(context, c > 0, n)]).astype(np.int64)
+def _swept(shards: int, head: Head, number: int, sampled: bool):
+    """A sweep over a bucket's pairs."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.to_pylist()
+        x = next((x for x in rows if x["words"] is not None), None)
+        if x is None:
+            return pa.Table.from_pylist([], _SHARE_ARROW)
+        state = next((x for x in rows if x["words"] is None), None)
+        words, contexts, word, context, c = _read(x)
+        replies = right.to_pylist()
+        tables_of, (parents, roots) = _joined(replies, shards, CONTEXT, 2 if number == 1 else 1)[-1], _joined(replies, shards, WORD, 3 if number == 1 else 2)[-2:]
+        some = np.flatnonzero(c)
+        before = (_unpack(state["tables"]), _unpack(state["sizes"])) if state else None
+        if len(some):
+            keys = pair_keys(words[word[some]], contexts[context[some]])
+            seating = head.seated(c[some], keys, head.parent(parents, roots)[word[some]], tables_of[context[some]], before, number)
+            t, sizes = seating.t, seating.sizes()
+            del seating, keys
+        else:
+            t = sizes = np.empty(0, np.int64)
+        samples = (state["samples"] if state else []) + ([_pack(t)] if sampled else [])
+        sums = lambda of, n: np.bincount(of[some], t, n).astype(np.int64)[None]
+        out = [{"bucket": x["bucket"], "tables": _pack(t), "sizes": _pack(sizes), "samples": samples}]
+        out += _shares(CONTEXT, shards, x["bucket"], contexts, sums(context, len(contexts))) + _shares(WORD, shards, x["bucket"], words, sums(word, len(words)))
+        made = pa.Table.from_pylist(out, _SHARE_ARROW)
+        del x, rows, replies, out, left, right, state
+        A.trim()
+        return made
 
+    return run
 
-def _tables(x: dict, n: int) -> np.ndarray:
-    return _unpack(x["sums"]).reshape(SAMPLES, n)
 
+def _added(shards: int, head: Head | None, number: int):
+    """Totals of a shard; one of words seats the parent's customers.  Without a head, at the start, each word has one table there."""
 
-def _added(width: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        found = [np.frombuffer(x["contexts"], _U) for x in rows]
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.to_pylist()
+        if not rows:
+            return pa.Table.from_pylist([], _TOTAL_ARROW)
+        shard = rows[0]["shard"]
+        rows.sort(key=lambda x: x["bucket"])
+        found = [np.frombuffer(x["names"], _U) for x in rows]
+        names, own = np.unique(np.concatenate(found), return_inverse=True)
+        v = [_unpack(x["v"]).reshape(-1, len(at)) for x, at in zip(rows, found, strict=True)]
+        sums = np.stack([np.bincount(own, x, len(names)).astype(np.int64) for x in np.concatenate(v, axis=1)])
+        del v
+        beside = {"shard": shard}
+        if shard >= shards:
+            customers = sums[-1]
+            some = np.flatnonzero(customers)
+            before = [(_unpack(x["tables"]), _unpack(x["sizes"])) for x in right.to_pylist()]
+            roots = np.zeros(len(names), np.int64)
+            if head is None:
+                tables, sizes = np.ones(len(some), np.int64), customers[some]
+                beside["sums"] = [int((sums[0] > 0).sum()), int(sums[0].sum()), int((customers == 1).sum()), int((customers == 2).sum()), int(customers.sum()), len(some)]
+            elif len(some):
+                seating = head.seated_parent(customers[some], A.mix(names[some] ^ _PARENT), before[0], number)
+                tables, sizes = seating.t, seating.sizes()
+            else:
+                tables = sizes = np.empty(0, np.int64)
+            if head is not None:
+                beside["sums"] = [int(customers.sum()), int(tables.sum())]
+            beside |= {"tables": _pack(tables), "sizes": _pack(sizes)}
+            roots[some] = tables
+            sums = np.concatenate([sums, roots[None]])
         ends = np.cumsum([len(x) for x in found])
-        _, own = np.unique(np.concatenate(found), return_inverse=True)
-        v = np.concatenate([_unpack(x["v"]).reshape(width, -1) for x in rows], axis=1)
-        sums = np.stack([np.bincount(own, x).astype(np.int64) for x in v])
-        out = [{"shard": x["shard"], "bucket": x["bucket"], "v": _pack(sums[:, own[hi - len(at) : hi]].ravel())} for x, at, hi in zip(rows, found, ends, strict=True)]
-        made = pa.Table.from_pylist(out, _SUM_ARROW)
-        del rows, found, own, v, sums, out, table
+        out = [beside] + [{"shard": shard, "bucket": x["bucket"], "v": _pack(sums[:, own[hi - len(at) : hi]].ravel())} for x, at, hi in zip(rows, found, ends, strict=True)]
+        made = pa.Table.from_pylist(out, _TOTAL_ARROW)
+        del rows, found, own, sums, out, left, right
         A.trim()
         return made
 
     return run
 
 
-def _totals(rows: DataFrame, shards: int, values, width: int) -> DataFrame:
-    """(shard, bucket, v): for the contexts of each bucket, the sums over all buckets."""
-    return rows.mapInArrow(_shares(shards, values), _SHARE).groupBy("shard").applyInArrow(_added(width), "shard int, bucket int, v binary")
-
-
-def _joined(table: pa.Table, width: int) -> np.ndarray:
-    rows = sorted(table.to_pylist(), key=lambda x: x["shard"])
-    return np.concatenate([_unpack(x["v"]).reshape(width, -1) for x in rows], axis=1)
+def _totals(shares: DataFrame, state: DataFrame, shards: int, head: Head | None, number: int) -> DataFrame:
+    messages = shares.filter("names IS NOT NULL").select("shard", "bucket", "names", "v")
+    return messages.groupBy("shard").cogroup(state.filter("bucket IS NULL").select("shard", "tables", "sizes").groupBy("shard")).applyInArrow(_added(shards, head, number), _TOTAL)
 
 
-# --- 4. scores ----------------------------------------------------------------------------------------
+def _joined(rows: list[dict], shards: int, kind: int, width: int) -> np.ndarray:
+    """Totals of a bucket's contexts or words, one row for each kind of sum."""
+    own = sorted((x for x in rows if x["shard"] // shards == kind), key=lambda x: x["shard"])
+    return np.concatenate([_unpack(x["v"]).reshape(width, -1) for x in own], axis=1)
 
-#: Where the totals stand: customers of each context, then for each sample tables of each context.
-_WORDS, _TOKENS, _ONE1, _TWO1, _ONE0, _TWO0 = range(6)
-_HEAD = 6 + SAMPLES
 
+# --- 4. scores ---------------------------------------------------------------------------------------------------
 
-def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Rows of megabytes each: one at a time is unpacked, and memory is given back after it."""
-    for i in range(batch.num_rows):
-        yield from batch.slice(i, 1).to_pylist()
-        A.trim()
+_PARTS = "chunk long, doc binary, known binary, base binary, base_high binary, score binary, score_high binary, ids binary, train binary, n binary"
+_PARTS_ARROW = pa.schema([("chunk", pa.int64()), *((x, pa.binary()) for x in ("doc", "known", "base", "base_high", "score", "score_high", "ids", "train", "n"))])
 
 
-_PARTS = "chunk long, doc binary, n binary, known binary, base binary, score binary, ids binary, train binary"
-_PARTS_ARROW = pa.schema([("chunk", pa.int64()), *((x, pa.binary()) for x in ("doc", "n", "known", "base", "score", "ids", "train"))])
+def _units(p: np.ndarray) -> np.ndarray:
+    """Logarithms of probabilities, their sign changed, in whole units."""
+    return np.rint(-np.log10(p) * (1 << UNIT))
 
 
-def probabilities(word: np.ndarray, context: np.ndarray, c: np.ndarray, t: np.ndarray, parents: np.ndarray, t0: np.ndarray, totals: np.ndarray, every: np.ndarray | None = None) -> np.ndarray:
-    """The mean over samples of each (word, context)'s predictive probability.
+def _scored(shards: int, heads: list[Head], numbers: list[int]):
+    """heads: of the start and of each sample; numbers: the sweeps that are samples."""
 
-    every: tables of all contexts in each sample, where totals have only some of the contexts.
-    """
-    vocabulary = totals[_WORDS]
-    d1, d0 = discount(totals[_ONE1], totals[_TWO1]), discount(totals[_ONE0], totals[_TWO0])
-    customers, *all_tables = totals[_HEAD:].reshape(1 + SAMPLES, -1)
-    p = np.zeros(len(c))
-    for s in range(SAMPLES):
-        tables = all_tables[s]
-        parent = (parents[s] - d0 * t0[s] + (STRENGTH + d0 * totals[6 + s]) / (vocabulary + 1)) / (STRENGTH + (tables.sum() if every is None else every[s]))
-        p += (c - d1 * t[s] + (STRENGTH + d1 * tables[context]) * parent[word]) / (STRENGTH + customers[context])
-    return p / SAMPLES
-
-
-def _scored(head: np.ndarray, every: list[int]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, seats = sorted(left.to_pylist(), key=lambda x: x["types"] is None)
-        types, context, c = (_unpack(x[k]) for k in ("types", "context", "c"))
-        word = np.repeat(np.arange(len(types)), types)
-        t, parents, t0 = (_unpack(seats[k]).reshape(SAMPLES, -1) for k in ("tables", "parents", "root"))
-        totals = np.concatenate([head, _unpack(seats["customers"]), _joined(right, SAMPLES).ravel()])
-        score = np.log10(probabilities(word, context, c, t, parents, t0, totals, every))
-        total = np.bincount(word, c)
-        counts = _unpack(x["counts"])
-        item = np.repeat(np.arange(len(c)), counts)
+        rows = left.to_pylist()
+        x = next((x for x in rows if x["words"] is not None), None)
+        if x is None:
+            return pa.Table.from_pylist([], _PARTS_ARROW)
+        samples = next(x for x in rows if x["words"] is None)["samples"]
+        replies = right.to_pylist()
+        totals = lambda number, kind, width: _joined([r for r in replies if r["number"] == number], shards, kind, width)
+        words, _, word, context, c = _read(x)
+        customers_of, total = totals(0, CONTEXT, 2)[0], totals(0, WORD, 3)[0]
+        some, p = np.flatnonzero(c), np.zeros(len(c))
+        for number, head, packed in zip(numbers, heads[1:], samples, strict=True):
+            t = np.zeros(len(c), np.int64)
+            t[some] = _unpack(packed)
+            p += head.probability(c, t, customers_of[context], totals(number, CONTEXT, 1)[0][context], head.parent(*totals(number, WORD, 2))[word])
+        score = _units(p / len(samples))
+        n_all, v = heads[0].tokens, heads[0].words
+        base = _units((total + BASE_ADD) / (n_all + BASE_ADD * (v + 1)))
+        known = (total > 0)[word]
+        item = np.repeat(np.arange(len(c)), _unpack(x["counts"]))
         n, doc, chunk = (_unpack(x[k]) for k in ("n", "doc", "chunk"))
-        base, known = np.log10(total + BASE_ADD)[word], (total > 0)[word]
         bits = int(doc.max()).bit_length()
         keys, own = np.unique(chunk << bits | doc, return_inverse=True)
-        sums = [np.bincount(own, n * v[item], len(keys)) for v in (np.ones(len(c)), known, base, score)]
+        sums = [np.bincount(own, n * v, len(keys)).astype(np.int64) for v in (known[item], base[word][item], score[item])]
         owner = keys >> bits
         first = A.runs(owner)
-        rows = []
+        out = []
         for lo, hi in zip(first, np.append(first[1:], len(keys)), strict=True):
-            rows.append({"chunk": int(np.frombuffer(x["chunks"], np.int64)[owner[lo]]), "doc": _pack(keys[lo:hi] & (1 << bits) - 1), "n": _pack(sums[0][lo:hi]), "known": _pack(sums[1][lo:hi]), "base": sums[2][lo:hi].tobytes(), "score": sums[3][lo:hi].tobytes()})
-        made = pa.Table.from_pylist(rows, _PARTS_ARROW)
-        del x, seats, rows, left, right
+            parts = {"chunk": int(np.frombuffer(x["chunks"], np.int64)[owner[lo]]), "doc": _pack(keys[lo:hi] & (1 << bits) - 1), "known": _pack(sums[0][lo:hi])}
+            for name, s in (("base", sums[1]), ("score", sums[2])):
+                parts |= {name: s[lo:hi].astype("<u8").view("<u4")[::2].tobytes(), f"{name}_high": _pack(s[lo:hi] >> 32)}
+            out.append(parts)
+        made = pa.Table.from_pylist(out, _PARTS_ARROW)
+        del x, rows, replies, out, left, right
         A.trim()
         return made
 
@@ -465,58 +556,70 @@ _SCORES_ARROW = pa.schema([("id", pa.int64()), ("train", pa.bool_()), ("n_tokens
 def _summed(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     head = next(x for x in rows if x["ids"] is not None)
-    # sums in one order, whichever order the parts come in
-    rows = sorted((x for x in rows if x["ids"] is None), key=lambda x: (x["doc"], x["score"]))
     size = len(head["ids"]) // 9
     ids, null = np.frombuffer(head["ids"], np.int64, size), np.frombuffer(head["ids"], bool, size, 8 * size)
-    sums = [np.zeros(size) for _ in range(4)]
+    known, base, score = (np.zeros(size, np.int64) for _ in range(3))
     for x in rows:
-        doc = _unpack(x["doc"])
-        for out, v in zip(sums, (_unpack(x["n"]), _unpack(x["known"]), np.frombuffer(x["base"]), np.frombuffer(x["score"])), strict=True):
-            out[doc] += v
+        if x["ids"] is None:
+            doc = _unpack(x["doc"])
+            known[doc] += _unpack(x["known"])
+            for out, name in ((base, "base"), (score, "score")):
+                out[doc] += np.frombuffer(x[name], "<u4").astype(np.int64) + (_unpack(x[f"{name}_high"]) << 32)
     train = np.unpackbits(np.frombuffer(head["train"], np.uint8), count=size).astype(bool)
-    return pa.table([pa.array(ids, mask=null), pa.array(train), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])], schema=_SCORES_ARROW)
-
-
-@contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Remove the shuffle files of each job once it ends: what it made is kept, so nothing reads them again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    of = lambda units: pa.array(0.0 - units / (1 << UNIT))
+    return pa.table([pa.array(ids, mask=null), pa.array(train), pa.array(_unpack(head["n"])), pa.array(known), of(base), of(score)], schema=_SCORES_ARROW)
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base, score) of each row, learning from the rows where train holds.
 
     n_known: tokens that training has; train_tokens: all training tokens; base: log10 probability of the text
-    by additively smoothed training counts; score: by the model.  A null or empty text is one end token.
-    Every row is a document of its own, repeats too; a null id stays null, and a null in train is false.
-    Without training rows every token is unknown, and has probability 1.
+    by additively smoothed training counts; score: by the model.  Logarithms of tokens are rounded to 2 ** -UNIT.  A null
+    or empty text is one end token.  Every row is a document of its own, repeats too; a null id stays null, and a null in
+    train is false.  Without training rows every token is unknown, and has probability 1.  A text of any length is
+    counted whole; its tokens must fit in a task.  After burn_in sweeps, `samples` more are averaged.  Scores don't depend on how the rows are laid out.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-    parts = buckets(rows, 3)
-    shards = -(-parts // BUCKETS_A_SHARD)
-    with _shuffles_removed(spark):
-        grouped = keep(rows.mapInArrow(_sent(parts), _SENT).groupBy("bucket").applyInArrow(_by_bucket, _GROUPED))
-        head = {k: v or 0 for k, v in grouped.agg(*(F.sum(k).alias(k) for k in _HEADS)).first().asDict().items()}
+    side = _grid(buckets(rows, 3))
+    shards = max(1, side**2 // BUCKETS_A_SHARD)
+    pair = ("bucket", "words", "types", "contexts", "context", "c")
+    state_of = ("bucket", "tables", "sizes", "samples")
+    with shuffles_removed(spark):
+        grouped = keep(rows.mapInArrow(_sent(side, CHUNK_BYTES), _SENT).groupBy("bucket").applyInArrow(_by_bucket, _GROUPED))
         words = grouped.filter("ids IS NULL")
-        learnt = words.select("bucket", "types", "contexts", "context", "c")
-        met = _totals(words.select("bucket", "contexts", "context", "c"), shards, _learnt, 2)
-        seated = keep(learnt.groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(_seated(head), _SEATED))
-        every, roots = ([int(v or 0) for v in seated.agg(*(F.sum(F.col(k)[i]) for i in range(SAMPLES))).first()] for k in ("every", "roots"))
-        tables = keep(_totals(seated.select("bucket", "contexts", "sums"), shards, _tables, SAMPLES))
-    both = words.select("bucket", "types", "context", "c", "counts", "chunks", "chunk", "doc", "n").unionByName(seated.select("bucket", "tables", "parents", "root", "customers"), allowMissingColumns=True)
-    first = np.array([*(head[k] for k in _HEADS[:6]), *roots], float)
-    found = both.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_scored(first, every), _PARTS)
-    ids = grouped.filter("ids IS NOT NULL").select(F.col("own").alias("chunk"), "ids", "train")
+        pairs = words.select(*pair)
+        once = [int(v or 0) for v in words.agg(F.sum("one"), F.sum("two")).first()]
+        nothing = spark.createDataFrame([], _TOTAL)
+        last = keep(_totals(pairs.mapInArrow(_counted(shards), _SHARE), nothing, shards, None, 0))
+        sums = lambda df, n: [int(v or 0) for v in df.filter("sums IS NOT NULL").agg(*(F.sum(F.col("sums")[i]) for i in range(n))).first()]
+        n_words, n_tokens, one0, two0, customers, tables = sums(last, 6)
+        head = Head(n_words, n_tokens, (once[0], once[1]), (one0, two0), customers, tables)
+        heads, kept, swept = [head], [last], None
+        for number in range(1, burn_in + samples + 1):
+            left = pairs if swept is None else pairs.unionByName(swept.filter("names IS NULL").select(*state_of), allowMissingColumns=True)
+            left = left if swept is not None else left.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("tables", "binary"), ("sizes", "binary"), ("samples", "array<binary>"))))
+            replies = last.filter("bucket IS NOT NULL").select("shard", "bucket", "v")
+            now = keep(left.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_swept(shards, head, number, number > burn_in), _SHARE))
+            if swept is not None:
+                drop(swept)
+            swept, before = now, last
+            last = keep(_totals(now, before, shards, head, number))
+            head = head.then(*sums(last, 2))
+            if number > burn_in:
+                heads.append(head)
+                kept.append(last)
+            if before not in kept:
+                drop(before)
+        answers = None
+        numbers = list(range(burn_in + 1, burn_in + samples + 1))
+        for number, df in zip((0, *numbers), kept, strict=True):
+            df = df.filter("bucket IS NOT NULL").select("bucket", "shard", "v", F.lit(number).alias("number"))
+            answers = df if answers is None else answers.unionByName(df)
+        both = words.select(*pair, "counts", "chunks", "chunk", "doc", "n").unionByName(swept.filter("names IS NULL").select("bucket", "samples"), allowMissingColumns=True)
+        found = keep(both.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scored(shards, heads, numbers), _PARTS))
+        drop(swept, *kept)
+    ids = grouped.filter("ids IS NOT NULL").select(F.col("own").alias("chunk"), "ids", "train", "n")
     out = found.unionByName(ids, allowMissingColumns=True).groupBy("chunk").applyInArrow(_summed, _SCORES)
-    n, v = head["tokens"], head["words"]
-    less = F.col("n_tokens") * F.lit(float(np.log10(n + BASE_ADD * (v + 1))))
-    return out.select("id", "train", "n_tokens", "n_known", F.lit(int(n)).alias("train_tokens"), (F.col("base") - less).alias("base"), "score")
+    return out.select("id", "train", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base", "score")
