@@ -367,12 +367,13 @@ def pair_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
 # --- totals over buckets -----------------------------------------------------------------------------------------
 
 CONTEXT, WORD = 0, 1
-#: Messages to shards (with names and sums), and beside them the state of a bucket.
+#: Messages to shards (with sums, and names at the start), and beside them the state of a bucket.
 _SHARE = "bucket int, tables binary, sizes binary, samples array<binary>, shard int, names binary, v binary"
 _SHARE_ARROW = pa.schema([("bucket", pa.int32()), ("tables", pa.binary()), ("sizes", pa.binary()), ("samples", pa.list_(pa.binary())), ("shard", pa.int32()), ("names", pa.binary()), ("v", pa.binary())])
-#: Replies to buckets, and beside them the state of a shard and what it adds to the sums over all.
-_TOTAL = "shard int, bucket int, v binary, tables binary, sizes binary, sums array<long>"
-_TOTAL_ARROW = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("v", pa.binary()), ("tables", pa.binary()), ("sizes", pa.binary()), ("sums", pa.list_(pa.int64()))])
+#: Replies to buckets, and beside them the state of a shard and what it adds to the sums over all; at the start also its
+#: index: which name each sum of its messages, in the order of buckets, belongs to, and the words.
+_TOTAL = "shard int, bucket int, v binary, tables binary, sizes binary, sums array<long>, own binary, names binary"
+_TOTAL_ARROW = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("v", pa.binary()), ("tables", pa.binary()), ("sizes", pa.binary()), ("sums", pa.list_(pa.int64())), ("own", pa.binary()), ("names", pa.binary())])
 
 
 def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -382,10 +383,10 @@ def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
         A.trim()
 
 
-def _shares(kind: int, shards: int, bucket: int, names: np.ndarray, v: np.ndarray) -> list[dict]:
+def _shares(kind: int, shards: int, bucket: int, names: np.ndarray, v: np.ndarray, named: bool = False) -> list[dict]:
     """What a bucket has of its words or contexts, by shard.  They are in order of their hashes, and so are shards."""
     bounds = np.searchsorted(A.bucket_of(names, shards), np.arange(shards + 1))
-    return [{"shard": kind * shards + k, "bucket": bucket, "names": names[lo:hi].tobytes(), "v": _pack(v[:, lo:hi].ravel())} for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if lo < hi]
+    return [{"shard": kind * shards + k, "bucket": bucket, "names": names[lo:hi].tobytes() if named else None, "v": _pack(v[:, lo:hi].ravel())} for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if lo < hi]
 
 
 def _read(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -402,7 +403,7 @@ def _counted(shards: int):
             for x in _one_by_one(batch):
                 words, contexts, word, context, c = _read(x)
                 sums = lambda of, n: np.stack([np.bincount(of, c, n), np.bincount(of, c > 0, n)]).astype(np.int64)  # noqa: B023, E731
-                rows = _shares(CONTEXT, shards, x["bucket"], contexts, sums(context, len(contexts))) + _shares(WORD, shards, x["bucket"], words, sums(word, len(words)))
+                rows = _shares(CONTEXT, shards, x["bucket"], contexts, sums(context, len(contexts)), True) + _shares(WORD, shards, x["bucket"], words, sums(word, len(words)), True)
                 yield from pa.Table.from_pylist(rows, _SHARE_ARROW).to_batches(max_chunksize=64)
 
     return run
@@ -450,17 +451,25 @@ def _added(shards: int, head: Head | None, number: int):
             return pa.Table.from_pylist([], _TOTAL_ARROW)
         shard = rows[0]["shard"]
         rows.sort(key=lambda x: x["bucket"])
-        found = [np.frombuffer(x["names"], _U) for x in rows]
-        names, own = np.unique(np.concatenate(found), return_inverse=True)
-        v = [_unpack(x["v"]).reshape(-1, len(at)) for x, at in zip(rows, found, strict=True)]
-        sums = np.stack([np.bincount(own, x, len(names)).astype(np.int64) for x in np.concatenate(v, axis=1)])
-        del v
+        parts, known = [_unpack(x["v"]) for x in rows], right.to_pylist()
+        if head is None:
+            found = [np.frombuffer(x["names"], _U) for x in rows]
+            names, own = np.unique(np.concatenate(found), return_inverse=True)
+            index = {"own": _pack(own), "names": names.tobytes() if shard >= shards else None}
+            parts, size, n = [x.reshape(-1, len(at)) for x, at in zip(parts, found, strict=True)], [len(x) for x in found], len(names)
+            sums = np.stack([np.bincount(own, x, n).astype(np.int64) for x in np.concatenate(parts, axis=1)])
+        else:
+            index = next(x for x in known if x["own"] is not None)
+            names, own = np.frombuffer(index["names"] or b"", _U), _unpack(index["own"])
+            index, size = {}, [len(x) for x in parts]
+            sums = np.bincount(own, np.concatenate(parts)).astype(np.int64)[None]
+        del parts
         beside = {"shard": shard}
         if shard >= shards:
             customers = sums[-1]
             some = np.flatnonzero(customers)
-            before = [(_unpack(x["tables"]), _unpack(x["sizes"])) for x in right.to_pylist()]
-            roots = np.zeros(len(names), np.int64)
+            before = [(_unpack(x["tables"]), _unpack(x["sizes"])) for x in known if x["tables"] is not None]
+            roots = np.zeros(len(customers), np.int64)
             if head is None:
                 tables, sizes = np.ones(len(some), np.int64), customers[some]
                 beside["sums"] = [int((sums[0] > 0).sum()), int(sums[0].sum()), int((customers == 1).sum()), int((customers == 2).sum()), int(customers.sum()), len(some)]
@@ -474,10 +483,10 @@ def _added(shards: int, head: Head | None, number: int):
             beside |= {"tables": _pack(tables), "sizes": _pack(sizes)}
             roots[some] = tables
             sums = np.concatenate([sums, roots[None]])
-        ends = np.cumsum([len(x) for x in found])
-        out = [beside] + [{"shard": shard, "bucket": x["bucket"], "v": _pack(sums[:, own[hi - len(at) : hi]].ravel())} for x, at, hi in zip(rows, found, ends, strict=True)]
+        out = [beside] + ([{"shard": shard, **index}] if index else [])
+        out += [{"shard": shard, "bucket": x["bucket"], "v": _pack(sums[:, own[hi - k : hi]].ravel())} for x, k, hi in zip(rows, size, np.cumsum(size), strict=True)]
         made = pa.Table.from_pylist(out, _TOTAL_ARROW)
-        del rows, found, own, sums, out, left, right
+        del rows, known, own, sums, out, left, right
         A.trim()
         return made
 
@@ -485,8 +494,9 @@ def _added(shards: int, head: Head | None, number: int):
 
 
 def _totals(shares: DataFrame, state: DataFrame, shards: int, head: Head | None, number: int) -> DataFrame:
-    messages = shares.filter("names IS NOT NULL").select("shard", "bucket", "names", "v")
-    return messages.groupBy("shard").cogroup(state.filter("bucket IS NULL").select("shard", "tables", "sizes").groupBy("shard")).applyInArrow(_added(shards, head, number), _TOTAL)
+    """state: rows of shards, (shard, tables, sizes, own, names)."""
+    messages = shares.filter("shard IS NOT NULL").select("shard", "bucket", "names", "v")
+    return messages.groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(_added(shards, head, number), _TOTAL)
 
 
 def _joined(rows: list[dict], shards: int, kind: int, width: int) -> np.ndarray:
@@ -591,21 +601,23 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         words = grouped.filter("ids IS NULL")
         pairs = words.select(*pair)
         once = [int(v or 0) for v in words.agg(F.sum("one"), F.sum("two")).first()]
-        nothing = spark.createDataFrame([], _TOTAL)
+        facts = ("shard", "tables", "sizes", "own", "names")
+        nothing = spark.createDataFrame([], _TOTAL).select(*facts)
         last = keep(_totals(pairs.mapInArrow(_counted(shards), _SHARE), nothing, shards, None, 0))
+        index = last.filter("own IS NOT NULL").select(*facts)
         sums = lambda df, n: [int(v or 0) for v in df.filter("sums IS NOT NULL").agg(*(F.sum(F.col("sums")[i]) for i in range(n))).first()]
         n_words, n_tokens, one0, two0, customers, tables = sums(last, 6)
         head = Head(n_words, n_tokens, (once[0], once[1]), (one0, two0), customers, tables)
         heads, kept, swept = [head], [last], None
         for number in range(1, burn_in + samples + 1):
-            left = pairs if swept is None else pairs.unionByName(swept.filter("names IS NULL").select(*state_of), allowMissingColumns=True)
+            left = pairs if swept is None else pairs.unionByName(swept.filter("shard IS NULL").select(*state_of), allowMissingColumns=True)
             left = left if swept is not None else left.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("tables", "binary"), ("sizes", "binary"), ("samples", "array<binary>"))))
             replies = last.filter("bucket IS NOT NULL").select("shard", "bucket", "v")
             now = keep(left.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_swept(shards, head, number, number > burn_in), _SHARE))
             if swept is not None:
                 drop(swept)
             swept, before = now, last
-            last = keep(_totals(now, before, shards, head, number))
+            last = keep(_totals(now, before.filter("tables IS NOT NULL").select(*facts).unionByName(index), shards, head, number))
             head = head.then(*sums(last, 2))
             if number > burn_in:
                 heads.append(head)
@@ -617,7 +629,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         for number, df in zip((0, *numbers), kept, strict=True):
             df = df.filter("bucket IS NOT NULL").select("bucket", "shard", "v", F.lit(number).alias("number"))
             answers = df if answers is None else answers.unionByName(df)
-        both = words.select(*pair, "counts", "chunks", "chunk", "doc", "n").unionByName(swept.filter("names IS NULL").select("bucket", "samples"), allowMissingColumns=True)
+        both = words.select(*pair, "counts", "chunks", "chunk", "doc", "n").unionByName(swept.filter("shard IS NULL").select("bucket", "samples"), allowMissingColumns=True)
         found = keep(both.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scored(shards, heads, numbers), _PARTS))
         drop(swept, *kept)
     ids = grouped.filter("ids IS NOT NULL").select(F.col("own").alias("chunk"), "ids", "train", "n")
