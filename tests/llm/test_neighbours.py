@@ -89,3 +89,43 @@ def test_query(spark):
     for r in op2_nearest_neighbours(spark, SMALL).collect():
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert recall(found, want) >= 0.9 and all(len(v) == 20 for v in found.values()) and set(found) == set(want)
+
+
+def share_and_recall(x, queries, k=20):
+    """The mean share of rows in the buckets that queries visit, and how many of the true nearest are there."""
+    norm = float(np.linalg.norm(x, axis=1).max())
+    rng = np.random.default_rng(0)
+    nearness, mass = N.calibrate(x[rng.permutation(len(x))[: N.SAMPLE]], norm, 20, k, N.RECALL)
+    axes, shifts, bounds = N._tables(x.shape[1], 20)
+    units, n = N.unit(x, norm), N.CELLS**N.PROJECTIONS
+    own = np.stack([N.buckets_of(units, axes[t], shifts[t], bounds) for t in range(N.TABLES)])
+    sizes = np.stack([np.bincount(o, minlength=n) for o in own])
+    first, split = N.directory(sizes.ravel())
+    index = N.Index(norm, axes, shifts, bounds, split, first, nearness, mass, sizes, np.empty(0))
+    share = hits = 0
+    for q in queries:
+        visits = N.visited(N.unit_query(x[q : q + 1]), index)[:, 0]
+        met = np.logical_or.reduce([visits[t][own[t]] for t in range(N.TABLES)])
+        near = [i for i in np.argsort(-(x @ x[q]), kind="stable")[: k + 1] if i != q][:k]
+        share, hits = share + met.mean(), hits + met[near].mean()
+    return share / len(queries), hits / len(queries)
+
+
+def test_queries_visit_few_rows_of_clustered_vectors():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 32))[rng.integers(0, 200, 20_000)] + 0.35 * rng.normal(size=(20_000, 32))
+    share, found = share_and_recall(x / np.linalg.norm(x, axis=1, keepdims=True), range(0, 20_000, 400))
+    assert found >= 0.9 and share <= 0.2, (found, share)
+
+
+def test_neighbouring_buckets_share_a_part(monkeypatch):
+    monkeypatch.setattr(N, "GROUP_ROWS", 10)
+    size = np.array([3, 4, 0, 9, 25, 2, 10, 0])
+    first, split = N.directory(size)
+    assert split.tolist() == [1, 1, 0, 1, 3, 1, 1, 0]
+    held = {}
+    for b, (f, k) in enumerate(zip(first.tolist(), split.tolist())):
+        for part in range(f, f + k):
+            held.setdefault(part, []).append(b)
+    assert all(sum(-(-size[b] // split[b]) for b in bs) <= 19 for bs in held.values())
+    assert all(len(bs) == 1 for bs in held.values() if 4 in bs)

@@ -10,9 +10,10 @@ into a bucket's cells, given the query's own (normal, about `nearness` times the
 chance to hold any vector.  It stops at the chance `mass`, which is calibrated on a bounded sample of rows
 (`SAMPLE`, by hash of the id) so that the sample's recall reaches `recall`.
 
-Equal vectors are one class with its least ids, as many as any result can need.  A large bucket is split by
-hash of the class.  A bucket group scores the queries that visit it in blocks, exactly; the candidates of
-all tables are merged and reranked in double precision.
+Equal vectors are one class with its least ids, as many as any result can need.  A task gets a large bucket's part, or
+small buckets that are neighbours, and the queries that visit any of them; each query is multiplied with the
+rows of the buckets that it visits, and no others.  Where very many queries visit, they are split too.  The
+candidates of all tables are merged and reranked in double precision.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import arrays as A
 from tidemark.llm.store import keep
 
 TABLES, PROJECTIONS, CELLS = 2, 6, 4
@@ -32,6 +34,7 @@ NEIGHBOURS = 20
 RECALL = 0.95
 LEAST = 256
 SAMPLE, SAMPLE_QUERIES = 8192, 256
+#: Rows of a part, queries that meet it together, and queries that are multiplied or probed for at a time.
 GROUP_ROWS = 8192
 QUERY_ROWS = 16384
 BLOCK = 256
@@ -44,13 +47,12 @@ class Index(NamedTuple):
     axes: np.ndarray  # TABLES x (dimensions + 1) x PROJECTIONS
     shifts: np.ndarray  # TABLES x PROJECTIONS
     bounds: np.ndarray  # CELLS - 1 inner bounds
-    parts: np.ndarray  # of each table's bucket: groups it is split into, or 0 if it shares one
-    shared: int  # groups that small buckets share
-    first: np.ndarray  # of each bucket: its first group
+    parts: np.ndarray  # of each table's bucket: parts it is split into; 0 if it is empty
+    first: np.ndarray  # of each bucket: its first part
     nearness: float
     mass: float
-    blocks: int  # of queries, which meet a group one after another
     sizes: np.ndarray  # TABLES x buckets: classes held
+    blocks: np.ndarray  # of each part: blocks of the queries that visit it
 
 
 def unit(x: np.ndarray, norm: float) -> np.ndarray:
@@ -131,7 +133,7 @@ def calibrate(sample: np.ndarray, norm: float, seed: int, neighbours: int, recal
     cosines = (asked[:, None, :] * units[nearest]).sum(axis=2)
     axes, shifts, bounds = _tables(sample.shape[1], seed)
     nearness = float(np.clip(np.median(cosines), 0.05, 0.98))
-    index = Index(norm, axes, shifts, bounds, np.empty(0), 0, np.empty(0), nearness, 1.0, 1, np.empty(0))
+    index = Index(norm, axes, shifts, bounds, np.empty(0), np.empty(0), nearness, 1.0, np.empty(0), np.empty(0))
     order, covered = probes(asked, index)
     needed = np.full(nearest.shape, np.inf)
     for t in range(TABLES):
@@ -179,9 +181,21 @@ _POSTED = "part long, bucket int, ids array<long>, v array<double>"
 _ASKED = "part long, query long, v array<double>, visits array<int>"
 
 
+def directory(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket, its first part and how many it has.  Buckets in a row share a part while they fit."""
+    split = np.where(size > GROUP_ROWS, -(-size // GROUP_ROWS), np.minimum(size, 1))
+    small = np.where(size <= GROUP_ROWS, size, 0)
+    shared = (small.cumsum() - small) // GROUP_ROWS
+    own = np.where(split > 1, split, 0)
+    return np.where(split > 1, int(shared.max(initial=0)) + 1 + own.cumsum() - own, shared), split
+
+
 def _parts(index: Index, bucket: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    split = index.parts[bucket]
-    return np.where(split > 0, index.first[bucket] + salt % np.maximum(split, 1), bucket * 2654435761 % max(1, index.shared))
+    return index.first[bucket] + salt % np.maximum(index.parts[bucket], 1)
+
+
+#: A part's number stands above that of a block of queries.
+_BLOCKS = 24
 
 
 def _posted(shared):
@@ -194,39 +208,63 @@ def _posted(shared):
             salt = batch.column(2).to_numpy()
             for t in range(TABLES):
                 bucket = t * n + buckets_of(units, index.axes[t], index.shifts[t], index.bounds)
-                for block in range(index.blocks):
-                    yield pa.record_batch([pa.array(_parts(index, bucket, salt) * index.blocks + block, pa.int64()), pa.array(bucket, pa.int32()), batch.column(0), batch.column(1)], names=["part", "bucket", "ids", "v"])
+                part = _parts(index, bucket, salt)
+                times = index.blocks[part]
+                row = np.repeat(np.arange(len(part)), times)
+                block = np.arange(len(row)) - np.repeat(times.cumsum() - times, times)
+                for lo in range(0, len(row), 1000):
+                    i = row[lo : lo + 1000]
+                    yield pa.record_batch([pa.array(part[i] << _BLOCKS | block[lo : lo + 1000], pa.int64()), pa.array(bucket[i], pa.int32()), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], names=["part", "bucket", "ids", "v"])
+
+    return run
+
+
+def _visits(index: Index, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, part, bucket) of all that the queries visit, by query and part."""
+    n = CELLS**PROJECTIONS
+    query, bucket = np.nonzero(visited(unit_query(vectors), index).transpose(1, 0, 2).reshape(len(vectors), TABLES * n) & (index.parts > 0))
+    times = index.parts[bucket]
+    query, bucket = np.repeat(query, times), np.repeat(bucket, times)
+    part = _parts(index, bucket, np.arange(len(bucket)) - np.repeat(times.cumsum() - times, times))
+    order = np.lexsort((bucket, part, query))
+    return query[order], part[order], bucket[order]
+
+
+def _heads(query: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Where a query's visits to another part begin."""
+    return np.flatnonzero(np.concatenate([[True], (query[1:] != query[:-1]) | (part[1:] != part[:-1])])) if len(query) else np.empty(0, np.int64)
+
+
+def _visitors(shared):
+    """How many queries visit each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        sums = np.zeros(len(index.blocks), np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                query, part, _ = _visits(index, _matrix(batch.column(1)[lo : lo + BLOCK]))
+                sums += np.bincount(part[_heads(query, part)], minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(sums[at])], names=["at", "n"])
 
     return run
 
 
 def _asked(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, n = shared.value, CELLS**PROJECTIONS
-        there = index.parts >= 0  # buckets with any row
+        index = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
                 ids, vectors = batch.column(0)[lo : lo + BLOCK], batch.column(1)[lo : lo + BLOCK]
-                visits = visited(unit_query(_matrix(vectors)), index).transpose(1, 0, 2).reshape(len(ids), TABLES * n) & there
-                part, at, query = [], [], []
-                for i in range(len(ids)):
-                    bucket = np.flatnonzero(visits[i])
-                    times = np.maximum(index.parts[bucket], 1)
-                    bucket = np.repeat(bucket, times)
-                    salt = np.arange(len(bucket)) - np.repeat(times.cumsum() - times, times)
-                    own = _parts(index, bucket, salt)
-                    order = np.argsort(own, kind="stable")
-                    own, bucket = own[order], bucket[order]
-                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
-                    part.append(own[first] * index.blocks + hash(ids[i].as_py() * 0x9E3779B1 >> 7) % index.blocks)
-                    at.append((bucket, np.diff(np.append(first, len(own)))))
-                    query.append(np.full(len(first), i))
-                if not part:
-                    continue
-                query = pa.array(np.concatenate(query))
-                counts = np.concatenate([c for _, c in at])
-                visits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], counts.cumsum()]), pa.int32()), pa.array(np.concatenate([b for b, _ in at]), pa.int32()))
-                yield pa.record_batch([pa.array(np.concatenate(part), pa.int64()), ids.take(query), vectors.take(query), visits], names=["part", "query", "v", "visits"])
+                query, part, bucket = _visits(index, _matrix(vectors))
+                first = _heads(query, part)
+                visits = pa.ListArray.from_arrays(pa.array(np.append(first, len(query)), pa.int32()), pa.array(bucket, pa.int32()))
+                query, part = query[first], part[first]
+                block = A.bucket_of(A.mix(ids.to_numpy().astype(np.int64).view(np.uint64)), 1 << _BLOCKS)[query] % index.blocks[part]
+                for at in range(0, len(query), 1000):
+                    i = pa.array(query[at : at + 1000])
+                    yield pa.record_batch([pa.array(part[at : at + 1000] << _BLOCKS | block[at : at + 1000], pa.int64()), ids.take(i), vectors.take(i), visits[at : at + 1000]], names=["part", "query", "v", "visits"])
 
     return run
 
@@ -235,8 +273,8 @@ _FOUND = "query long, ids array<long>, scores array<double>"
 _FOUND_ARROW = pa.schema([("query", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
 
-def _best(key: tuple, queries: pa.Table, rows: pa.Table, neighbours: int) -> pa.Table:
-    """For each query of a group, its nearest among the classes in the buckets that it visits there."""
+def _best(queries: pa.Table, rows: pa.Table, neighbours: int) -> pa.Table:
+    """For each query of a part, its nearest among the classes in the buckets that it visits there."""
     if not queries.num_rows or not rows.num_rows:
         return pa.Table.from_pylist([], _FOUND_ARROW)
     bucket = rows["bucket"].to_numpy()
@@ -244,34 +282,41 @@ def _best(key: tuple, queries: pa.Table, rows: pa.Table, neighbours: int) -> pa.
     rows, bucket = rows.take(pa.array(order)), bucket[order]
     base, ids = _matrix(rows["v"]), rows["ids"].combine_chunks()
     asked, visits, names = _matrix(queries["v"]), queries["visits"].combine_chunks(), queries["query"].to_numpy()
+    met, owner = visits.flatten().to_numpy(), np.repeat(np.arange(len(asked)), visits.value_lengths().to_numpy())
+    by = np.argsort(met, kind="stable")
+    met, owner = met[by], owner[by]
+    # beyond what rounding can do to either way of adding up
+    slack = 1e-12 * np.linalg.norm(asked, axis=1) * np.sqrt((base**2).sum(axis=1).max())
+    # each class but the query's own has an id to offer
+    most = neighbours + 1
+    found = []
+    for here in np.unique(bucket):
+        lo, hi = np.searchsorted(bucket, here), np.searchsorted(bucket, here, side="right")
+        who = owner[np.searchsorted(met, here) : np.searchsorted(met, here, side="right")]
+        for at in range(0, len(who), BLOCK):
+            q = who[at : at + BLOCK]
+            scores = asked[q] @ base[lo:hi].T
+            least = np.partition(scores, hi - lo - most, axis=1)[:, hi - lo - most] if hi - lo > most else np.full(len(q), -np.inf)
+            i, c = np.nonzero(scores >= (least - slack[q])[:, None])
+            found.append((q[i], lo + c))
+    if not found:
+        return pa.Table.from_pylist([], _FOUND_ARROW)
+    query, row = (np.concatenate([f[i] for f in found]) for i in range(2))
+    exact = np.concatenate([(asked[query[k : k + 65536]] * base[row[k : k + 65536]]).sum(axis=1) for k in range(0, len(query), 65536)]) if len(query) else np.empty(0)
+    least_id = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+    order = np.lexsort((least_id[row], -exact, query))
+    query, row, exact = query[order], row[order], exact[order]
+    first = np.searchsorted(query, np.arange(len(asked) + 1))
     out = []
-    for lo in range(0, len(asked), BLOCK):
-        scores = asked[lo : lo + BLOCK] @ base.T
-        for i in range(len(scores)):
-            wanted = visits[lo + i].values.to_numpy()
-            begin, end = np.searchsorted(bucket, wanted), np.searchsorted(bucket, wanted, side="right")
-            mine = np.flatnonzero(_steps(begin, end, len(bucket)).cumsum()[:-1] > 0)
-            if not len(mine):
-                continue
-            s = scores[i, mine]
-            # a class stands here once for each table, and each but the query's own has an id to offer
-            most = TABLES * (neighbours + 1)
-            if len(mine) > most:
-                least = np.partition(s, len(s) - most)[len(s) - most]
-                mine = mine[s >= least - 1e-9]
-            exact = (asked[lo + i] * base[mine]).sum(axis=1)
-            pairs = sorted({(-v, x) for v, c in zip(exact.tolist(), mine.tolist(), strict=True) for x in ids[c].as_py() if x != names[lo + i]})[:neighbours]
-            out.append((int(names[lo + i]), [x for _, x in pairs], [-v for v, _ in pairs]))
+    for i in np.flatnonzero(np.diff(first)):
+        lo, hi = first[i], first[i + 1]
+        # a class stands here once for each table
+        some = range(lo, min(hi, lo + TABLES * most))
+        pairs = sorted({(-exact[k], x) for k in some for x in ids[int(row[k])].as_py() if x != names[i]})[:neighbours]
+        out.append((int(names[i]), [x for _, x in pairs], [float(-v) for v, _ in pairs]))
     return pa.table([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
 
 
-def _steps(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, begin, 1)
-    np.add.at(step, end, -1)
-    return step
-
-
 def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = NEIGHBOURS, recall: float = RECALL, seed: int = 20) -> DataFrame:
     """(query, rank, id, score): the nearest rows found for each query, by inner product, ties by smaller id.
 
@@ -298,18 +343,20 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
     counts = classes.select("v").mapInArrow(_bucket_counts(facts.norm, axes, shifts, bounds), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     size = np.zeros(TABLES * CELLS**PROJECTIONS, np.int64)
     size[counts["at"].to_numpy()] = counts["n"].to_numpy()
-    split = np.where(size == 0, -1, np.where(size > GROUP_ROWS, -(-size // GROUP_ROWS), 0))
-    small = max(1, int(size[split == 0].sum()) // GROUP_ROWS + 1)
-    own = np.maximum(split, 0)
+    first, split = directory(size)
+    index = Index(facts.norm, axes, shifts, bounds, split, first, nearness, mass, size.reshape(TABLES, -1), np.ones(int((first + split).max()) + 1, np.int64))
     asking = _valid(queries, id_col, vector_col).distinct()
-    blocks = -(-max(1, asking.count()) // QUERY_ROWS)
-    index = Index(facts.norm, axes, shifts, bounds, split, small, small + own.cumsum() - own, nearness, mass, blocks, size.reshape(TABLES, -1))
+    asking = keep(asking)
+    # queries are few and each is probed for with thousands of buckets: spread them
+    asking = asking.repartition(max(1, min(asking.count() // BLOCK, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "id")
+    visitors = asking.mapInArrow(_visitors(spark.sparkContext.broadcast(index)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    index.blocks[visitors["at"].to_numpy()] = -(-visitors["n"].to_numpy() // QUERY_ROWS)
     shared = spark.sparkContext.broadcast(index)
     posted = classes.select("ids", "v", "salt").mapInArrow(_posted(shared), _POSTED)
     asked = asking.mapInArrow(_asked(shared), _ASKED)
 
     def best(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        return _best(key, queries, rows, neighbours)
+        return _best(queries, rows, neighbours)
 
     found = asked.groupBy("part").cogroup(posted.groupBy("part")).applyInArrow(best, _FOUND)
     # a query meets a candidate once in each table: keep one, then the nearest
