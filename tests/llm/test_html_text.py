@@ -104,3 +104,31 @@ def test_odd_tables(spark):
     rows = [(None, None, None, "x"), (1, "u", "", None), (1, "u", "", None), (2, "u", "<article><p>Long " + "words " * 60_000 + "end.</p></article>", None)]
     got = sorted(((str(r.page_id), r.url, len(r.text)) for r in H.extract(spark.createDataFrame(rows, schema)).collect()))
     assert got == [("1", "u", 0), ("1", "u", 0), ("2", "u", 360_009), ("None", None, 0)]
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    def took(make):
+        times = []
+        for n in (4000, 32_000):
+            page = make(n)
+            start = time.process_time()
+            H.blocks(page)
+            times.append(time.process_time() - start)
+        return times
+
+    for make in (lambda n: "<a " * n, lambda n: "<b>" * n + "</i>" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<b>" * n + "<p>x</p>" * n, lambda n: "<svg>" * n, lambda n: "<a '" * n + ">", lambda n: "<!--" * n):
+        small, large = took(make)
+        assert large < 30 * small + 0.3, (make(3), small, large)
+
+
+def test_what_is_not_seen():
+    said = lambda page: [b.text for b in H.blocks(page)]
+    assert said("<p>a</p><noscript>enable js</noscript><svg><text>x</text></svg><p>b <math>c</math></p><template><p>t</p></template>") == ["a", "b c"]
+    assert said("<p>a<svg><p>b") == ["a", "b"]
+
+
+def test_a_mark_counts_wherever_it_stands():
+    block = lambda text: H.Block(text, frozenset(), 0)
+    assert "marks=True" in H.text_features(block("x" * 200 + " ©"), 0, 1) and "marks=False" in H.text_features(block("x" * 200), 0, 1)

@@ -50,7 +50,7 @@ def test_words_go_first_and_n_grams_step_in():
 
 def test_texts_without_evidence():
     scorer = L.Scorer(small_model())
-    assert [scorer.predict(t)[:2] for t in (None, "", "123 !! _", " \n")] == [("und", 0.0)] * 4
+    assert [scorer.predict(t)[:2] for t in (None, "", "123 !! _", " \n", "²½ ①", "Ⅷ ٣")] == [("und", 0.0)] * 6
     lang, score, n, known = scorer.predict("жж")
     assert lang == "de" and abs(score - 1 / 3) < 1e-12 and (n, known) == (1, 0.0)
     assert L.Scorer(L.model([], {})).predict("the")[0] == "und"

@@ -87,3 +87,38 @@ def test_query(spark):
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     assert {r.doc_id: (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in op7_tiff_media(spark, SMALL).collect()} == {i: want(t) for i, t in docs.items()}
+
+
+def test_a_faulty_file_is_a_row_with_its_fault(spark):
+    good = T.write([np.full((3, 64), i, np.uint8) for i in range(2)], T.DEFLATE)
+    rng = np.random.default_rng(2)
+    files = [good, b"", b"GIF89a..", None, *(good[:k] for k in range(4, len(good), 7))]
+    for _ in range(60):
+        broken = bytearray(good)
+        for _ in range(3):
+            broken[int(rng.integers(4, len(good)))] = int(rng.integers(256))
+        files.append(bytes(broken))
+    for raw in files:
+        try:
+            list(T.read(raw or b""))
+        except ValueError:
+            pass
+    rows = T.pages(spark.createDataFrame([(i, None if f is None else bytearray(f)) for i, f in enumerate(files[:20])], "id long, media binary"), "id", "media").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.id, []).append(r)
+    assert [r.error for r in by[0]] == [None, None] and 3 not in by
+    for i in (1, 2):
+        assert [(r.page, r.samples, bool(r.error)) for r in by[i]] == [(0, None, True)]
+
+
+@pytest.mark.parametrize("size", [0, 1, 64, 5000])
+def test_the_feature_by_plain_counting(size):
+    text = "".join(chr(32 + i * 7 % 90) for i in range(size))
+    _, raw = T.text_file(text)
+    found = list(T.read(raw))
+    values = list(text.encode().ljust(max(1, -(-size // 64)) * 64, b"\0"))
+    mean = sum(values) / len(values)
+    spread = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
+    shares = ",".join(f"{sum(v // 32 == k for v in values) / len(values):.4f}" for k in range(8))
+    assert T.feature(found) == f"pages={len(found)};rows={len(values) // 64};mean={mean:.4f};sd={spread:.4f};shares={shares}"

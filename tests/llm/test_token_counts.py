@@ -38,6 +38,17 @@ def test_shared_prefixes_give_the_counts_of_single_ones(texts):
     assert len(trie.best) == len(prefixes)
 
 
+def test_one_trie_serves_many_batches(monkeypatch):
+    counts = C.Counts(*TINY)
+    for some in ({"aba", "ab"}, {"abab", "abaa"}, {"aba", "b"}):
+        counts.add(some)
+    assert len(counts.trie.best) == len({("▁" + w)[:i] for w in counts for i in range(len(w) + 2)})
+    monkeypatch.setattr(C, "NODES", 6)
+    for some in ({"baba", "bb"}, {"abbbbbbbbb", "aé"}):
+        counts.add(some)
+        assert all(counts[w] == brute("▁" + w, TINY) for w in some) and len(counts.trie.best) <= 32
+
+
 def test_the_store_is_bounded(monkeypatch):
     monkeypatch.setattr(C, "STORED", 4)
     counts = C.Counts(*TINY)

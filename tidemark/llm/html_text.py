@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -31,6 +32,8 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+#: Elements that are left out with all they hold, if they end.
+UNSEEN = frozenset("noscript template svg".split())
 #: What an opening element ends, unless one of the second stands in between.
 ENDS = {
     "p": ({"p"}, set()), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}),
@@ -51,9 +54,10 @@ HINTS = {
 _HINT = {word: kind for kind, words in HINTS.items() for word in words.split()}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
-_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW | UNSEEN}
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -62,6 +66,12 @@ class Element(NamedTuple):
     parent: Element | None
     path: frozenset[str]
     link: bool
+    above: Element | None  # the nearest block element around it
+
+    @property
+    def block(self) -> Element | None:
+        """The nearest block element, this one included; none at the top."""
+        return self if self.tag in BLOCK else self.above
 
 
 class Block(NamedTuple):
@@ -90,11 +100,16 @@ def _joined(outer: frozenset[str], own: frozenset[str], tag: str) -> frozenset[s
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page that hold text, in page order; white space in a block is one space."""
+    """The leaf blocks of a page that hold text, in page order; white space in a block is one space.
+
+    Time is in proportion to the page, however broken it is: counts of open elements tell whether an end has a beginning.
+    """
     out: list[Block] = []
-    top = Element("", None, frozenset(), False)
-    now, text, linked = top, [], 0
-    at, n = 0, len(page)
+    now, text, linked = Element("", None, frozenset(), False, None), [], 0
+    # open block elements by name, and for each (and the top) the open others by name inside it
+    opened, inside = Counter(), [Counter()]
+    at, n, last = 0, len(page), page.rfind(">")
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -113,17 +128,41 @@ def blocks(page: str) -> list[Block]:
             if now.link:
                 linked += len(raw.strip())
 
+    def close(element: Element) -> None:
+        """Go up to the parent of an open element."""
+        nonlocal now
+        while True:
+            if now.tag in BLOCK:
+                opened[now.tag] -= 1
+                inside.pop()
+            else:
+                inside[-1][now.tag] -= 1
+            ended, now = now, now.parent
+            if ended is element:
+                break
+
     while at < n:
-        found = _TOKEN.search(page, at)
+        # without a > nothing more begins but a comment
+        found = _TOKEN.search(page, at) if at <= last else _COMMENT.search(page, at)
         if not found:
             say(page[at:])
             break
         say(page[at : found.start()])
         at = found.end()
+        if found.re is _COMMENT:
+            continue
         closing, tag, attributes = found.group(1, 2, 3) if found.group(2) else found.group(4, 5, 6)
         if not tag:
             continue
         tag = tag.lower()
+        if tag in UNSEEN and tag not in endless:
+            if not closing and not attributes.endswith("/"):
+                end = _RAW_END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+            continue
         if tag in RAW and not closing:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else n
@@ -136,22 +175,28 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
         if closing:
-            here = now
-            while here.parent and here.tag != tag and not (tag not in BLOCK and here.tag in BLOCK):
-                here = here.parent
-            if here.parent and here.tag == tag:
-                now = here.parent
+            if opened[tag] if tag in BLOCK else inside[-1][tag]:
+                here = now
+                while here.tag != tag:
+                    here = here.parent
+                close(here)
             continue
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in ENDS or tag in BLOCK:
             ends, walls = ENDS.get(tag, ({"p"}, set()))
-            here = now
-            while here.parent and here.tag not in ends and here.tag not in walls and (here.tag not in BLOCK or tag in ("tr",) and here.tag in ("td", "th")):
-                here = here.parent
-            if here.parent and here.tag in ends:
-                now = here.parent
-        now = Element(tag, now, _joined(now.path, _own(tag, attributes), tag), now.link or tag == "a")
+            here = now.block
+            while here and here.tag not in ends and here.tag not in walls and tag == "tr" and here.tag in ("td", "th"):
+                here = here.parent.block
+            if here and here.tag in ends:
+                close(here)
+        own = Element(tag, now, _joined(now.path, _own(tag, attributes), tag), now.link or tag == "a", now.block)
+        if tag in BLOCK:
+            opened[tag] += 1
+            inside.append(Counter())
+        else:
+            inside[-1][tag] += 1
+        now = own
     flush()
     return out
 
@@ -164,7 +209,7 @@ def text_features(block: Block, i: int, n: int) -> list[str]:
     share = block.linked / chars
     return [
         f"chars={min(8, chars.bit_length())}", f"words={min(6, words.bit_length())}", f"links={0 if share == 0 else 1 if share < 0.5 else 2}", f"stop={block.text[-1] in '.!?…:;'}",
-        f"marks={any(c in '©®|»' for c in block.text[:80])}", f"first={i == 0}", f"last={i == n - 1}",
+        f"marks={any(c in block.text for c in '©®|»')}", f"first={i == 0}", f"last={i == n - 1}",
     ]
 
 
@@ -266,7 +311,9 @@ def training_pages(n: int = 500, seed: int = 9) -> list[tuple[str, str]]:
         return said.capitalize() + pick(".", ".", ".", "", "!", "?", ":")
 
     def named(kind: str) -> str:
-        return f' {pick("class", "class", "id")}="{pick("", "site-", "page_", "my-")}{pick(*HINTS[kind].split())}"'
+        # some names hint at nothing
+        name = pick(*HINTS[kind].split()) if maybe(0.8) else "".join(rng.choice(letters[:26], int(rng.integers(3, 9))))
+        return f' {pick("class", "class", "id")}="{pick("", "site-", "page_", "my-")}{name}"'
 
     def links() -> str:
         inner = "".join(f'<li><a href="#">{words(3)}</a></li>' for _ in range(int(rng.integers(1, 8))))

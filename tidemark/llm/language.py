@@ -21,16 +21,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.arrays import trim
 from tidemark.llm.store import small_batches
 
-TRAIN_DOCUMENTS = 12_000
-WORDS = 20_000
-GRAMS = 20_000
+#: Documents of a language that a model learns from, about, and how often a word or n-gram must be met there to be known.
+TRAIN_DOCUMENTS = 3_000
+WORD_LEAST, GRAM_LEAST = 3, 6
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 #: The confidence counts at most so many words' evidence, at the mean of all.
@@ -38,7 +38,8 @@ EVIDENCE = 12
 UNKNOWN = "und"
 CACHED_WORDS = 100_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: \w without digits, the underscore, and numbers of other kinds, such as ² or Ⅷ.
+_WORD = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
 _SCORED = "id long, lang_pred string, score double, n_words long, known_share double"
 _SCORED_ARROW = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("known_share", pa.float64())])
 
@@ -76,23 +77,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = TRAIN_DOCUMENTS) -> Model:
-    """A model of the rows with a text and a language; of more than about `most` rows a sample by a hash of the id.
+    """A model of the rows with a text and a language; of more than about `most` rows of a language a sample by a hash of the id.
 
-    The languages are the labels met; of a table without labelled rows, the model knows none.
+    It knows the sample's words and n-grams that are met often enough (WORD_LEAST, GRAM_LEAST).  The languages are the labels met; of a table without labelled rows, the model knows none.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     small_batches(rows.sparkSession)
-    n = rows.select("lang").count()
-    share = min(1.0, most / max(1, n))
-    sample = rows if share == 1 else rows.filter(F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(20)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    share = {r.lang: most / r["count"] for r in rows.groupBy("lang").count().collect() if r["count"] > most}
+    bound = F.create_map(*(F.lit(x) for lang, part in share.items() for x in (lang, int(part * (1 << 20))))) if share else None
+    drawn = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(20)), F.lit(1 << 20))
+    sample = rows if bound is None else rows.filter(drawn < F.coalesce(bound[F.col("lang")], F.lit(1 << 20)))
     counts = sample.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= WORDS)
-    return model([(r.lang, r.word, r.n) for r in top.select("lang", "word", "n").collect()], totals)
+    known = counts.filter(F.col("n") >= WORD_LEAST)
+    return model([(r.lang, r.word, r.n) for r in known.select("lang", "word", "n").collect()], totals, GRAM_LEAST)
 
 
-def model(counts: list[tuple[str, str, int]], totals: dict[str, int]) -> Model:
-    """From (language, word, count) of the commonest words, and the number of all words of each language."""
+def model(counts: list[tuple[str, str, int]], totals: dict[str, int], least: int = 1) -> Model:
+    """From (language, word, count) of known words, and the number of all words of each language; n-grams met less often than `least` go."""
     languages = sorted(totals)
     at = {lang: i for i, lang in enumerate(languages)}
     words: dict[str, list[float]] = {}
@@ -104,8 +106,7 @@ def model(counts: list[tuple[str, str, int]], totals: dict[str, int]) -> Model:
                 grams[order].setdefault(gram, [0.0] * len(languages))[at[lang]] += n
     out = {}
     for order, table in grams.items():
-        best = sorted(table, key=lambda g: (-sum(table[g]), g))[:GRAMS]  # noqa: B023
-        out[order] = _logs({g: table[g] for g in best}, [sum(c[i] for c in table.values()) for i in range(len(languages))])
+        out[order] = _logs({g: c for g, c in table.items() if sum(c) >= least}, [sum(c[i] for c in table.values()) for i in range(len(languages))])
     return Model(languages, _logs(words, [totals[lang] for lang in languages]), out)
 
 

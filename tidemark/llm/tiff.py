@@ -189,6 +189,10 @@ def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int =
     return bytes(out)
 
 
+#: Samples of a page at most: what a task can hold.  A larger one is a fault of the file.
+MOST_SAMPLES = 1 << 30
+
+
 def _directory(raw: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int]:
     (count,) = struct.unpack_from(f"{order}H", raw, at)
     fields = {}
@@ -204,7 +208,14 @@ def _directory(raw: bytes, at: int, order: str) -> tuple[dict[int, list[int]], i
 
 
 def read(raw: bytes) -> Iterator[Page]:
-    """The pages of a file, in the order of its directories.  ValueError if it is no such file."""
+    """The pages of a file, in the order of its directories.  ValueError at what is faulty, or if it is no such file."""
+    try:
+        yield from _read(raw)
+    except (struct.error, zlib.error, IndexError, TypeError, KeyError, OverflowError, MemoryError) as e:
+        raise ValueError(f"a faulty file: {e}") from e
+
+
+def _read(raw: bytes) -> Iterator[Page]:
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if order is None or len(raw) < 8 or struct.unpack_from(f"{order}H", raw, 2)[0] != 42:
         raise ValueError("not a TIFF file")
@@ -227,6 +238,8 @@ def _page(raw: bytes, fields: dict[int, list[int]]) -> Page:
     wide = one(TILE_WIDTH) if tiled else width
     high = one(TILE_LENGTH) if tiled else min(one(ROWS_PER_STRIP, height), height) or 1
     across = -(-width // wide) if wide else 0
+    if width * height * samples > MOST_SAMPLES or width < 0 or height < 0:
+        raise ValueError("a page is too large")
     image = np.zeros((height, width * samples), np.uint8)
     for i, (offset, size) in enumerate(zip(fields.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, []), fields.get(TILE_BYTES if tiled else STRIP_BYTES, []), strict=True)):
         y, x = i // across * high, i % across * wide
@@ -241,8 +254,8 @@ def _page(raw: bytes, fields: dict[int, list[int]]) -> Page:
 
 # --- columns -----------------------------------------------------------------------------------------------------
 
-_PAGES = "id long, page int, width int, height int, compression int, predictor int, samples binary"
-_PAGES_ARROW = pa.schema([("id", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("samples", pa.binary())])
+_PAGES = "id long, page int, width int, height int, compression int, predictor int, samples binary, error string"
+_PAGES_ARROW = pa.schema([("id", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("samples", pa.binary()), ("error", pa.string())])
 _STORED = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _STORED_ARROW = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
@@ -269,7 +282,12 @@ def _read_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if not raw.is_valid:
                 continue
-            rows = [[key, i, p.width, p.height, p.compression, p.predictor, p.samples.tobytes()] for i, p in enumerate(read(raw.as_py()))]
+            rows = []
+            try:
+                for p in read(raw.as_py()):
+                    rows.append([key, len(rows), p.width, p.height, p.compression, p.predictor, p.samples.tobytes(), None])
+            except ValueError as e:
+                rows.append([key, len(rows), None, None, None, None, None, str(e)])
             if rows:
                 yield pa.record_batch([pa.array(list(x), t.type) for x, t in zip(zip(*rows, strict=True), _PAGES_ARROW, strict=True)], schema=_PAGES_ARROW)
 
@@ -277,7 +295,8 @@ def _read_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row for each page of the files in a binary column: its place, size, and 8-bit samples, row by row.
 
-    A null file has no pages.  Bytes that are no such file raise ValueError.
+    A null file has no pages.  Where a file is faulty, or none at all, there is a row with the fault in `error`
+    and nulls in place of the page; pages before it stand, and pages after it aren't reached.
     """
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(_read_column, _PAGES)
 

@@ -1,6 +1,6 @@
 """Token counts under a unigram model, computed once for each shared prefix.
 
-The distinct pre-tokens of a batch (a word with the space mark before it) are inserted in a trie.  A node
+The distinct pre-tokens that a worker meets (a word with the space mark before it) are inserted in one trie.  A node
 stands for a prefix; its forward score is the largest sum of piece scores over the segmentations of that
 prefix, and its count the pieces of that segmentation.  Both follow from the nodes above it, so a prefix
 that many pre-tokens share is worked out once.  The counts of nodes where pre-tokens end are stored, and
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.store import small_batches
 
 MARK = "▁"
-STORED = 200_000
+#: Counts that a worker stores, and nodes of its trie; beyond, it begins anew.
+STORED, NODES = 200_000, 250_000
 DOCUMENTS_AT_A_TIME = 500
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,16 +64,20 @@ class Trie:
 
 
 class Counts(dict):
-    """The count of each pre-token stored lately."""
+    """The count of each pre-token stored lately, and the trie that holds the prefixes of all of them."""
 
     def __init__(self, scores: dict[str, float], longest: int, byte: float):
         self.model = scores, longest, byte
+        self.trie = Trie(*self.model)
 
     def add(self, words: set[str]) -> None:
         if len(self) + len(words) > STORED:
             self.clear()
-        trie = Trie(*self.model)
         for word in sorted(words.difference(self)):
+            if len(self.trie.best) + len(word) > NODES:
+                self.trie = Trie(*self.model)
+            # a pre-token longer than the bound has a trie of its own, which isn't kept
+            trie = self.trie if len(word) <= NODES else Trie(*self.model)
             self[word] = trie.insert(MARK + word)
 
 
