@@ -30,7 +30,7 @@ from tidemark.llm.store import small_batches
 
 #: Documents of a language that a model learns from, about, and how often a word or n-gram must be met there to be known.
 TRAIN_DOCUMENTS = 3_000
-WORD_LEAST, GRAM_LEAST = 3, 6
+WORD_LEAST, GRAM_LEAST = 4, 8
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 #: The confidence counts at most so many words' evidence, at the mean of all.
