@@ -283,22 +283,30 @@ def _best(queries: pa.Table, rows: pa.Table, neighbours: int) -> pa.Table:
     base, ids = _matrix(rows["v"]), rows["ids"].combine_chunks()
     asked, visits, names = _matrix(queries["v"]), queries["visits"].combine_chunks(), queries["query"].to_numpy()
     met, owner = visits.flatten().to_numpy(), np.repeat(np.arange(len(asked)), visits.value_lengths().to_numpy())
-    by = np.argsort(met, kind="stable")
-    met, owner = met[by], owner[by]
+    begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    held, ends = bucket[begins], np.append(begins[1:], len(bucket))
+    place = np.minimum(np.searchsorted(held, met), len(held) - 1)
+    there = held[place] == met
+    place, owner = place[there], owner[there]
     # beyond what rounding can do to either way of adding up
     slack = 1e-12 * np.linalg.norm(asked, axis=1) * np.sqrt((base**2).sum(axis=1).max())
-    # each class but the query's own has an id to offer
-    most = neighbours + 1
+    # a class stands here once for each table, and each but the query's own has an id to offer
+    most = TABLES * (neighbours + 1)
     found = []
-    for here in np.unique(bucket):
-        lo, hi = np.searchsorted(bucket, here), np.searchsorted(bucket, here, side="right")
-        who = owner[np.searchsorted(met, here) : np.searchsorted(met, here, side="right")]
-        for at in range(0, len(who), BLOCK):
-            q = who[at : at + BLOCK]
-            scores = asked[q] @ base[lo:hi].T
-            least = np.partition(scores, hi - lo - most, axis=1)[:, hi - lo - most] if hi - lo > most else np.full(len(q), -np.inf)
-            i, c = np.nonzero(scores >= (least - slack[q])[:, None])
-            found.append((q[i], lo + c))
+    for at in range(0, len(asked), BLOCK):
+        lo, hi = np.searchsorted(owner, [at, at + BLOCK])
+        order = np.argsort(place[lo:hi], kind="stable")
+        who, here = owner[lo:hi][order] - at, place[lo:hi][order]
+        first = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]])) if len(here) else np.empty(0, np.int64)
+        block = asked[at : at + BLOCK]
+        scores = np.full((len(block), len(base)), -np.inf)
+        for i, j, k in zip(first.tolist(), np.append(first[1:], len(here)).tolist(), here[first].tolist(), strict=True):
+            scores[who[i:j], begins[k] : ends[k]] = block[who[i:j]] @ base[begins[k] : ends[k]].T
+        least = np.full(len(block), -np.inf)
+        if len(base) > most:
+            least = np.partition(scores, len(base) - most, axis=1)[:, len(base) - most]
+        q, c = np.nonzero((scores >= (least - slack[at : at + BLOCK])[:, None]) & (scores > -np.inf))
+        found.append((q + at, c))
     if not found:
         return pa.Table.from_pylist([], _FOUND_ARROW)
     query, row = (np.concatenate([f[i] for f in found]) for i in range(2))
@@ -310,8 +318,7 @@ def _best(queries: pa.Table, rows: pa.Table, neighbours: int) -> pa.Table:
     out = []
     for i in np.flatnonzero(np.diff(first)):
         lo, hi = first[i], first[i + 1]
-        # a class stands here once for each table
-        some = range(lo, min(hi, lo + TABLES * most))
+        some = range(lo, min(hi, lo + most))
         pairs = sorted({(-exact[k], x) for k in some for x in ids[int(row[k])].as_py() if x != names[i]})[:neighbours]
         out.append((int(names[i]), [x for _, x in pairs], [float(-v) for v, _ in pairs]))
     return pa.table([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
