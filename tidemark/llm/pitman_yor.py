@@ -48,6 +48,8 @@ UNIT = 30
 _U = np.uint64
 _START, _END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 _ROW, _COLUMN, _PARENT = _U(0x9FB21C651E98DF25), _U(0x2545F4914F6CDD1D), _U(0x632BE59BD9B4E019)
+#: Of the kind of table sizes, so that adding in place needs no casts.
+_ONE = np.int32(1)
 _CUSTOMER, _DRAW = _U(0xD1342543DE82EF95), _U(0xAEF17502108EF2D9)
 
 
@@ -232,8 +234,16 @@ class Seating:
 
     def _draw(self, keys: np.ndarray) -> np.ndarray:
         """Numbers from 0 to 1, others on each call."""
+        return (self._bits(keys) >> _U(11)) * 2.0**-53
+
+    def _bits(self, keys: np.ndarray) -> np.ndarray:
         self.salt += 1
-        return (A.mix(keys + _U((self.number << 32 | self.salt) * int(_DRAW) % (1 << 64))) >> _U(11)) * 2.0**-53
+        return A.mix(keys + _U((self.number << 32 | self.salt) * int(_DRAW) % (1 << 64)))
+
+    def _draw_two(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers each, of 32 bits: enough to choose one of a dish's customers, whose first number has no more than that."""
+        bits = self._bits(keys)
+        return (bits >> _U(32)) * 2.0**-32, (bits & _U((1 << 32) - 1)) * 2.0**-32
 
     def _places(self, keys: np.ndarray, tables: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The table of each customer, from the tables of before."""
@@ -267,7 +277,7 @@ class Seating:
             self.salt = step << 20
             dish, key = self.dish[who], self.key[who]
             left = self.table[who]
-            np.subtract.at(self.size, left, 1)
+            np.subtract.at(self.size, left, _ONE)
             empty = np.unique(left[self.size[left] == 0])
             if len(empty):
                 np.subtract.at(t, np.searchsorted(self.place_of, empty, side="right") - 1, 1)
@@ -299,15 +309,16 @@ class Seating:
             standing[who] = True
             while len(rest):
                 d = dish[rest]
-                other = self.first[d] + (self._draw(key[rest]) * c[d]).astype(np.int64)
+                which, chance = self._draw_two(key[rest])
+                other = self.first[d] + (which * c[d]).astype(np.int64)
                 place = self.table[other]
                 size = self.size[place]
-                takes = ~standing[other] & (self._draw(key[rest]) * size < size - discount)
+                takes = ~standing[other] & (chance * size < size - discount)
                 joined[rest[takes]] = place[takes]
                 rest = rest[~takes]
             stay = np.flatnonzero(~opens)
             self.table[who[stay]] = joined[stay]
-            np.add.at(self.size, joined[stay], 1)
+            np.add.at(self.size, joined[stay], _ONE)
             standing[who] = False
         self.t[self.many] = t
 
@@ -360,8 +371,8 @@ class Head:
         return (c - self.d1 * t + (STRENGTH + self.d1 * tables_of) * parent) / (STRENGTH + customers_of)
 
 
-def pair_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    return A.mix(words + A.mix(contexts ^ _CUSTOMER))
+def pair_keys(words: np.ndarray, word: np.ndarray, contexts: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return A.mix(words[word] + A.mix(contexts ^ _CUSTOMER)[context])
 
 
 # --- totals over buckets -----------------------------------------------------------------------------------------
@@ -424,7 +435,9 @@ def _swept(shards: int, head: Head, number: int, sampled: bool):
         some = np.flatnonzero(c)
         before = (_unpack(state["tables"]), _unpack(state["sizes"])) if state else None
         if len(some):
-            keys = pair_keys(words[word[some]], contexts[context[some]])
+            keys = np.zeros(len(some), _U)
+            many = np.flatnonzero(c[some] > 1)
+            keys[many] = pair_keys(words, word[some[many]], contexts, context[some[many]])
             seating = head.seated(c[some], keys, head.parent(parents, roots)[word[some]], tables_of[context[some]], before, number)
             t, sizes = seating.t, seating.sizes()
             del seating, keys
