@@ -250,7 +250,7 @@ def q_leak_table(spark, sf_dir):
     return leakage.leak_table(pairs, scored)
 
 
-@query()
+@query(f"SELECT feature, signal_published, signal_honest FROM ({sql.leak_table('A')}) t WHERE leaked AND signal_published - signal_honest > 0.02 ORDER BY signal_published - signal_honest DESC, feature LIMIT 3")
 def q_leak_headline(spark, sf_dir):
     pairs, scored = _pairs(spark, sf_dir, "A")
     return leakage.headline(leakage.leak_table(pairs, scored))
