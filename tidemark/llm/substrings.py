@@ -11,10 +11,12 @@ document with a smaller id has it too.  Edges travel as packed arrays:
    of repeated edges to the document's bucket.
 3. There, edges that continue each other in a document compact to paths without branches: maximal
    spans of removed words.
-4. A join brings the paths to the texts, where the coordinates are checked against the words.
+4. A join brings the paths to the texts.  A span must lie inside its document; its words are not compared with those
+   of its source.
 
-An edge is told from others by two independent 64-bit hashes: one whole, of the other the bits that
-choose its bucket.
+Across chunks, an edge is told from others by two independent 64-bit hashes: one whole, of the other the bits that
+choose its bucket.  Inside a chunk one hash decides.  Equal edges are grouped by these hashes: nodes have no degrees
+here, and paths are compacted by position in a document, not by joins of nodes.
 """
 
 from __future__ import annotations
