@@ -34,9 +34,10 @@ def _distinct(df: DataFrame, group: list[str], y: str, score: str) -> DataFrame:
 
 def ranking(df: DataFrame, group: list[str], y: str = "is_churn", score: str = "p") -> DataFrame:
     """Group columns, auc (ties count half) and ap (step-wise average precision); null where a class is missing."""
-    d = running(_distinct(df, group, y, score), group, "_x", ["pos", "neg"])
-    n = df.groupBy(*group).agg(F.sum(F.col(y).cast("long")).alias("P"), F.sum(1 - F.col(y).cast("long")).alias("N"))
-    d = d.join(n, group)
+    scores = _distinct(df, group, y, score)
+    # class sizes come from the distinct scores too, so df is read once
+    n = scores.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    d = running(scores, group, "_x", ["pos", "neg"]).join(n, group)
     # at a threshold, all rows of its score or more are taken
     taken_pos, taken_neg = F.col("P") - F.col("before_pos"), F.col("N") - F.col("before_neg")
     g = d.groupBy(*group, "P", "N").agg(
