@@ -1,30 +1,34 @@
 """Removal of word sequences that already occur in an earlier document.
 
-The corpus is a de Bruijn graph over words: a node is a run of window - 1 words, an edge a window of
-`window` words that leads from its first node to its last.  An edge is repeated for a document if a
-document with a smaller id has it too.  Edges travel as packed arrays:
-
-1. Each task hashes the edges of a chunk of documents, resolves copies inside the chunk, and sends one
-   document's occurrences of an edge to the edge's bucket (so a very common passage arrives once from
-   each chunk, however many documents hold it).
-2. A bucket finds the smallest id of each edge and returns the source coordinates (document, position)
-   of repeated edges to the document's bucket.
-3. There, edges that continue each other in a document compact to paths without branches: maximal
-   spans of removed words.
-4. A join brings the paths to the texts.  A span must lie inside its document; its words are not compared with those
-   of its source.
-
-Across chunks, an edge is told from others by two independent 64-bit hashes: one whole, of the other the bits that
-choose its bucket.  Inside a chunk one hash decides.  Equal edges are grouped by these hashes: nodes have no degrees
-here, and paths are compacted by position in a document, not by joins of nodes.
+The corpus is a de Bruijn graph over words: an edge is a window of `window` words, its nodes the first and
+the last window - 1 of these, and edges that follow each other in a document share a node.  An edge is
+repeated for a document if a document with a smaller id has it too.  Edges travel as packed arrays:
+
+1. Each task hashes the edges of a chunk of documents, resolves copies inside the chunk to their first
+   place in it, and sends one document's occurrences of an edge to the edge's bucket (so a very common
+   passage arrives once from each chunk, however many documents hold it).
+2. A bucket finds the first place of each edge, and names it to the buckets of the documents that have the
+   edge later: (document, position, source document, source position).
+3. There, edges that go on alike in the document and in its source compact to one path.  A path ends at a
+   node where the two branch.
+4. Spark joins bring each distinct path to its source's text, which gives a 128-bit digest of the words that
+   stand there, and the digests to the documents that repeat the path.
+5. A span is removed if the digest of its own words is the source's; if not, two windows had equal hashes,
+   and the job stops.
+
+An edge is told from others by two independent 64-bit hashes (across chunks one whole, and of the other the
+bits that choose a bucket).  The graph isn't written out as a table: paths are those that a document shares
+with one source, and a node's other neighbours aren't counted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,37 +39,48 @@ from tidemark.llm.store import buckets, documents_of, keep, small_batches
 WINDOW = 50
 CHUNK_WORDS = 1 << 19
 
-_SENT = "bucket int, known boolean, docs binary, counts binary, at binary, edges binary"
-_FOUND = "bucket int, docs binary, counts binary, at binary"
-_PATHS = "id long, paths array<struct<first:long,words:long>>"
-_KEPT = "id long, n_words long, n_removed long, kept string"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("docs", pa.binary()), ("counts", pa.binary()), ("at", pa.binary()), ("edges", pa.binary())])
-_FOUND_ARROW = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("at", pa.binary())])
-_PATH = pa.struct([("first", pa.int64()), ("words", pa.int64())])
-_PATHS_ARROW = pa.schema([("id", pa.int64()), ("paths", pa.list_(_PATH))])
-
-
-def _packed(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> dict:
-    """Coordinates in the order of documents: each document once, how many positions it has, and these."""
-    first = A.runs(doc)
-    return {"docs": ids[doc[first]].astype(np.int64).tobytes(), "counts": A.pack_positions(np.diff(np.append(first, len(doc)))), "at": A.pack_positions(at)}
+#: Paths of one source that a row asks for; a source with more is dealt to several rows.
+PATHS_A_ROW = 4096
 
-
-def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    docs, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for d, c, a in zip(*(rows[x].to_pylist() for x in ("docs", "counts", "at")), strict=True):
-        docs.append(np.repeat(np.frombuffer(d, np.int64), A.unpack_positions(c)))
-        at.append(A.unpack_positions(a))
-    return np.concatenate(docs), np.concatenate(at)
-
-
-def _by_document(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, n: int) -> Iterator[dict]:
-    """Packed coordinates for each bucket of documents; (doc, at) in the order of documents."""
-    bucket = A.bucket_of(A.mix(ids.astype(np.uint64)), n)[doc]
-    order, bounds = A.grouped(bucket, n)
+_PARTS = ("docs", "sources", "shifts", "counts", "at", "lengths")
+_FOUND = "bucket int, " + ", ".join(f"{x} binary" for x in _PARTS)
+_SENT = f"{_FOUND}, edges binary"
+_RUNS = "id long, first long, words long, source long, at long"
+_PROOFS = "source long, at long, words long, proof binary"
+_KEPT = "id long, n_words long, n_removed long, kept string"
+_FOUND_ARROW = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in _PARTS)])
+_SENT_ARROW = _FOUND_ARROW.append(pa.field("edges", pa.binary()))
+_RUNS_ARROW = pa.schema([(x, pa.int64()) for x in ("id", "first", "words", "source", "at")])
+_PROOFS_ARROW = pa.schema([("source", pa.int64()), ("at", pa.int64()), ("words", pa.int64()), ("proof", pa.binary())])
+_PATHS = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("proof", pa.binary())]))
+
+
+def _packed(doc: np.ndarray, source: np.ndarray, shift: np.ndarray, at: np.ndarray, length: np.ndarray) -> dict:
+    """Runs of edges in their order: each (document, source, shift) in a row once, how many runs it has, and these."""
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (shift[1:] != shift[:-1])]))
+    own = {"docs": doc[head].tobytes(), "sources": source[head].tobytes(), "shifts": shift[head].tobytes()}
+    counts = A.pack_positions(np.diff(np.append(head, len(doc))))
+    return {**own, "counts": counts, "at": A.pack_positions(at), "lengths": b"" if (length == 1).all() else A.pack_positions(length)}
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    out = [[np.empty(0, np.int64)] for _ in range(5)]
+    for docs, sources, shifts, counts, at, lengths in zip(*(rows[x].to_pylist() for x in _PARTS), strict=True):
+        n = A.unpack_positions(counts)
+        for have, x in zip(out, (docs, sources, shifts), strict=False):
+            have.append(np.repeat(np.frombuffer(x, np.int64), n))
+        out[3].append(A.unpack_positions(at))
+        out[4].append(A.unpack_positions(lengths) if lengths else np.ones(len(out[3][-1]), np.int64))
+    return tuple(np.concatenate(x) for x in out)
+
+
+def _by_document(n: int, doc: np.ndarray, source: np.ndarray, shift: np.ndarray, at: np.ndarray, length: np.ndarray) -> Iterator[dict]:
+    """Packed runs for each bucket of documents."""
+    order, bounds = A.grouped(A.bucket_of(A.mix(doc.view(np.uint64)), n), n)
     for b in np.flatnonzero(np.diff(bounds)):
         i = order[bounds[b] : bounds[b + 1]]
-        yield {"bucket": int(b), **_packed(ids, doc[i], at[i])}
+        i = i[np.lexsort((at[i], shift[i], source[i], doc[i]))]
+        yield {"bucket": int(b), **_packed(doc[i], source[i], shift[i], at[i], length[i])}
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -93,46 +108,63 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.n
 def _edges(window: int, n: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, words, first in _chunks(batches, most):
-            length = np.maximum(np.diff(first) - window + 1, 0)
-            doc = np.repeat(np.arange(len(ids)), length)
+            by = np.argsort(ids)
+            length = np.maximum(np.diff(first) - window + 1, 0)[by]
+            # edges in the order of (id, position), so that the least number is the first place
+            doc = np.repeat(by, length)
             if not len(doc):
                 continue
             at = np.arange(len(doc)) - np.repeat(length.cumsum() - length, length)
             where = first[doc] + at
-            edge = A.hash_runs(words, window, 1)[where]
+            edge, other = A.hash_runs(words, window, 1)[where], A.hash_runs(words, window, 2)[where]
             order = np.argsort(edge)
             begin = A.runs(edge[order])
-            least = np.minimum.reduceat(ids[doc[order]], begin)
-            later = np.empty(len(doc), dtype=bool)
-            later[order] = ids[doc[order]] > np.repeat(least, np.diff(np.append(begin, len(order))))
-            rows = [{**x, "known": True, "edges": b""} for x in _by_document(ids, doc[later], at[later], n)]
-            sent = np.flatnonzero(~later)
-            order, bounds = A.grouped(A.bucket_of(A.hash_runs(words, window, 2)[where[sent]], n), n)
+            source = np.empty(len(doc), np.int64)
+            source[order] = np.repeat(np.minimum.reduceat(order, begin), np.diff(np.append(begin, len(order))))
+            told = (doc[source] != doc) & (other[source] == other)
+            i = np.flatnonzero(told)
+            rows = []
+            if len(i):
+                j = source[i]
+                head = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1) | (np.diff(doc[i]) != 0) | (np.diff(doc[j]) != 0)]))
+                i, j, size = i[head], j[head], np.diff(np.append(head, len(i)))
+                rows += [{**x, "edges": None} for x in _by_document(n, ids[doc[i]], ids[doc[j]], at[j] - at[i], at[i], size)]
+            sent = np.flatnonzero(~told)
+            order, bounds = A.grouped(A.bucket_of(other[sent], n), n)
             for b in np.flatnonzero(np.diff(bounds)):
                 i = sent[order[bounds[b] : bounds[b + 1]]]
-                rows.append({"bucket": int(b), "known": False, **_packed(ids, doc[i], at[i]), "edges": edge[i].tobytes()})
+                none = np.zeros(len(i), np.int64)
+                rows.append({"bucket": int(b), **_packed(ids[doc[i]], none, none, at[i], none + 1), "sources": b"", "shifts": b"", "edges": edge[i].tobytes()})
             yield from pa.Table.from_pylist(rows, _SENT_ARROW).to_batches(max_chunksize=64)
-            del rows, words, doc, at, where, edge, order, begin, least, later, sent, bounds
+            del rows, words, doc, at, where, edge, other, order, begin, source, told, sent, bounds, i
             A.trim()
 
     return run
 
 
+def _asked(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    doc, at, edge = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for d, c, a, e in zip(*(rows[x].to_pylist() for x in ("docs", "counts", "at", "edges")), strict=True):
+        doc.append(np.repeat(np.frombuffer(d, np.int64), A.unpack_positions(c)))
+        at.append(A.unpack_positions(a))
+        edge.append(np.frombuffer(e, np.uint64))
+    return np.concatenate(doc), np.concatenate(at), np.concatenate(edge)
+
+
 def _repeated(n: int):
     def run(table: pa.Table) -> pa.Table:
-        known = table["known"].to_numpy()
-        told, asked = table.filter(pa.array(known)), table.filter(pa.array(~known))
-        rows = told.select(["bucket", "docs", "counts", "at"]).to_pylist()
-        doc, at = _unpacked(asked)
+        asked = pc.is_valid(table["edges"])
+        rows = table.filter(pc.invert(asked)).drop_columns("edges").to_pylist()
+        doc, at, edge = _asked(table.filter(asked))
         if len(doc):
-            edge = np.concatenate([np.frombuffer(x, np.uint64) for x in asked["edges"].to_pylist()])
             order = np.argsort(edge)
             begin = A.runs(edge[order])
-            least = np.minimum.reduceat(doc[order], begin)
-            later = np.sort(order[doc[order] > np.repeat(least, np.diff(np.append(begin, len(order))))])
-            ids, own = np.unique(doc[later], return_inverse=True)
-            by = np.argsort(own, kind="stable")
-            rows += _by_document(ids, own[by], at[later][by], n)
+            size = np.diff(np.append(begin, len(order)))
+            doc, at = doc[order], at[order]
+            source = np.repeat(np.minimum.reduceat(doc, begin), size)
+            place = np.repeat(np.minimum.reduceat(np.where(doc == source, at, np.iinfo(np.int64).max), begin), size)
+            later = np.flatnonzero(doc > source)
+            rows += _by_document(n, doc[later], source[later], place[later] - at[later], at[later], np.ones(len(later), np.int64))
         out = pa.Table.from_pylist(rows, _FOUND_ARROW)
         del rows
         A.trim()
@@ -143,40 +175,92 @@ def _repeated(n: int):
 
 def _compact(window: int):
     def run(table: pa.Table) -> pa.Table:
-        doc, at = _unpacked(table)
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
+        doc, source, shift, at, length = _unpacked(table)
         if not len(doc):
-            return pa.Table.from_pylist([], _PATHS_ARROW)
-        # windows that overlap or touch remove one span of words
-        head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + window)]))
-        last = np.append(head[1:], len(doc)) - 1
-        paths = pa.StructArray.from_arrays([pa.array(at[head]), pa.array(at[last] + window - at[head])], fields=list(_PATH))
-        own = A.runs(doc[head])
-        return pa.table([pa.array(doc[head][own]), pa.ListArray.from_arrays(pa.array(np.append(own, len(head)), pa.int32()), paths)], schema=_PATHS_ARROW)
+            return pa.Table.from_pylist([], _RUNS_ARROW)
+        order = np.lexsort((at, doc))
+        doc, source, shift, at, length = (x[order] for x in (doc, source, shift, at, length))
+        # the node between two edges doesn't branch: the document goes on as its source does
+        on = (np.diff(doc) == 0) & (np.diff(source) == 0) & (np.diff(shift) == 0) & (at[1:] == at[:-1] + length[:-1])
+        head = np.flatnonzero(np.concatenate([[True], ~on]))
+        words = np.add.reduceat(length, head) + window - 1
+        return pa.table([pa.array(x) for x in (doc[head], at[head], words, source[head], at[head] + shift[head])], schema=_RUNS_ARROW)
 
     return run
 
 
-def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, paths): the spans of words, from 0, that windows of an earlier document cover; ids without any are left out."""
+def _digest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, words: int) -> bytes:
+    """128 bits of the words from `first` on, joined by one space."""
+    return blake2b(b" ".join(data[starts[first] : ends[first + words - 1]].tobytes().split()), digest_size=16).digest()
+
+
+def _parts(rows: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Slices of the rows of a text column (offsets as from text_bytes) of about 4 MB, or one text."""
+    lo, n = 0, len(rows) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(rows, rows[lo] + (1 << 22), side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def _proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, rows = A.text_bytes(batch.column(1))
+        for lo, hi in _parts(rows):
+            part = data[rows[lo] : rows[hi]]
+            starts, ends, first = A.split_words(part, rows[lo : hi + 1] - rows[lo])
+            out = []
+            for i, (source, spans) in enumerate(zip(batch.column(0)[lo:hi].to_pylist(), batch.column(2)[lo:hi].to_pylist(), strict=True)):
+                for x in spans:
+                    if first[i] + x["at"] + x["words"] > first[i + 1]:
+                        raise ValueError("a repeated span lies outside its source")
+                    out.append({"source": source, **x, "proof": _digest(part, starts, ends, first[i] + x["at"], x["words"])})
+            yield from pa.Table.from_pylist(out, _PROOFS_ARROW).to_batches()
+
+
+def _proofs(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(source, at, words, proof): what stands at each distinct place that a run names as its source.
+
+    Only texts of sources are shuffled.  A source of very many runs has them dealt to several rows, so no row, and with
+    the splitting of skewed joins no task, has to hold all of them.
+    """
+    spans = runs.select("source", "at", "words").distinct()
+    many = spans.groupBy("source").agg(F.ceil(F.count("*") / PATHS_A_ROW).alias("parts")).filter("parts > 1")
+    part = F.pmod(F.xxhash64("at", "words"), F.coalesce("parts", F.lit(1)))
+    asked = spans.join(many, "source", "left").groupBy("source", part.alias("part")).agg(F.collect_list(F.struct("at", "words")).alias("spans"))
+    shared, bits = _filter_of(runs.select(F.col("source").alias("id")), rows)
+    texts = rows.mapInArrow(kept_rows(shared, bits, inside=True), rows.schema)
+    return asked.join(texts, F.col("source") == F.col("id")).select("source", "text", "spans").mapInArrow(_proved, _PROOFS)
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(id, first, words, source, at): spans of `words` words, from word `first` of a document on, that stand from
+    word `at` on in the document `source`, which has a smaller id; runs go on while both documents do.
+
+    Each window that an earlier document has is in exactly one run.  The words aren't compared yet.
+    """
     small_batches(docs.sparkSession)
     rows = documents_of(docs, id_col, text_col)
     n = buckets(rows)
     sent = rows.filter("text IS NOT NULL").mapInArrow(_edges(window, n, CHUNK_WORDS), _SENT)
     found = sent.groupBy("bucket").applyInArrow(_repeated(n), _FOUND)
-    return found.groupBy("bucket").applyInArrow(_compact(window), _PATHS)
+    return found.groupBy("bucket").applyInArrow(_compact(window), _RUNS)
+
+
+def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(id, paths): a document's repeated runs, each with the digest of its source's words; ids without any are left out."""
+    runs = keep(repeated_runs(docs, id_col, text_col, window))
+    proofs = _proofs(runs, documents_of(docs, id_col, text_col))
+    met = runs.join(proofs, ["source", "at", "words"], "left")
+    return met.groupBy("id").agg(F.collect_list(F.struct("first", "words", "proof")).alias("paths"))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, rows = A.text_bytes(batch.column(1))
-        paths = batch.column(2) if batch.num_columns > 2 else pa.nulls(batch.num_rows, _PATHS_ARROW.field("paths").type)
-        lo, n = 0, batch.num_rows
-        while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(rows, rows[lo] + (1 << 22), side="right")) - 1)
+        paths = batch.column(2) if batch.num_columns > 2 else pa.nulls(batch.num_rows, _PATHS)
+        for lo, hi in _parts(rows):
             yield _cleaned(batch.column(0)[lo:hi], data[rows[lo] : rows[hi]], rows[lo : hi + 1] - rows[lo], paths[lo:hi])
-            lo = hi
 
 
 def _whole(shared, bits: int):
@@ -205,6 +289,9 @@ def _cleaned(ids: pa.Array, data: np.ndarray, rows: np.ndarray, paths: pa.Array)
         a, k = flat.field("first").to_numpy(), flat.field("words").to_numpy()
         if (a + k > count[owner]).any():
             raise ValueError("a repeated span lies outside its document")
+        for at, words, proof in zip(first[owner] + a, k, flat.field("proof").to_pylist(), strict=True):
+            if _digest(data, starts, ends, at, words) != proof:
+                raise ValueError("a repeated span differs from its source: two windows have equal hashes")
         np.add.at(step, first[owner] + a, 1)
         np.add.at(step, first[owner] + a + k, -1)
     stay = step.cumsum()[:-1] == 0
