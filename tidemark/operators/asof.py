@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
@@ -24,6 +25,16 @@ def _dates(cutoffs: list[date]) -> Column:
     return F.array(*(F.lit(c) for c in sorted(set(cutoffs))))
 
 
+def people_of(scored: DataFrame) -> DataFrame:
+    """(msno, cutoffs): each scored user once, with the cut-offs that score them."""
+    return scored.groupBy("msno").agg(F.array_sort(F.collect_set("cutoff")).alias("cutoffs"))
+
+
+def dealt(df: DataFrame, sees: Callable[[Column], Column]) -> DataFrame:
+    """Rows of df, which has people_of's `cutoffs`, dealt to those cut-offs for which `sees` holds."""
+    return df.withColumn("cutoff", F.explode(F.filter("cutoffs", sees))).drop("cutoffs")
+
+
 @dataclass(frozen=True)
 class AsOf:
     """A dataset seen from several cut-offs at once.
