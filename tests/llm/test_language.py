@@ -88,5 +88,17 @@ def test_held_out_accuracy(spark):
     got = op1_language_id(spark, SMALL).collect()
     assert {r.doc_id for r in got} == set(docs) and len(got) == len(docs)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    train = [r for r in docs.values() if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert len(train) < L.TRAIN_DOCUMENTS  # so all of them are learnt from
+    met = Counter((r.lang, w) for r in train for w in L.words_of(r.text))
+    totals = {r.lang: sum(n for (lang, _), n in met.items() if lang == r.lang) for r in train}
+    model = L.model([(lang, w, n) for (lang, w), n in met.items() if n >= L.WORD_LEAST], totals, L.GRAM_LEAST)
+    for r in got:
+        text = docs[r.doc_id].text
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            lang, p = brute_score(model, text)
+            assert r.lang_pred == lang and abs(r.score - p) < 1e-9
     held = [r.lang_pred == docs[r.doc_id].lang for r in got if r.held_out]
     assert sum(held) >= 0.97 * len(held)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -36,11 +38,15 @@ def test_stages_against_brute_force(spark):
         assert r.text == (want[i][2] if want[i][1] else own[i].text) and r.n_chars == len(r.text)
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    pieces = C.STAGES[3][1](spark, cut, SMALL).collect()
-    total = {}
-    for p in pieces:
-        total[p.doc_id] = total.get(p.doc_id, 0) + p.length
-    assert total == {i: len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for i, r in found.items()}
+    ids = {i: np.array([*tokenizer.encode(r.text, add_special_tokens=False).ids, 1], "<u4") for i, r in found.items()}
+    for pieces in (C.STAGES[3][1](spark, cut, SMALL).collect(), C.run(spark, SMALL).collect()):
+        ends = dict.fromkeys(ids, 0)
+        for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+            own = ids[p.doc_id]
+            assert p.start == ends[p.doc_id] and p.length > 0 and p.doc_tokens == len(own)
+            ends[p.doc_id] += p.length
+            assert p.ids_crc32 == zlib.crc32(own[p.start : p.start + p.length].tobytes())
+        assert ends == {i: len(x) for i, x in ids.items()}
 
 
 def test_documents_without_language_go(spark):
@@ -53,6 +59,8 @@ def test_odd_tables(spark):
     for nothing in (spark.createDataFrame([], DOCS), spark.createDataFrame([(1, None, None, None, None)], DOCS)):
         for _, stage in C.STAGES[:-1]:
             assert stage(spark, nothing, "").columns == nothing.columns
+        assert [(r.doc_id, r.start, r.length, r.doc_tokens, r.offset) for r in C.packed(spark, nothing, "").collect()] == [(1, 0, 1, 1, 0)] * nothing.count()
+        assert C.known_language(spark, nothing, "").collect() == []
     text = " ".join(f"w{i}" for i in range(80))
     df = frame(spark, [text, text + " end", "other words stand here now"]).unionByName(frame(spark, [text, text + " end"]))
     assert sorted(r.doc_id for r in C.one_of_each_group(spark, df, "").collect()) == [0, 2]
@@ -60,8 +68,6 @@ def test_odd_tables(spark):
     null = df.withColumn("doc_id", df.doc_id.cast("long")).limit(1).selectExpr("CAST(NULL AS LONG) AS doc_id", "* EXCEPT (doc_id)")
     for _, stage in C.STAGES[1:3]:
         assert len([r for r in stage(spark, df.unionByName(null), "").collect() if r.doc_id is None]) == 1
-
-
-def test_run(spark):
-    out = C.run(spark, SMALL).collect()
-    assert out and np.all([r.length > 0 for r in out])
+    twice = C.packed(spark, df.unionByName(null), "").collect()
+    starts = sorted(((r.doc_id, r.doc_tokens) for r in twice if r.start == 0), key=str)
+    assert [i for i, _ in starts] == [0, 0, 1, 1, 2, None] and sum(r.length for r in twice) == sum(n for _, n in starts)

@@ -5,9 +5,9 @@ frequency in each language.  Any other word falls back to its character n-grams
 longest order that the model knows any of, the mean log frequency of the known ones; if not even a letter
 is known, it says nothing.  The language of the largest sum wins.
 
-The model is fitted on a bounded sample of labelled documents (`TRAIN_DOCUMENTS`, whole texts, chosen by a
-hash of their id) and holds at most `WORDS` words a language and `GRAMS` n-grams of each order, so it can
-be broadcast.
+The model is fitted on a bounded sample of labelled documents (about `TRAIN_DOCUMENTS` of each language, whole
+texts, chosen by a hash of their id).  It holds every word that the sample has at least `WORD_LEAST` times in a
+language, and their n-grams met at least `GRAM_LEAST` times; so the sample bounds it, and it can be broadcast.
 """
 
 from __future__ import annotations
@@ -178,7 +178,8 @@ def predict(docs: DataFrame, fitted: Model, text_col: str = "text", id_col: str
     """(id, lang_pred, score, n_words, known_share) of each row, from its whole text alone; with whole_rows also the struct `row` of all columns.
 
     `und` and a score of 0 if the text is null or has no letter, or the model knows no language.  Languages
-    of equal sums: the first by name.  Repeated rows and rows without an id are predicted like any other.
+    of equal sums: the first by name.  Repeated rows and rows without an id are predicted like any other; a text
+    of any length is read whole, and its words must fit in a task.  An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
