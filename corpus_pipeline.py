@@ -23,7 +23,9 @@ LEAST_SCORE = 0.4
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is in a known language; a text without letters, or of no language, goes.
 
-    The model learns from the labelled rows.  A row without a doc_id stays or goes by its text.
+    The model learns from the labelled rows.  A row without a doc_id stays or goes by its text, and so does each row
+    that repeats another.  Of languages of equal sums the first by name counts.  Texts are read whole, however
+    long.  A table without labelled rows gives a model without languages, and no row stays; an empty one stays empty.
     """
     found = predict(docs, fit(docs), whole_rows=True)
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
@@ -45,7 +47,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the token sequences, as the packing operator's query returns them."""
+    """The pieces of the token sequences, as the packing operator's query returns them.
+
+    Every row is a document: repeats, rows without a doc_id and null texts (the end token alone) too.  A long text is
+    cut into pieces and loses nothing.  An empty table gives no pieces; columns other than doc_id and text don't count.
+    """
     import public_tokenizers
 
     out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
