@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -48,6 +49,14 @@ def test_words_go_first_and_n_grams_step_in():
         assert lang == want and abs(score - p) < 1e-12
 
 
+def test_words_are_runs_of_letters():
+    rng = random.Random(5)
+    some = "aÉßжλ中 ²½①Ⅷ٣7_-\n\U0001f100\U00010107\U00020000"
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(2000)] + ["".join(map(chr, range(0xD800))), "".join(map(chr, range(0xE000, 0x110000)))]
+    for text in texts:
+        assert L.words_of(text) == "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+
 def test_texts_without_evidence():
     scorer = L.Scorer(small_model())
     assert [scorer.predict(t)[:2] for t in (None, "", "123 !! _", " \n", "²½ ①", "Ⅷ ٣")] == [("und", 0.0)] * 6

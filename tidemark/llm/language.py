@@ -38,8 +38,9 @@ EVIDENCE = 12
 UNKNOWN = "und"
 CACHED_WORDS = 100_000
 
-#: Runs of letters: \w without digits, the underscore, and numbers of other kinds, such as ² or Ⅷ.
-_WORD = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
+#: Runs of letters and of numbers that aren't digits, such as ² or Ⅷ; the others are the rare ones that have such numbers.
+_RUN = re.compile(r"[^\W\d_]+")
+_NUMBERS = re.compile(f"[{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
 _SCORED = "id long, lang_pred string, score double, n_words long, known_share double"
 _SCORED_ARROW = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("known_share", pa.float64())])
 
@@ -51,7 +52,12 @@ class Model(NamedTuple):
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, lower-cased."""
+    runs = _RUN.findall(text.lower())
+    if "".join(runs).isalpha():
+        return runs
+    # matching those numbers is slow, so only runs that have them are split there
+    return [word for run in runs for word in ([run] if run.isalpha() else _NUMBERS.split(run)) if word]
 
 
 def grams_of(word: str, order: int) -> list[str]:
