@@ -119,6 +119,38 @@ def test_the_cache_is_bounded(monkeypatch):
     assert len(own.names) <= 4
 
 
+def test_what_is_met_often_is_not_learned_again(monkeypatch):
+    monkeypatch.setattr(P, "CACHED_SEGMENTS", 40)
+    own, learned = P.Encoder(PATH, 0.2, 0), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda new: (learned.extend(new), learn(new)))
+    for i in range(60):
+        text = "common words stand here and common words stand there " + " ".join(f"rare{i}x{k}" for k in range(9))
+        assert ids(own, text, i) == plain(text, 0.2, 0, i)
+    assert learned.count(" common") == learned.count(" words") == learned.count(" stand") == 1
+    assert len(own.names) <= 40 + 16 and own.names == list(own.number) and len(own.names) == len(own.own) == len(own.first)
+
+
+def test_only_merged_spans_make_a_run_anew(monkeypatch):
+    """Of each occurrence that is run with skips, a span is skipped that the model's own run merges."""
+    text = " ".join(t or "" for t in corpus(9, 40))
+    own, rows = P.Encoder(PATH, 0.1, 4), []
+    run = own._run
+    monkeypatch.setattr(own, "_run", lambda numbers, *skips: (rows.extend(numbers.tolist() if skips else []), run(numbers, *skips))[1])
+    ids(own, text, 5)
+    want = []
+    for place, segment in enumerate(P._SEGMENT.findall(" " + text)):
+        spans = P.spans_of(segment, PIECES)
+        key = P.occurrence_keys(4, np.array([5]), np.array([place]))
+        cuts, merged = list(range(len(segment) + 1)), []
+        while fitting := [(a, b) for _, a, b, _ in spans if a in cuts and b in cuts and cuts.index(b) == cuts.index(a) + 2]:
+            merged.append(fitting[0])
+            del cuts[cuts.index(fitting[0][0]) + 1]
+        if any(P.skipped(key, np.array([a]), np.array([b]), 0.1)[0] for a, b in merged):
+            want.append(segment)
+    assert sorted(own.names[i] for i in rows) == sorted(want)
+
+
 def test_long_texts_come_in_slabs(monkeypatch):
     text = " ".join(t or "" for t in corpus(8, 60))
     whole = ids(P.Encoder(PATH, 0.2, 0), text, 9)

@@ -9,8 +9,8 @@ model's own.  What is no piece goes into byte pieces, and so decoding gives the
 
 The agendas of new segments are worked out together, by hashes of all short spans.  Draws are made for all
 occurrences of a batch at once; those that skip nothing their agenda would take share the model's own result,
-and for the others the agenda runs over arrays: a set of boundaries is a bit mask, and each step merges the
-first span of each that can be.
+and for the others the agenda runs over arrays: each two symbols beside each other hold the place of their span
+in the agenda, and each step merges the first span of every occurrence and looks up the two that come of it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from tidemark.llm.store import small_batches
 
 MARK = "▁"
 RATE = 0.1
-#: Segments that a worker keeps; beyond, it begins anew.
+#: Segments that a worker keeps; beyond, it goes on with those met most often, half as many at most.
 CACHED_SEGMENTS = 200_000
 #: Characters and spans of a segment that the arrays take; others run their agenda one at a time.
 MOST_CHARACTERS, MOST_SPANS = 40, 96
@@ -41,6 +42,8 @@ _MARK_ITSELF = "\ud800"
 _NONE = 1 << 30
 #: Bits of the table that tells which spans may be pieces.
 _SIEVE = 20
+#: Place in an agenda that stands for no span; and the bytes that tables of places may take at a time.
+_NO_SPAN, _TABLES = 255, 1 << 21
 
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 _ENCODED = "id long, ids array<int>"
@@ -88,9 +91,24 @@ class Pieces:
         rank = np.searchsorted(np.unique(scores), scores)
         order = np.argsort(hashes)
         self.hashes, self.ranks, self.ids = hashes[order], rank[order], np.array([x[1] for x, _ in long], np.int64)[order]
-        self.sieve = np.zeros(1 << _SIEVE, bool)
-        self.sieve[(hashes >> _U(64 - _SIEVE)).astype(np.int64)] = True
-        self.single = {ord(name): x[1] for name, x in self.merged.items() if len(name) == 1}
+        upper = (self.hashes >> _U(64 - _SIEVE)).astype(np.int64)
+        size = np.bincount(upper, minlength=1 << _SIEVE)
+        self.sieve, self.slot, self.deepest = size > 0, (size.cumsum() - size).astype(np.int32), int(size.max())
+        # the piece of each character, or its code point behind _NONE
+        self.single = np.arange(_NONE, _NONE + 0x110000, dtype=np.int32)
+        for name, x in self.merged.items():
+            if len(name) == 1:
+                self.single[ord(name)] = x[1]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, and the pieces' places in `hashes`."""
+        upper = (hashes >> _U(64 - _SIEVE)).astype(np.int64)
+        some = np.flatnonzero(self.sieve[upper])
+        h, place = hashes[some], self.slot[upper[some]].astype(np.int64)
+        for _ in range(self.deepest - 1):
+            place = np.minimum(place + (self.hashes[place] < h), len(self.hashes) - 1)
+        hit = self.hashes[place] == h
+        return some[hit], place[hit]
 
 
 def prefix_sums(points: np.ndarray) -> np.ndarray:
@@ -173,122 +191,171 @@ def symbol_ids(segment: str, cuts: list[int], pieces: Pieces) -> bytes:
     return np.array(out, "<u4").tobytes()
 
 
+def appended(a: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """An array with more at its end; room is kept behind it, so that it is seldom copied."""
+    room, n = a if a.base is None else a.base, len(a) + len(more)
+    if n > len(room):
+        room = np.empty(max(n, 2 * len(room)), a.dtype)
+        room[: len(a)] = a
+    room[len(a) : n] = more
+    return room[:n]
+
+
+def stretches(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, count in all."""
+    ends = count.cumsum()
+    return np.repeat(first - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class _Numbers(dict):
+    """Segments and their numbers; a new one gets the next."""
+
+    def __init__(self, names: list[str]):
+        super().__init__(zip(names, range(len(names)), strict=True))
+        self.names = names
+
+    def __missing__(self, name: str) -> int:
+        self[name] = n = len(self.names)
+        self.names.append(name)
+        return n
+
+
 class Encoder:
     """Encodes batches of texts, and keeps the agendas of segments met lately."""
 
     def __init__(self, path: str, rate: float, seed: int):
         self.pieces, self.rate, self.seed = Pieces(path), rate, seed
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
         self.names: list[str] = []
+        self.number = _Numbers(self.names)
         self.own: list[bytes | None] = []  # at rate 0; none of a segment that arrays don't take
         zero = lambda kind: np.zeros(0, kind)
-        # of each segment: its first span and how many, its first character and how many
-        self.first, self.count, self.head, self.size = (zero(np.int64) for _ in range(4))
+        # of each segment: its first span and how many, its first character and how many, how often it was met
+        self.first, self.count, self.head, self.size, self.met = (zero(np.int64) for _ in range(5))
         # of each span: begin, end, piece, and whether a run without skips merges it; of each character: its piece
         self.begin, self.end, self.piece, self.taken = zero(np.uint8), zero(np.uint8), zero(np.int32), zero(bool)
         self.characters = zero(np.int32)
 
+    def _forget(self) -> None:
+        """Go on with the segments that were met again, those met most often if they are many."""
+        stay = np.flatnonzero(self.met > 1)
+        if len(stay) > CACHED_SEGMENTS // 2:
+            stay = np.sort(stay[np.argsort(-self.met[stay], kind="stable")[: CACHED_SEGMENTS // 2]])
+        self.names = [self.names[i] for i in stay.tolist()]
+        self.number = _Numbers(self.names)
+        self.own = [self.own[i] for i in stay.tolist()]
+        self.count, self.size, self.met = self.count.take(stay), self.size.take(stay), self.met.take(stay) // 2
+        spans, own = stretches(self.first.take(stay), self.count), stretches(self.head.take(stay), self.size)
+        self.first, self.head = self.count.cumsum() - self.count, self.size.cumsum() - self.size
+        self.begin, self.end, self.piece, self.taken = (x.take(spans) for x in (self.begin, self.end, self.piece, self.taken))
+        self.characters = self.characters.take(own)
+
     def _learn(self, new: list[str]) -> None:
         """Work out the agendas of new segments, which have numbers already."""
         p = self.pieces
-        texts = [characters(s) for s in new]
-        size = np.array([len(t) for t in texts], np.int64)
+        size = np.fromiter(map(len, new), np.int64, len(new))
         short = size <= MOST_CHARACTERS
-        texts = "".join(t for t, fits in zip(texts, short.tolist(), strict=True) if fits)
+        texts = characters("".join(new if short.all() else [t for t, fits in zip(new, short.tolist(), strict=True) if fits]))
         n = np.where(short, size, 0)
         points = np.frombuffer(texts.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         sums = prefix_sums(points)
         head = n.cumsum() - n
         owner = np.repeat(np.arange(len(new)), n)
         left = (head + n)[owner] - np.arange(len(points))
-        found = []
+        found, at = [], np.arange(len(points))
         for k in range(2, min(p.longest, MOST_CHARACTERS) + 1):
-            at = np.flatnonzero(left >= k)
+            at = at[left[at] >= k]
             if not len(at):
                 break
-            h = span_hashes(sums, at, at + k)
-            some = p.sieve[(h >> _U(64 - _SIEVE)).astype(np.int64)]
-            at, h = at[some], h[some]
-            place = np.minimum(np.searchsorted(p.hashes, h), len(p.hashes) - 1)
-            hit = p.hashes[place] == h
-            found.append((at[hit], np.full(int(hit.sum()), k), place[hit]))
+            hit, place = p.find(span_hashes(sums, at, at + k))
+            found.append((at[hit], np.full(len(hit), k), place))
         at, k, place = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
         of = owner[at]
-        order = np.lexsort((at, p.ranks[place], of))
-        at, k, place, of = at[order], k[order], place[order], of[order]
+        begin = at - head[of]
+        # by segment, rank, begin and length, no two of which are alike
+        order = np.argsort(((of * (len(p.ranks) + 1) + p.ranks[place]) * (MOST_CHARACTERS + 1) + begin) * (MOST_CHARACTERS + 1) + k)
+        begin, k, place = begin[order], k[order], place[order]
         count = np.bincount(of, minlength=len(new))
         fits = short & (count <= MOST_SPANS)
-        base, first = len(self.first), len(self.begin) + count.cumsum() - count
-        join = np.concatenate
-        self.first, self.count = join([self.first, first]), join([self.count, np.where(fits, count, 0)])
-        self.head, self.size = join([self.head, len(self.characters) + head]), join([self.size, n])
-        begin = at - head[of]
-        self.begin, self.end = join([self.begin, begin.astype(np.uint8)]), join([self.end, (begin + k).astype(np.uint8)])
-        self.piece = join([self.piece, p.ids[place].astype(np.int32)])
-        kinds, own = np.unique(points, return_inverse=True)
-        known = np.array([p.single.get(c, _NONE + c) for c in kinds.tolist()], np.int32) if len(kinds) else np.empty(0, np.int32)
-        self.characters = join([self.characters, known[own]])
+        base = len(self.first)
+        self.first = appended(self.first, len(self.begin) + count.cumsum() - count)
+        self.count = appended(self.count, np.where(fits, count, 0))
+        self.head, self.size = appended(self.head, len(self.characters) + head), appended(self.size, n)
+        self.met = appended(self.met, np.zeros(len(new), np.int64))
+        self.begin, self.end = appended(self.begin, begin.astype(np.uint8)), appended(self.end, (begin + k).astype(np.uint8))
+        self.piece, self.taken = appended(self.piece, p.ids[place].astype(np.int32)), appended(self.taken, np.zeros(len(k), bool))
+        self.characters = appended(self.characters, p.single[points])
         numbers = base + np.flatnonzero(fits)
-        made, masks = self._run(numbers)
         self.own += [None] * len(new)
-        mask = np.zeros(len(new), _U)
-        mask[fits] = masks
-        for i, x in zip(numbers.tolist(), made, strict=True):
+        for i, x in zip(numbers.tolist(), self._run(numbers), strict=True):
             self.own[i] = x
-        inside = (_ONE << (begin + k).astype(_U)) - (_ONE << (begin + 1).astype(_U))
-        self.taken = join([self.taken, mask[of] & inside == 0])
 
-    def _run(self, numbers: np.ndarray, skip: np.ndarray | None = None, at_skip: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray]:
-        """Ids of segments, and the boundaries; skip: of each span, from at_skip of its segment on, whether it may not be merged."""
+    def _run(self, numbers: np.ndarray, skip: np.ndarray | None = None, at_skip: np.ndarray | None = None) -> list[bytes]:
+        """Ids of segments; skip: of each span, from at_skip of its segment on, whether it may not be merged.
+
+        Without skip, notes which spans are merged.
+        """
         out: list[bytes] = [b""] * len(numbers)
-        masks = np.zeros(len(numbers), _U)
-        count = self.count[numbers]
-        rows = np.argsort(count, kind="stable")
-        count, lo = count[rows], 0
+        size = self.size[numbers]
+        rows = np.argsort(size, kind="stable")
+        size, lo = size[rows], 0
         while lo < len(rows):
-            # rows of about as many spans, padded to the largest of them
-            hi = min(int(np.searchsorted(count, count[lo] * 5 // 4 + 1, side="right")), lo + TOGETHER // 2)
-            some, k = rows[lo:hi], count[lo:hi]
-            number, wide = numbers[some], int(count[hi - 1])
-            n = self.size[number]
-            place = np.arange(int(n.max()))
-            symbols = self.characters[self.head[number][:, None] + np.minimum(place, n[:, None] - 1)]
-            mask = (_ONE << (n + 1).astype(_U)) - _ONE
-            done, live = mask.copy(), np.arange(len(some))
-            if wide:
-                at = np.minimum(np.arange(wide), k[:, None] - 1)
-                span = self.first[number][:, None] + at
-                begin, end, piece = self.begin[span].astype(_U), self.end[span].astype(_U), self.piece[span]
-                outer, inner = _ONE << begin | _ONE << end, (_ONE << end) - (_ONE << begin + _ONE)
-                begin = begin.astype(np.int64)
-                outer[k == 0] = _U(1 << 63)  # never a boundary
-                if skip is not None:
-                    outer[skip[at_skip[some][:, None] + at]] = _U(1 << 63)
-                while len(live):
-                    x = mask[:, None] & inner
-                    fits = (x != 0) & (x & x - _ONE == 0) & (mask[:, None] & outer == outer)
-                    first = fits.argmax(axis=1)
-                    each = np.arange(len(live))
-                    goes = fits[each, first]
-                    done[live[~goes]] = mask[~goes]
-                    symbols[live[goes], begin[each, first][goes]] = piece[each, first][goes]
-                    mask = (mask ^ x[each, first])[goes]
-                    begin, inner, outer, piece, live = (y[goes] for y in (begin, inner, outer, piece, live))
-            cut = (done[:, None] >> place.astype(_U) & _ONE).astype(bool) & (place < n[:, None])
-            ids, ends = symbols[cut], 4 * cut.sum(axis=1).cumsum()
-            raw, start = ids.astype("<u4").tobytes(), 0
-            odd = np.flatnonzero((cut & (symbols >= _NONE)).any(axis=1)).tolist() if len(ids) and ids.max() >= _NONE else []
-            for row, end in zip(some.tolist(), ends.tolist(), strict=True):
-                out[row] = raw[start:end]
-                start = end
-            for i in odd:
-                out[some[i]] = self._with_bytes(symbols[i][cut[i]].tolist())
-            masks[some] = done
+            # rows of about as many characters, padded to the largest of them
+            most = int(size[lo]) * 3 // 2 + 1
+            hi = min(int(np.searchsorted(size, most, side="right")), lo + max(1, _TABLES // ((most + 1) * (most + 2))))
+            some, n = rows[lo:hi], size[lo:hi]
+            self._merge(numbers[some], n, skip, None if skip is None else at_skip[some], some, out)
             lo = hi
-        return out, masks
+        return out
+
+    def _merge(self, number: np.ndarray, n: np.ndarray, skip: np.ndarray | None, at_skip: np.ndarray | None, some: np.ndarray, out: list[bytes]) -> None:
+        """Put the ids of a few segments, of n characters each, into `out` at `some`."""
+        wide, many, first, count = int(n.max()), len(number), self.first[number], self.count[number]
+        each, place = np.arange(many), np.arange(wide)
+        symbols = self.characters[self.head[number][:, None] + np.minimum(place, n[:, None] - 1)]
+        cut = place < n[:, None]
+        # of each row, begin and end: the span's place in the agenda; no span begins at `wide` or ends after it
+        step = wide + 2
+        base = each * ((wide + 1) * step)
+        table = np.full(many * (wide + 1) * step, _NO_SPAN, np.uint8)
+        owner, where = np.repeat(each, count), stretches(first, count)
+        at = (where - first[owner]).astype(np.uint8)
+        if skip is not None:
+            stay = np.flatnonzero(~skip[stretches(at_skip, count)])
+            owner, where, at = owner[stay], where[stay], at[stay]
+        table[base[owner] + self.begin[where].astype(np.int64) * step + self.end[where]] = at
+        # of each character and row: the place of the span of the symbol that begins there and the next one; their ends and begins
+        beside = np.full((wide + 1, many), _NO_SPAN, np.uint8)
+        beside[:wide] = table.reshape(many, wide + 1, step)[:, place, place + 2].T
+        after = np.repeat(np.arange(1, wide + 2), many)
+        before = np.repeat(np.arange(-1, wide), many)
+        before[:many] = wide
+        flat, flat_symbols, flat_cut = beside.reshape(-1), symbols.reshape(-1), cut.reshape(-1)
+        while True:
+            best = beside.min(axis=0)
+            live = np.flatnonzero(best != _NO_SPAN)
+            if not len(live):
+                break
+            span = first[live] + best[live]
+            a, b = self.begin[span].astype(np.int64), self.end[span].astype(np.int64)
+            at_a, at_b, line = a * many + live, b * many + live, base[live]
+            middle, right, left = after[at_a], after[at_b], before[at_a]
+            after[at_a], before[at_b] = b, a
+            flat[middle * many + live] = _NO_SPAN
+            flat[at_a] = table[line + a * step + right]
+            flat[left * many + live] = table[line + left * step + b]
+            line = live * wide
+            flat_symbols[line + a] = self.piece[span]
+            flat_cut[line + middle] = False
+            if skip is None:
+                self.taken[span] = True
+        ids, ends = symbols[cut], 4 * cut.sum(axis=1).cumsum()
+        raw, start = ids.astype("<u4").tobytes(), 0
+        odd = np.flatnonzero((cut & (symbols >= _NONE)).any(axis=1)).tolist() if len(ids) and ids.max() >= _NONE else []
+        for row, end in zip(some.tolist(), ends.tolist(), strict=True):
+            out[row] = raw[start:end]
+            start = end
+        for i in odd:
+            out[some[i]] = self._with_bytes(symbols[i][cut[i]].tolist())
 
     def _with_bytes(self, ids: list[int]) -> bytes:
         """Ids with the byte pieces of characters that are none."""
@@ -309,12 +376,11 @@ class Encoder:
         ends = count.cumsum()
         if not len(ends) or not ends[-1]:
             return
-        owner = np.repeat(np.arange(len(numbers)), count)
-        where = np.repeat(self.first[numbers] - ends + count, count) + np.arange(ends[-1])
-        skip = skipped(keys[owner], self.begin[where], self.end[where], self.rate)
-        rows = A.runs(owner[skip & self.taken[where]])
-        rows = owner[skip & self.taken[where]][rows]
-        for row, x in zip(rows.tolist(), self._run(numbers[rows], skip, (ends - count)[rows])[0], strict=True):
+        where = stretches(self.first[numbers], count)
+        skip = skipped(np.repeat(keys, count), self.begin[where], self.end[where], self.rate)
+        rows = np.searchsorted(ends, np.flatnonzero(skip & self.taken[where]), side="right")
+        rows = rows[A.runs(rows)]
+        for row, x in zip(rows.tolist(), self._run(numbers[rows], skip, (ends - count)[rows]), strict=True):
             out[row] = x
 
     def encode(self, ids: np.ndarray, texts: list[str | None]) -> list[bytes]:
@@ -342,15 +408,13 @@ class Encoder:
     def _slab(self, ids: np.ndarray, group: list[tuple[int, list[str]]], place: int) -> list[bytes]:
         if len(self.names) >= CACHED_SEGMENTS:
             self._forget()
-        number, counts = self.number, np.array([len(found) for _, found in group], np.int64)
-        new = [s for s in dict.fromkeys(s for _, found in group for s in found) if s not in number]
-        number.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
-        self.names += new
-        if new:
-            self._learn(new)
-        numbers = [number[s] for _, found in group for s in found]
+        known, counts = len(self.names), np.array([len(found) for _, found in group], np.int64)
+        numbers = list(map(self.number.__getitem__, chain.from_iterable(found for _, found in group)))
+        if len(self.names) > known:
+            self._learn(self.names[known:])
         pieces = list(map(self.own.__getitem__, numbers))
         numbers = np.array(numbers, np.int64)
+        self.met += np.bincount(numbers, minlength=len(self.names))
         ends = counts.cumsum()
         at = np.arange(len(numbers)) - np.repeat(ends - counts, counts) + place
         keys = occurrence_keys(self.seed, np.repeat(ids[[i for i, _ in group]] if group else ids[:0], counts), at)
