@@ -95,6 +95,40 @@ def test_seating_follows_the_restaurant():
     assert np.allclose(np.bincount(s.t, minlength=c + 1) / 20_000, exact / exact.sum(), atol=0.02)
 
 
+def test_a_sweep_draws_little(monkeypatch):
+    """Rare dishes, most of a corpus, need hardly more than a draw for each customer: who can join one table only needs no other."""
+    drawn, bits = [], Y.Seating._bits
+    monkeypatch.setattr(Y.Seating, "_bits", lambda self, keys: drawn.append(len(keys)) or bits(self, keys))
+    c = np.repeat([2, 3, 4, 10], [8000, 2000, 1000, 200])
+    keys = A.mix(np.arange(len(c), dtype=np.uint64))
+    s = Y.Seating(c, keys)
+    for number in range(1, 5):
+        s = Y.Seating(c, keys, s.t, s.sizes(), number)
+        drawn.clear()
+        s.sweep(np.full(len(c), 0.5), 0.8)
+        assert sum(drawn) < 3 * c.sum()
+
+
+def test_who_leaves_has_the_least_draws(monkeypatch):
+    """The customers of each dish that shrinks are put in order only as far as they may leave, with the same result."""
+    rng = np.random.default_rng(6)
+    before = rng.integers(1, 400, 300)
+    c = np.maximum(1, before - rng.integers(-5, 9, 300))
+    c[:20] = 1
+    keys = A.mix(np.arange(len(c), dtype=np.uint64))
+    first = before.cumsum() - before
+    ordered, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda by: ordered.append(len(by[0])) or lexsort(by))
+    s = Y.Seating(c, keys)
+    left, want = s._leaving(keys, before, c, first), set()
+    for i in np.flatnonzero(before > c):
+        s.salt = 0
+        draws = s._draw(A.mix(keys[i] + np.arange(before[i], dtype=np.uint64) * Y._CUSTOMER))
+        want |= {int(first[i] + j) for j in np.argsort(draws, kind="stable")[: before[i] - c[i]]}
+    assert set(left.tolist()) == want and len(left) == len(want)
+    assert sum(ordered) < before.sum() / 2
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     word, context = np.repeat(np.arange(30), 5), np.tile(np.arange(5), 30)

@@ -123,23 +123,42 @@ def _packed(data: np.ndarray, rows: np.ndarray, side: int) -> tuple[list[dict],
     row, token, before = tokens(data, rows)
     size = np.bincount(row, minlength=len(rows) - 1)
     words, own = np.unique(token, return_inverse=True)
-    contexts, context = np.unique(before, return_inverse=True)
+    # words in order of the grid's rows; contexts, in order of its columns, are these words, with the start for the end
+    end = np.searchsorted(words, _END)
+    contexts = words.copy()
+    contexts[end] = _START
+    context = np.empty_like(own)
+    context[1:] = own[:-1]
+    context[before == _START] = end
+    del token, before
+    own, words, across = _dealt(own, words, words ^ _ROW, side)
+    context, contexts, down = _dealt(context, contexts, contexts ^ _COLUMN, side)
     bits, wide = (len(rows) - 1).bit_length(), len(contexts).bit_length()
     key, n = np.unique(((own << wide | context) << bits | row).astype(_U), return_counts=True)
-    del row, token, before, context
+    del row, context
     key = key.astype(np.int64)
     doc, context, own = key & (1 << bits) - 1, key >> bits & (1 << wide) - 1, key >> bits + wide
-    at = A.bucket_of(A.mix(words ^ _ROW), side)[own] * side + A.bucket_of(A.mix(contexts ^ _COLUMN), side)[context]
+    at = np.repeat(np.arange(side), np.diff(across))[own] * side + np.repeat(np.arange(side), np.diff(down))[context]
     order, bounds = A.grouped(at, side**2)
     out = []
     for b in np.flatnonzero(np.diff(bounds)):
         i = order[bounds[b] : bounds[b + 1]]
         first = A.runs(own[i])
-        met, at = np.unique(context[i], return_inverse=True)
-        out.append({"bucket": int(b), "words": words[own[i][first]].tobytes(), "counts": _pack(np.diff(np.append(first, len(i)))), "contexts": contexts[met].tobytes(), "context": _pack(at), "doc": _pack(doc[i]), "n": _pack(n[i])})
+        lo, hi = down[b % side], down[b % side + 1]
+        place, met = context[i] - lo, np.zeros(hi - lo, bool)
+        met[place] = True
+        out.append({"bucket": int(b), "words": words[own[i][first]].tobytes(), "counts": _pack(np.diff(np.append(first, len(i)))), "contexts": contexts[lo:hi][met].tobytes(), "context": _pack((met.cumsum() - 1)[place]), "doc": _pack(doc[i]), "n": _pack(n[i])})
     return out, size
 
 
+def _dealt(own: np.ndarray, names: np.ndarray, by: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names and their numbers anew, in order of n buckets, and the bounds of these."""
+    order, bounds = A.grouped(A.bucket_of(A.mix(by), n), n)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return rank[own], names[order], bounds
+
+
 _GROUPED = "bucket int, words binary, types binary, contexts binary, context binary, c binary, counts binary, chunks binary, chunk binary, doc binary, n binary, one long, two long, ids binary, own long, train binary"
 _GROUPED_ARROW = pa.schema([
     ("bucket", pa.int32()), *((x, pa.binary()) for x in ("words", "types", "contexts", "context", "c", "counts", "chunks", "chunk", "doc", "n")),
@@ -218,19 +237,16 @@ class Seating:
         self.c, self.t, self.number, self.salt = c, np.ones(len(c), np.int64), number, 0
         self.many = np.flatnonzero(c > 1)
         many = c[self.many]
-        self.dish = np.repeat(np.arange(len(many), dtype=np.int32), many)
         self.first = many.cumsum() - many
-        own = np.arange(len(self.dish)) - self.first[self.dish]
-        self.key = A.mix(keys[self.many][self.dish] + own.astype(_U) * _CUSTOMER)
+        self.keys = keys[self.many]
         # twice the places that tables can need, so a free one is soon found
         self.places = 2 * many + 2
         self.place_of = self.places.cumsum() - self.places
-        place = np.zeros(len(self.dish), np.int64) if tables is None else self._places(keys, tables, sizes)
-        self.table = self.place_of[self.dish] + place
+        self.table = np.repeat(self.place_of, many)
+        if tables is not None:
+            self.table += self._places(keys, tables, sizes)
         self.size = np.bincount(self.table, minlength=int(self.places.sum())).astype(np.int32)
         self.t[self.many] = np.add.reduceat(self.size > 0, self.place_of) if len(many) else 0
-        self.order, self.bounds = A.grouped(own % STEPS, STEPS)
-        self.order = self.order.astype(np.int32)
 
     def _draw(self, keys: np.ndarray) -> np.ndarray:
         """Numbers from 0 to 1, others on each call."""
@@ -247,87 +263,124 @@ class Seating:
 
     def _places(self, keys: np.ndarray, tables: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The table of each customer, from the tables of before."""
-        before = np.add.reduceat(sizes, tables.cumsum() - tables)
-        owner = np.repeat(np.arange(len(before)), before)
+        before, c = np.add.reduceat(sizes, tables.cumsum() - tables), self.c
+        some = (before > 1) | (c > 1)
+        sizes = sizes[np.repeat(some, tables)]
+        before, c, keys, tables = before[some], c[some], keys[some], tables[some]
         first = before.cumsum() - before
         table = np.repeat(np.arange(len(sizes)) - np.repeat(tables.cumsum() - tables, tables), sizes)
-        if (before != self.c).any():
-            draws = self._draw(A.mix(keys[owner] + (np.arange(len(owner)) - first[owner]).astype(_U) * _CUSTOMER))
-            rank = np.empty(len(owner), np.int64)
-            rank[np.lexsort((draws, owner))] = np.arange(len(owner)) - first[owner]
-            stay = (before <= self.c)[owner] | (rank >= (before - self.c)[owner])
-            more = np.repeat(np.arange(len(before)), np.maximum(self.c - before, 0))
-            nth = A.runs(more)
-            nth = np.arange(len(more)) - np.repeat(nth, np.diff(np.append(nth, len(more))))
-            beside = first[more] + (self._draw(A.mix(keys[more] + (before[more] + nth).astype(_U) * _CUSTOMER)) * before[more]).astype(np.int64)
-            owner, table = np.concatenate([owner[stay], more]), np.concatenate([table[stay], table[beside]])
-            order = np.argsort(owner, kind="stable")
-            owner, table = owner[order], table[order]
-        return table[self.c[owner] > 1]
+        if (before != c).any():
+            stay = np.ones(len(table), bool)
+            stay[self._leaving(keys, before, c, first)] = False
+            more = np.repeat(np.arange(len(before)), np.maximum(c - before, 0))
+            begin = A.runs(more)
+            nth = before[more] + np.arange(len(more)) - np.repeat(begin, np.diff(np.append(begin, len(more))))
+            beside = first[more] + (self._draw(A.mix(keys[more] + nth.astype(_U) * _CUSTOMER)) * before[more]).astype(np.int64)
+            # who came sits after those who stayed
+            came = (c.cumsum() - c)[more] + nth
+            old = np.ones(int(c.sum()), bool)
+            old[came] = False
+            both = np.empty(len(old), np.int64)
+            both[old], both[came] = table[stay], table[beside]
+            table = both
+        return table[np.repeat(c > 1, c)]
+
+    def _leaving(self, keys: np.ndarray, before: np.ndarray, c: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The customers of the least draws of each dish that has fewer than before."""
+        fewer = np.flatnonzero(before > c)
+        was, leave = before[fewer], (before - c)[fewer]
+        own = np.repeat(np.arange(len(fewer)), was)
+        nth = np.arange(len(own)) - np.repeat(was.cumsum() - was, was)
+        draws = self._draw(A.mix(np.repeat(keys[fewer], was) + nth.astype(_U) * _CUSTOMER))
+        # only low draws are put in order, unless too few are low
+        low = draws < np.repeat((2 * leave + 8) / was, was)
+        low |= np.repeat(np.bincount(own[low], minlength=len(fewer)) < leave, was)
+        low = np.flatnonzero(low)
+        low = low[np.lexsort((draws[low], own[low]))]
+        begin = A.runs(own[low])
+        rank = np.arange(len(low)) - np.repeat(begin, np.diff(np.append(begin, len(low))))
+        least = low[rank < leave[own[low]]]
+        return first[fewer][own[least]] + nth[least]
 
     def sweep(self, new: np.ndarray, discount: float) -> None:
         """Every customer of a dish with several stands up and sits down again; new: a dish's weight of a new table."""
         t, c = self.t[self.many], self.c[self.many]
         new = new[self.many]
-        standing = np.zeros(len(self.dish), bool)
+        live = np.arange(len(c))
         for step in range(STEPS):
-            who = self.order[self.bounds[step] : self.bounds[step + 1]]
-            if not len(who):
+            live = live[c[live] > step]
+            if not len(live):
                 break
+            # of a dish, every STEPS-th customer stands
+            stand = (c[live] + (STEPS - 1 - step)) // STEPS
+            dish = np.repeat(live, stand)
+            own = STEPS * (np.arange(len(dish)) - np.repeat(stand.cumsum() - stand, stand)) + step
+            first = self.first[dish]
+            who = first + own
+            key = A.mix(self.keys[dish] + own.astype(_U) * _CUSTOMER)
             self.salt = step << 20
-            dish, key = self.dish[who], self.key[who]
             left = self.table[who]
             np.subtract.at(self.size, left, _ONE)
-            empty = np.unique(left[self.size[left] == 0])
+            empty = np.flatnonzero(self.size[left] == 0)
             if len(empty):
-                np.subtract.at(t, np.searchsorted(self.place_of, empty, side="right") - 1, 1)
-            begin = A.runs(dish)
-            gone = np.diff(np.append(begin, len(dish)))
-            seated = np.maximum(c[dish] - np.repeat(gone, gone) - discount * t[dish], 0)
-            opens = self._draw(key) * (new[dish] + seated) < new[dish]
-            opens |= t[dish] == 0
+                gone = left[empty]
+                np.subtract.at(t, dish[empty[self._one_each(gone)]], 1)
+                self.size[gone] = 0
+            tables, beside, weight = t[dish], np.repeat(c[live] - stand, stand), new[dish]
+            seated = np.maximum(beside - discount * tables, 0)
+            opens = self._draw(key) * (weight + seated) < weight
+            opens |= tables == 0
             # an open place for a new table
             rest = np.flatnonzero(opens)
+            served = dish[rest]
+            np.add.at(t, served, 1)
+            places, place_of = self.places[served], self.place_of[served]
             while len(rest):
-                d = dish[rest]
-                place = self.place_of[d] + (self._draw(key[rest]) * self.places[d]).astype(np.int64)
+                place = place_of + (self._draw(key[rest]) * places).astype(np.int64)
                 # of several that choose one place, one takes it
-                free = self.size[place] == 0
-                _, one = np.unique(place, return_index=True)
+                free = np.flatnonzero(self.size[place] == 0)
                 takes = np.zeros(len(rest), bool)
-                takes[one] = True
-                takes &= free
-                got = rest[takes]
-                self.table[who[got]] = place[takes]
-                self.size[place[takes]] = 1
-                np.add.at(t, dish[got], 1)
-                rest = rest[~takes]
-            # a table in proportion to its size less the discount: that of any customer, taken by chance
+                takes[free[self._one_each(place[free])]] = True
+                self.size[place[free]] = 1
+                self.table[who[rest[takes]]] = place[takes]
+                more = ~takes
+                rest, places, place_of = rest[more], places[more], place_of[more]
+            # a table in proportion to its size less the discount: that of any customer who sits, taken by chance
             self.salt = step << 20 | 1 << 19
-            rest = np.flatnonzero(~opens)
-            joined = np.empty(len(who), np.int64)
-            standing[who] = True
+            stay = np.flatnonzero(~opens)
+            tables, others, first, keys = tables[stay], beside[stay], first[stay], key[stay]
+            # where there is but one table, any customer's will do
+            joined = self.table[first + (step == 0)]
+            rest = np.flatnonzero(tables > 1)
+            tables, others, first, keys = tables[rest], others[rest], first[rest], keys[rest]
+            alike = tables == others
             while len(rest):
-                d = dish[rest]
-                which, chance = self._draw_two(key[rest])
-                other = self.first[d] + (which * c[d]).astype(np.int64)
-                place = self.table[other]
+                which, chance = self._draw_two(keys)
+                other = (which * others).astype(np.int64)
+                block = other // (STEPS - 1)
+                other += block + (other - block * (STEPS - 1) >= step)
+                place = self.table[first + other]
                 size = self.size[place]
-                takes = ~standing[other] & (chance * size < size - discount)
+                takes = chance * size < size - discount
+                takes |= alike
                 joined[rest[takes]] = place[takes]
-                rest = rest[~takes]
-            stay = np.flatnonzero(~opens)
-            self.table[who[stay]] = joined[stay]
-            np.add.at(self.size, joined[stay], _ONE)
-            standing[who] = False
+                more = ~takes
+                rest, keys, first, others, alike = rest[more], keys[more], first[more], others[more], alike[more]
+            self.table[who[stay]] = joined
+            np.add.at(self.size, joined, _ONE)
         self.t[self.many] = t
 
+    def _one_each(self, places: np.ndarray) -> np.ndarray:
+        """Which is the first at its place; sizes at the places are lost."""
+        at = np.arange(1, len(places) + 1, dtype=self.size.dtype)
+        self.size[places[::-1]] = at[::-1]
+        return self.size[places] == at
+
     def sizes(self) -> np.ndarray:
         """Sizes of the tables, all dishes' one after another."""
-        at = np.flatnonzero(self.size)
-        owner = np.concatenate([np.flatnonzero(self.c == 1), self.many[np.searchsorted(self.place_of, at, side="right") - 1]])
-        order = np.argsort(owner, kind="stable")
-        return np.concatenate([np.ones(int((self.c == 1).sum()), np.int64), self.size[at].astype(np.int64)])[order]
+        out = np.ones(int(self.t.sum()), np.int64)
+        out[np.repeat(self.c > 1, self.t)] = self.size[self.size > 0]
+        return out
 
 
 def discount(once: float, twice: float) -> float:
