@@ -95,6 +95,26 @@ def test_seating_follows_the_restaurant():
     assert np.allclose(np.bincount(s.t, minlength=c + 1) / 20_000, exact / exact.sum(), atol=0.02)
 
 
+def test_seating_of_larger_dishes():
+    """As above for more customers, by generalised Stirling numbers."""
+    c, discount, new, dishes = 30, 0.7, 1.5, 4000
+    ways = np.zeros(c + 2)
+    ways[1] = 1
+    for n in range(1, c):
+        t = np.arange(1, c + 2)
+        ways[1:] = ways[:-1] + np.maximum(n - discount * t, 0) * ways[1:] * (t <= n)
+    exact = ways[: c + 1] * new ** np.arange(c + 1)
+    exact /= exact.sum()
+    every, keys = np.full(dishes, c), A.mix(np.arange(dishes, dtype=np.uint64))
+    s, met = Y.Seating(every, keys), np.zeros(c + 1)
+    for number in range(24):
+        s = Y.Seating(every, keys, s.t, s.sizes(), number)
+        s.sweep(np.full(dishes, new), discount)
+        if number >= 12:
+            met += np.bincount(s.t, minlength=c + 1)
+    assert np.allclose(met / met.sum(), exact, atol=0.01)
+
+
 def test_a_sweep_draws_little(monkeypatch):
     """Rare dishes, most of a corpus, need hardly more than a draw for each customer: who can join one table only needs no other."""
     drawn, bits = [], Y.Seating._bits

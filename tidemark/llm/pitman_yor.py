@@ -40,6 +40,8 @@ STRENGTH = 10.0
 BURN_IN, SAMPLES = 1, 3
 #: Customers of one dish and restaurant that stand up at a time are every STEPS-th one.
 STEPS = 64
+#: Bits of the draws that put a dish's customers in order.
+ORDER_BITS = 26
 CHUNK_BYTES = 4 << 20
 BASE_ADD = 0.1
 #: Logarithms are summed in units of 2 ** -UNIT.
@@ -247,6 +249,27 @@ class Seating:
             self.table += self._places(keys, tables, sizes)
         self.size = np.bincount(self.table, minlength=int(self.places.sum())).astype(np.int32)
         self.t[self.many] = np.add.reduceat(self.size > 0, self.place_of) if len(many) else 0
+        if tables is not None:
+            self._shuffle()
+
+    def _shuffle(self) -> None:
+        """Customers in an order drawn by chance: a sweep takes them by number, which must not tell their tables."""
+        c, t = self.c[self.many], self.t[self.many]
+        some = (t > 1) & (t < c)
+        at = np.flatnonzero(np.repeat(some, c))
+        if not len(at):
+            return
+        c, place_of = c[some], np.repeat(self.place_of[some], c[some])
+        dish, table = np.repeat(np.arange(len(c)), c), self.table[at] - place_of
+        nth = np.arange(len(at)) - np.repeat(c.cumsum() - c, c)
+        self.salt = 1 << 18
+        draws = (self._bits(A.mix(np.repeat(self.keys[some], c) + nth.astype(_U) * _CUSTOMER)) >> _U(64 - ORDER_BITS)).astype(np.int64)
+        wide = int(table.max()).bit_length()
+        if len(c).bit_length() + ORDER_BITS + wide < 64:
+            table = np.sort(dish << ORDER_BITS + wide | draws << wide | table) & (1 << wide) - 1
+        else:
+            table = table[np.lexsort((table, draws, dish))]
+        self.table[at] = table + place_of
 
     def _draw(self, keys: np.ndarray) -> np.ndarray:
         """Numbers from 0 to 1, others on each call."""
